@@ -38,7 +38,7 @@ def with_history(events: DataFrame) -> DataFrame:
     """Previous counted state of the segment and the latest trades seen in it.
 
     ``prev`` is NULL on the first counted state after a break: that state is reference
-    only.  Trade marks include the event itself and the reference state.
+    only; ``prev_any`` ignores breaks.  Trade marks include the event itself and the reference state.
     """
     counted = F.col("counted")
     mark = F.struct("seg", "seq", "t_ms")
@@ -64,6 +64,7 @@ def with_history(events: DataFrame) -> DataFrame:
 
     return scanned.select(
         *events.columns,
+        F.when(counted, F.col("_prev")).alias("prev_any"),
         same_segment("_prev").alias("prev"),
         same_segment("_any").alias("trade_any"),
         same_segment("_nr").alias("trade_nr"),
