@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.constants import CHUNK
 from tickloom.operators import best_quote, lifecycle, matching, moves, states
+from tickloom.operators import tape as message_tape
 from tickloom.session import StageStore
 from tickloom.sources import order_flow
 from tickloom.sources.calendar import session_calendar
@@ -118,6 +119,30 @@ class BookPipeline:
         """Classified quote moves."""
         return self.store.table("moves", lambda: build_moves(self.states, self.log))
 
+    @cached_property
+    def replay_log(self) -> DataFrame:
+        """Level effects of the message-level replay (unknown orders are applied)."""
+        return self.store.table(
+            "replay_log", lambda: message_tape.replay_effects(self.messages)
+        )
+
+    @cached_property
+    def tape(self) -> DataFrame:
+        """Every message with the quote before and after it, classified."""
+        return self.store.table(
+            "tape",
+            lambda: message_tape.classified(
+                message_tape.message_tape(self.messages, self.replay_log)
+            ),
+        )
+
+    @cached_property
+    def queue(self) -> DataFrame:
+        """Queue position of every order removed at the touch."""
+        return self.store.table(
+            "queue", lambda: message_tape.queue_positions(self.replay_log, self.tape)
+        )
+
 
 _pipelines: dict[tuple, BookPipeline] = {}
 
