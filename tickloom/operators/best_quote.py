@@ -2,62 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import BID, CHUNK, KEY
-
-BEST_SCHEMA = "day int, sid bigint, chunk bigint, rpt bigint, sub int, side int, best bigint"
-
-
-def _chunk_best(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best tick of each side after every occupancy change of one chunk.
-
-    Heap with lazy removal: a level leaves the heap when it surfaces empty.
-    """
-    pdf = pdf.sort_values(["rpt", "sub"], kind="stable")
-    occupied = ({}, {})
-    heaps = ([], [])
-    current = [None, None]
-    out_rpt, out_sub, out_side, out_best = [], [], [], []
-    for rpt, sub, side, tick, step in zip(
-        pdf["rpt"].tolist(),
-        pdf["sub"].tolist(),
-        pdf["e_side"].tolist(),
-        pdf["e_tick"].tolist(),
-        pdf["step"].tolist(),
-    ):
-        live, heap = occupied[side], heaps[side]
-        key = -tick if side == BID else tick
-        if step > 0:
-            live[key] = True
-            heapq.heappush(heap, key)
-        else:
-            live.pop(key, None)
-        while heap and heap[0] not in live:
-            heapq.heappop(heap)
-        best = heap[0] if heap else None
-        if best != current[side]:
-            current[side] = best
-            out_rpt.append(rpt)
-            out_sub.append(sub)
-            out_side.append(side)
-            out_best.append(None if best is None else (-best if side == BID else best))
-    n = len(out_rpt)
-    return pd.DataFrame(
-        {
-            "day": [pdf["day"].iloc[0]] * n,
-            "sid": [pdf["sid"].iloc[0]] * n,
-            "chunk": [pdf["chunk"].iloc[0]] * n,
-            "rpt": out_rpt,
-            "sub": out_sub,
-            "side": out_side,
-            "best": pd.array(out_best, dtype="Int64"),
-        }
-    )
+from tickloom.operators.kernels import BEST_SCHEMA, best_ticks, sorted_map
 
 
 def chunk_snapshots(depth: DataFrame) -> DataFrame:
@@ -99,7 +48,7 @@ def best_changes(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
         *CHUNK, "rpt", "sub", "e_side", "e_tick", F.lit(1).alias("step")
     )
     rows = changes.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", "step")
-    return rows.unionByName(opening).groupBy(*CHUNK).applyInPandas(_chunk_best, BEST_SCHEMA)
+    return sorted_map(rows.unionByName(opening), CHUNK, ["rpt", "sub"], best_ticks, BEST_SCHEMA)
 
 
 def quote_at(
@@ -133,16 +82,25 @@ def quote_at(
             *probe.columns, F.col("_bb.best").alias("b"), F.col("_ba.best").alias("a")
         )
     )
+    # one row per side, the bid row carrying the probe, so that a single pass over the
+    # level sizes serves both sides and no join back is needed
+    payload = F.struct(*probe.columns, "b", "a")
     sides = found.select(
         *CHUNK,
         "rpt",
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("e_side"), F.col("b").alias("e_tick")),
-                F.struct(F.lit(1).alias("e_side"), F.col("a").alias("e_tick")),
+                F.struct(
+                    F.lit(0).alias("e_side"), F.col("b").alias("e_tick"), payload.alias("_probe")
+                ),
+                F.struct(
+                    F.lit(1).alias("e_side"),
+                    F.col("a").alias("e_tick"),
+                    F.lit(None).cast(found.select(payload.alias("p")).schema["p"].dataType).alias("_probe"),
+                ),
             )
         ),
-    ).filter("e_tick IS NOT NULL")
+    )
     sizes = depth.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", "level_q").unionByName(
         snapshots.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", "level_q")
     )
@@ -151,7 +109,7 @@ def quote_at(
         .orderBy("rpt", "_kind", "sub")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    sized = (
+    return (
         sides.withColumn("_kind", F.lit(1))
         .withColumn("sub", F.lit(0))
         .unionByName(sizes.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
@@ -159,8 +117,11 @@ def quote_at(
         .filter("_kind = 1")
         .groupBy(*CHUNK, "rpt")
         .agg(
+            F.first("_probe", ignorenulls=True).alias("_probe"),
             F.max(F.when(F.col("e_side") == 0, F.col("q"))).alias("qb"),
             F.max(F.when(F.col("e_side") == 1, F.col("q"))).alias("qa"),
         )
+        .select(
+            *[F.col(f"_probe.{c}").alias(c) for c in [*probe.columns, "b", "a"]], "qb", "qa"
+        )
     )
-    return found.join(sized, [*CHUNK, "rpt"], "left")

@@ -2,113 +2,61 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import CHUNK, CONTINUATION_CAP_MS, KEY
+from tickloom.operators.kernels import EVENT_MAP_SCHEMA, event_segmenter, sorted_map
 from tickloom.operators.ordered import carry_scan, running_last
 
-EVENT_MAP_SCHEMA = (
-    "day int, sid bigint, seq bigint, ev bigint, ev_ms bigint, ev_chunk bigint, ev_packets int"
-)
-
-
-def _segmenter(cap_ms: int, cross_clock: bool):
-    """Grouped-map function that joins the packets between two safe cuts into events."""
-
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        out = []
-        members: list[tuple[int, int]] = []
-        start = start_ms = 0
-        balance = 0
-        printed: set[int] = set()
-
-        def close():
-            if len(members) > 1:
-                home = members[-1][1]
-                out.extend((seq, start, start_ms, home, len(members)) for seq, _ in members)
-            members.clear()
-
-        for seq, chunk, t, cut, prints, removals in zip(
-            pdf["seq"].tolist(),
-            pdf["chunk"].tolist(),
-            pdf["t_ms"].tolist(),
-            pdf["cut"].tolist(),
-            pdf["prints"],
-            pdf["removals"],
-        ):
-            if members and (
-                cut or (t != start_ms and (not cross_clock or t - start_ms > cap_ms))
-            ):
-                close()
-            if not members:
-                start, start_ms, balance, printed = seq, t, 0, set()
-            members.append((seq, chunk))
-            for p in prints:
-                balance += p["qty"]
-                printed.add(p["tick"])
-            for r in removals:
-                if balance <= 0:
-                    break
-                if r["tick"] in printed:
-                    balance -= r["qty"]
-            if balance <= 0:
-                close()
-        close()
-        frame = pd.DataFrame(out, columns=["seq", "ev", "ev_ms", "ev_chunk", "ev_packets"])
-        frame.insert(0, "sid", pdf["sid"].iloc[0])
-        frame.insert(0, "day", pdf["day"].iloc[0])
-        return frame
-
-    return segment
 
-
-def multi_packet_events(
-    log: DataFrame, cap_ms: int = CONTINUATION_CAP_MS, cross_clock: bool = True
-) -> DataFrame:
-    """Map of the packets that share an event with another packet.
+def packet_cuts(log: DataFrame, cap_ms: int = CONTINUATION_CAP_MS) -> DataFrame:
+    """One row per packet with its prints and candidate removals, and whether it surely
+    starts an event.
 
     ``log`` has one row per trade and per level effect (``typ, seq, t_ms, tick, qty,
-    retail`` of the message, ``e_tick, dq, candidate`` of the effect).  A packet with no
-    earlier non-retail print in the last ``cap_ms`` surely starts an event, so the log
-    falls apart at those cuts; only packets near prints reach the grouped map, one group
-    per chunk in which their stretch begins.  All other packets are events of their own
-    and need no row here.
+    retail`` of the message, ``e_tick, dq, candidate`` of the effect).  An event can only
+    be open at a packet when a non-retail print lies at most ``cap_ms`` before it.
     """
     non_retail = (F.col("typ") == "T") & ~F.col("retail")
+
+    def listed(condition, value):
+        return F.collect_list(F.when(condition, value.cast("bigint")))
+
     packets = log.groupBy(*CHUNK, "seq").agg(
         F.first("t_ms").alias("t_ms"),
         F.max(non_retail).alias("printing"),
-        F.sort_array(
-            F.collect_list(F.when(non_retail, F.struct("rpt", "tick", "qty")))
-        ).alias("prints"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    F.col("candidate"),
-                    F.struct(
-                        "rpt", F.col("e_tick").alias("tick"), (-F.col("dq")).alias("qty")
-                    ),
-                )
-            )
-        ).alias("removals"),
+        listed(non_retail, F.col("tick")).alias("print_ticks"),
+        listed(non_retail, F.col("qty")).alias("print_qtys"),
+        listed(F.col("candidate"), F.col("e_tick")).alias("removal_ticks"),
+        listed(F.col("candidate"), -F.col("dq")).alias("removal_qtys"),
     )
     seen = carry_scan(
         packets,
         KEY,
         ["seq"],
         [running_last("last_print", F.when(F.col("printing"), F.col("t_ms")), inclusive=False)],
-    ).withColumn(
+    )
+    return seen.withColumn(
         "cut",
         F.col("last_print").isNull() | (F.col("last_print") < F.col("t_ms") - cap_ms),
-    )
+    ).drop("last_print")
+
+
+def multi_packet_events(
+    packets: DataFrame, cap_ms: int = CONTINUATION_CAP_MS, cross_clock: bool = True
+) -> DataFrame:
+    """Map of the packets that share an event with another packet.
+
+    The log falls apart at the cuts; only packets near prints reach the kernel, grouped
+    by the chunk in which their stretch begins.  All other packets are events of their
+    own and need no row here.
+    """
     zoned = carry_scan(
-        seen, KEY, ["seq"], [running_last("zone", F.when(F.col("cut"), F.col("chunk")))]
+        packets, KEY, ["seq"], [running_last("zone", F.when(F.col("cut"), F.col("chunk")))]
     ).filter(F.col("printing") | ~F.col("cut"))
-    return zoned.groupBy(*KEY, "zone").applyInPandas(
-        _segmenter(cap_ms, cross_clock), EVENT_MAP_SCHEMA
+    return sorted_map(
+        zoned, [*KEY, "zone"], ["seq"], event_segmenter(cap_ms, cross_clock), EVENT_MAP_SCHEMA
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from tickloom.functions.constants import (
     RUN_GAP_MS,
 )
 from tickloom.operators import best_quote, lifecycle
+from tickloom.operators.kernels import QUEUE_SCHEMA, queue_ahead, sorted_map
 from tickloom.operators.ordered import (
     Run,
     carry_scan,
@@ -28,64 +28,86 @@ from tickloom.operators.ordered import (
 
 
 # ---------------------------------------------------------------- replay by message
-def replay_effects(messages: DataFrame) -> DataFrame:
-    """Level effects when unknown orders are not skipped but applied.
+def replay_changes(messages: DataFrame) -> DataFrame:
+    """Level effects when unknown orders are applied instead of skipped.
 
-    A change of an unknown order inserts it; a delete of an unknown order removes one
-    order and the message's size from the message's level, if anything rests there.
-    Counts therefore reflect at zero: count = sum - min(0, lowest sum so far), and a
-    removal from an empty level takes no size.
+    A change of an unknown order inserts it; a delete of an unknown order takes one order
+    and the message's size from the message's level (see ``replay_depth``).
     """
     state = lifecycle.with_order_state(messages, orphan_policy="insert")
     unknown = ~F.col("live")
-    as_insert = state.withColumn("_orphan", lifecycle.anomaly()).withColumn(
+    as_insert = state.withColumn("orphan", lifecycle.anomaly()).withColumn(
         "typ", F.when((F.col("typ") == "C") & unknown, "N").otherwise(F.col("typ"))
     )
+    stray = (F.col("typ") == "D") & unknown
     as_delete = (
-        as_insert.withColumn("_stray", (F.col("typ") == "D") & unknown)
-        .withColumn("p_side", F.when(F.col("_stray"), F.col("side")).otherwise(F.col("p_side")))
-        .withColumn("p_tick", F.when(F.col("_stray"), F.col("tick")).otherwise(F.col("p_tick")))
-        .withColumn("p_qty", F.when(F.col("_stray"), F.col("qty")).otherwise(F.col("p_qty")))
-        .withColumn("live", F.col("live") | F.col("_stray"))
+        as_insert.withColumn("stray", stray)
+        .withColumn("p_side", F.when(F.col("stray"), F.col("side")).otherwise(F.col("p_side")))
+        .withColumn("p_tick", F.when(F.col("stray"), F.col("tick")).otherwise(F.col("p_tick")))
+        .withColumn("p_qty", F.when(F.col("stray"), F.col("qty")).otherwise(F.col("p_qty")))
+        .withColumn("live", F.col("live") | F.col("stray"))
     )
     effects = lifecycle.level_effects(as_delete)
+    return effects.withColumn("live", F.col("live") & ~F.col("stray")).drop("stray")
+
+
+def replay_counts(effects: DataFrame) -> DataFrame:
+    """Order count of each level when removals from an empty level do nothing.
+
+    The count reflects at zero: count = sum - min(0, lowest sum so far).  The lowest sum
+    over chunks follows from each chunk's total and its lowest inner sum, so one pass over
+    the rows is enough.
+    """
     level = [*KEY, "e_side", "e_tick"]
-    summed = carry_scan(effects, level, ["rpt", "sub"], [running_sum("_s", F.col("dn"))])
-    reflected = carry_scan(
-        summed,
-        level,
-        ["rpt", "sub"],
-        [
-            Run("_low", "min", F.col("_s")),
-            Run("_low_before", "min", F.col("_s"), inclusive=False),
-        ],
-    )
+    groups = [*level, "chunk"]
+    rows = effects.filter("e_side IS NOT NULL")
+    inside = Window.partitionBy(*groups).orderBy("rpt", "sub").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    local = rows.withColumn("_s", F.sum("dn").over(inside))
+    partial = local.groupBy(*groups).agg(F.sum("dn").alias("_total"), F.min("_s").alias("_low"))
+    before = Window.partitionBy(*level).orderBy("chunk").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    opened = partial.withColumn("_open", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    carried = opened.withColumn(
+        "_floor", F.min(F.col("_open") + F.col("_low")).over(before)
+    ).select(*groups, "_open", "_floor")
     zero = F.lit(0).cast("bigint")
-    floor = F.least(zero, F.col("_low"))
-    floor_before = F.least(zero, F.coalesce("_low_before", zero))
-    before = F.col("_s") - F.col("dn") - floor_before
-    kept = reflected.select(
-        *effects.columns,
-        (F.col("_s") - floor).alias("level_n"),
-        F.when((F.col("dn") < 0) & (before <= 0), zero).otherwise(F.col("dq")).alias("_dq"),
-        F.when((F.col("dn") < 0) & (before <= 0), zero).otherwise(F.col("dn")).alias("_dn"),
-        (F.col("live") & ~F.col("_stray")).alias("_known"),
+    scanned = (
+        local.join(carried, groups, "left")
+        .withColumn("_s", F.col("_s") + F.col("_open"))
+        .withColumn("_low", F.least(zero, "_floor", F.min("_s").over(inside)))
+        .withColumn("level_n", F.col("_s") - F.col("_low"))
+    )
+    earlier = F.least(
+        zero,
+        F.col("_floor"),
+        F.min("_s").over(inside.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    kept = kept.drop("dq", "dn", "live").withColumnsRenamed(
-        {"_dq": "dq", "_dn": "dn", "_known": "live"}
+    held = F.col("_s") - F.col("dn") - earlier
+    nothing = (F.col("dn") < 0) & (held <= 0)
+    return scanned.withColumn("_nothing", nothing).select(
+        *[c for c in effects.columns if c not in ("dn", "dq")],
+        "level_n",
+        F.when(F.col("_nothing"), zero).otherwise(F.col("dn")).alias("dn"),
+        F.when(F.col("_nothing"), zero).otherwise(F.col("dq")).alias("dq"),
     )
-    return carry_scan(kept, level, ["rpt", "sub"], [running_sum("level_q", F.col("dq"))])
 
 
-def message_tape(messages: DataFrame, depth: DataFrame) -> DataFrame:
-    """Every message with the quote before (``b0 a0 qb0 qa0``) and after it, the state of
-    its order (``live, p_tick, p_qty, born_ms``) and the latest print before it.
+def replay_depth(counts: DataFrame) -> DataFrame:
+    """Running size of each level on top of ``replay_counts``."""
+    return carry_scan(
+        counts, [*KEY, "e_side", "e_tick"], ["rpt", "sub"], [running_sum("level_q", F.col("dq"))]
+    )
 
-    ``depth`` are the level effects with running level count and size.
-    """
+
+def message_quotes(
+    messages: DataFrame, depth: DataFrame, best: DataFrame, snapshots: DataFrame
+) -> DataFrame:
+    """Every message with the quote after it and the state of its order (``live, p_tick,
+    p_qty, born_ms``).  ``depth`` are the level effects with running count and size."""
     rows = depth.filter("e_side IS NOT NULL")
-    snapshots = best_quote.chunk_snapshots(rows)
-    best = best_quote.best_changes(lifecycle.occupancy_changes(rows), snapshots)
     order_state = depth.groupBy(*CHUNK, "rpt").agg(
         F.first("live").alias("live"),
         F.first("p_tick").alias("p_tick"),
@@ -95,9 +117,13 @@ def message_tape(messages: DataFrame, depth: DataFrame) -> DataFrame:
     probe = messages.select(
         *CHUNK, "rpt", "seq", "t_ms", "typ", "side", "tick", "qty", "oid", "firm", "retail"
     )
-    after = best_quote.quote_at(probe, best, rows, snapshots).join(
+    return best_quote.quote_at(probe, best, rows, snapshots).join(
         order_state, [*CHUNK, "rpt"], "left"
     )
+
+
+def with_before(after: DataFrame) -> DataFrame:
+    """Add the quote before each message and the latest print before it."""
     scanned = carry_scan(
         after,
         KEY,
@@ -253,139 +279,70 @@ def sweeps(tape: DataFrame) -> DataFrame:
     )
 
 
-def _runs(rows: DataFrame, breaks: Column, member: Column) -> DataFrame:
-    """Runs of ``member`` rows; a run is booked at the row that breaks it.
+def _booked_runs(rows: DataFrame, breaks: Column) -> DataFrame:
+    """Runs between break rows; a run is booked at the row that breaks it.
 
-    ``rows`` are ordered by ``rpt`` and carry ``_p`` (the row before).  Each row that
-    breaks a run reports it: side, length and the breaking row's clock.
+    ``rows`` carry ``member`` (counts towards a run) and the row before (``_p``).  With
+    running counts the previous run's length is the difference between two break rows.
     """
-    marked = rows.withColumn("_member", member).withColumn(
-        "_starts", F.col("_member") & breaks
-    )
-    numbered = carry_scan(
-        marked,
-        KEY,
-        ["rpt"],
-        [
-            running_last("run", F.when(F.col("_starts") | ~F.col("_member"), F.col("rpt"))),
-        ],
-    )
-    runs = numbered.groupBy(*KEY, "run").agg(
-        F.min("chunk").alias("chunk"),
-        F.min("t_ms").alias("t_ms"),
-        F.min_by("side", "rpt").alias("side"),
-        F.count("*").alias("length"),
-        F.max("_member").alias("_member"),
-        F.sum("qty").alias("volume"),
-    )
+    counted = rows.filter(breaks)
     shifted = carry_scan(
-        runs, KEY, ["run"], [previous("_q", "run", "side", "length", "_member", "volume")]
+        counted, KEY, ["rpt"], [previous("_q", "rpt", "side", "member", "n", "v")]
     )
-    return shifted.filter("_q._member").select(
+    return shifted.filter("_q.member").select(
         *KEY,
-        F.col("_q.run").alias("run"),
+        F.col("_q.rpt").alias("run"),
         F.col("_q.side").alias("side"),
-        F.col("_q.length").alias("length"),
-        F.col("_q.volume").alias("volume"),
+        (F.col("n") - F.col("_q.n")).alias("length"),
+        (F.col("v") - F.col("_q.v")).alias("volume"),
         F.col("t_ms").alias("booked_ms"),
     )
 
 
+def _with_counts(rows: DataFrame, *before: str) -> DataFrame:
+    """Members and their volume before each row, and the row before it."""
+    return carry_scan(
+        rows,
+        KEY,
+        ["rpt"],
+        [
+            previous("_p", *before),
+            running_sum("n", F.when(F.col("member"), 1).otherwise(0).cast("bigint"), inclusive=False),
+            running_sum("v", F.when(F.col("member"), F.col("qty")).otherwise(0).cast("bigint"), inclusive=False),
+        ],
+    )
+
+
 def undercut_runs(tape: DataFrame) -> DataFrame:
     """Same-side undercuts until an opposite one; the last run of a day is never booked."""
     rows = tape.filter(F.col("new_class").isin("undercut", "undercut_ambiguous")).select(
-        *CHUNK, "rpt", "t_ms", "side", "qty"
+        *CHUNK, "rpt", "t_ms", "side", "qty", F.lit(True).alias("member")
     )
-    lagged = carry_scan(rows, KEY, ["rpt"], [previous("_p", "side")])
     breaks = F.col("_p").isNull() | (F.col("_p.side") != F.col("side"))
-    return _runs(lagged, breaks, F.lit(True))
+    return _booked_runs(_with_counts(rows, "side"), breaks)
 
 
 def cancel_runs(queue: DataFrame, tape: DataFrame) -> DataFrame:
     """Front-of-queue removals of one side, gaps up to one second, broken by any print."""
     fronts = queue.filter(F.col("queue_zone") == "front").select(
-        *CHUNK, "rpt", "t_ms", "side", "qty", F.lit(True).alias("front")
+        *CHUNK, "rpt", "t_ms", "side", "qty", F.lit(True).alias("member")
     )
     prints = tape.filter("typ = 'T'").select(
-        *CHUNK, "rpt", "t_ms", "side", "qty", F.lit(False).alias("front")
-    )
-    lagged = carry_scan(
-        fronts.unionByName(prints), KEY, ["rpt"], [previous("_p", "front", "side", "t_ms")]
+        *CHUNK, "rpt", "t_ms", "side", "qty", F.lit(False).alias("member")
     )
     breaks = (
-        F.col("_p").isNull()
-        | ~F.col("_p.front")
+        ~F.col("member")
+        | F.col("_p").isNull()
+        | ~F.col("_p.member")
         | (F.col("_p.side") != F.col("side"))
         | (F.col("t_ms") - F.col("_p.t_ms") > RUN_GAP_MS)
     )
-    return _runs(lagged, breaks, F.col("front"))
+    return _booked_runs(
+        _with_counts(fronts.unionByName(prints), "member", "side", "t_ms"), breaks
+    )
 
 
 # ---------------------------------------------------------------- queue position
-QUEUE_SCHEMA = (
-    "day int, sid bigint, chunk bigint, rpt bigint, ahead bigint, level_total bigint"
-)
-
-
-def _queue_positions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Volume ahead of each removed order within one chunk.
-
-    Orders of a level keep arrival order; prefix volumes are kept in a binary indexed
-    tree per level, so a removal costs the logarithm of the queue length.
-    """
-    pdf = pdf.sort_values(["rpt", "sub", "entry"], kind="stable")
-    slots: dict[tuple, int] = {}
-    counts: dict[tuple, int] = {}
-    sizes = pdf.loc[pdf["dn"] > 0].groupby(["e_side", "e_tick"]).size().to_dict()
-    trees: dict[tuple, list[int]] = {}
-    volume: dict[tuple, int] = {}
-    out = []
-
-    def add(tree, i, v):
-        while i < len(tree):
-            tree[i] += v
-            i += i & -i
-
-    def prefix(tree, i):
-        total = 0
-        while i > 0:
-            total += tree[i]
-            i -= i & -i
-        return total
-
-    for rpt, side, tick, oid, dn, dq, wanted in zip(
-        pdf["rpt"].tolist(),
-        pdf["e_side"].tolist(),
-        pdf["e_tick"].tolist(),
-        pdf["oid"].tolist(),
-        pdf["dn"].tolist(),
-        pdf["dq"].tolist(),
-        pdf["wanted"].tolist(),
-    ):
-        level = (side, tick)
-        tree = trees.get(level)
-        if tree is None:
-            tree = trees[level] = [0] * (sizes.get(level, 0) + 1)
-        if dn > 0:
-            counts[level] = slot = counts.get(level, 0) + 1
-            slots[(level, oid)] = slot
-        else:
-            slot = slots.get((level, oid))
-        if slot is None:
-            continue
-        if wanted:
-            out.append((rpt, prefix(tree, slot - 1), volume.get(level, 0)))
-        add(tree, slot, dq)
-        volume[level] = volume.get(level, 0) + dq
-        if dn < 0:
-            del slots[(level, oid)]
-    frame = pd.DataFrame(out, columns=["rpt", "ahead", "level_total"])
-    frame.insert(0, "chunk", pdf["chunk"].iloc[0])
-    frame.insert(0, "sid", pdf["sid"].iloc[0])
-    frame.insert(0, "day", pdf["day"].iloc[0])
-    return frame
-
-
 def queue_positions(depth: DataFrame, tape: DataFrame) -> DataFrame:
     """Share of the level's volume ahead of each order removed at the touch.
 
@@ -437,8 +394,8 @@ def queue_positions(depth: DataFrame, tape: DataFrame) -> DataFrame:
         .withColumn("wanted", F.coalesce("wanted", F.lit(False)))
         .withColumn("entry", F.col("rpt"))
     )
-    found = (
-        rows.unionByName(opening).groupBy(*CHUNK).applyInPandas(_queue_positions, QUEUE_SCHEMA)
+    found = sorted_map(
+        rows.unionByName(opening), CHUNK, ["rpt", "sub", "entry"], queue_ahead, QUEUE_SCHEMA
     )
     removed = tape.filter("withdrawal = 'touch'").select(
         *CHUNK, "rpt", "t_ms", "side", F.col("p_tick").alias("tick"), F.col("p_qty").alias("qty"), "oid"

@@ -15,14 +15,6 @@ from tickloom.sources import order_flow
 from tickloom.sources.calendar import session_calendar
 
 
-def build_log(messages: DataFrame, event_map_of=matching.multi_packet_events) -> DataFrame:
-    """Trades and level effects in one log with event keys and execution marks."""
-    raw = raw_log(messages)
-    return matching.with_executions(
-        matching.with_event(raw, event_map_of(raw)).repartition(*CHUNK)
-    )
-
-
 def raw_log(messages: DataFrame) -> DataFrame:
     effects = lifecycle.level_effects(lifecycle.with_order_state(messages))
     trades = messages.filter("typ = 'T'").withColumn("sub", F.lit(0))
@@ -31,30 +23,6 @@ def raw_log(messages: DataFrame) -> DataFrame:
     )
 
 
-def build_states(log: DataFrame, calendar: DataFrame | None) -> DataFrame:
-    """One row per matching event with the best quote after it.
-
-    ``log`` must already carry level depth.  Without a calendar every event counts as
-    continuous trading.
-    """
-    rows = log.filter("e_side IS NOT NULL")
-    snapshots = best_quote.chunk_snapshots(rows)
-    best = best_quote.best_changes(lifecycle.occupancy_changes(rows), snapshots)
-    events = best_quote.quote_at(matching.close_events(log), best, rows, snapshots)
-    phased = (
-        events.withColumn("phase", F.lit("C"))
-        if calendar is None
-        else states.with_phase(events, calendar)
-    )
-    return states.with_segments(phased)
-
-
-def build_moves(state_rows: DataFrame, log: DataFrame) -> DataFrame:
-    seen = moves.with_lookback(moves.price_changes(state_rows))
-    flagged = moves.with_trade_windows(moves.quote_moves(seen))
-    return moves.with_cause(flagged, moves.level_emptyings(log))
-
-
 class BookPipeline:
     """Stage tables of the order flow in ``sf_dir``, each written once and read back."""
 
@@ -92,22 +60,53 @@ class BookPipeline:
     def raw_log(self) -> DataFrame:
         return self.store.table("raw_log", lambda: raw_log(self.messages))
 
+    @cached_property
+    def event_map(self) -> DataFrame:
+        """Packets that share a matching event with another packet."""
+        packets = self.store.table("packets", lambda: matching.packet_cuts(self.raw_log))
+        return self.store.table(
+            "event_map", lambda: matching.multi_packet_events(packets)
+        )
+
     @cached_property
     def log(self) -> DataFrame:
-        def build():
-            with_ev = matching.with_event(
-                self.raw_log, matching.multi_packet_events(self.raw_log)
-            )
-            return lifecycle.with_level_depth(
-                matching.with_executions(with_ev.repartition(*CHUNK))
-            )
+        """Trades and level effects with event keys, execution marks and level depth."""
+        executed = self.store.table(
+            "executed",
+            lambda: matching.with_executions(
+                matching.with_event(self.raw_log, self.event_map).repartition(*CHUNK)
+            ),
+        )
+        return self.store.table("log", lambda: lifecycle.with_level_depth(executed))
 
-        return self.store.table("log", build)
+    def _best(self, name: str, depth: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Levels standing at chunk starts and best-tick changes of a depth log."""
+        rows = depth.filter("e_side IS NOT NULL")
+        snapshots = self.store.table(
+            f"{name}_snapshots", lambda: best_quote.chunk_snapshots(rows)
+        )
+        best = self.store.table(
+            f"{name}_best",
+            lambda: best_quote.best_changes(lifecycle.occupancy_changes(rows), snapshots),
+        )
+        return snapshots, best
 
     @cached_property
     def events(self) -> DataFrame:
         """Matching events with best quote, phase and segment."""
-        return self.store.table("events", lambda: build_states(self.log, self.calendar))
+        snapshots, best = self._best("book", self.log)
+        quotes = self.store.table(
+            "quotes",
+            lambda: best_quote.quote_at(
+                matching.close_events(self.log),
+                best,
+                self.log.filter("e_side IS NOT NULL"),
+                snapshots,
+            ),
+        )
+        return self.store.table(
+            "events", lambda: states.with_segments(states.with_phase(quotes, self.calendar))
+        )
 
     @cached_property
     def states(self) -> DataFrame:
@@ -117,23 +116,34 @@ class BookPipeline:
     @cached_property
     def moves(self) -> DataFrame:
         """Classified quote moves."""
-        return self.store.table("moves", lambda: build_moves(self.states, self.log))
+        changes = self.store.table("changes", lambda: moves.price_changes(self.states))
+        flagged = self.store.table(
+            "flagged",
+            lambda: moves.with_trade_windows(moves.quote_moves(moves.with_lookback(changes))),
+        )
+        return self.store.table(
+            "moves", lambda: moves.with_cause(flagged, moves.level_emptyings(self.log))
+        )
 
     @cached_property
     def replay_log(self) -> DataFrame:
         """Level effects of the message-level replay (unknown orders are applied)."""
-        return self.store.table(
-            "replay_log", lambda: message_tape.replay_effects(self.messages)
+        effects = self.store.table(
+            "replay_changes", lambda: message_tape.replay_changes(self.messages)
         )
+        counts = self.store.table("replay_counts", lambda: message_tape.replay_counts(effects))
+        return self.store.table("replay_log", lambda: message_tape.replay_depth(counts))
 
     @cached_property
     def tape(self) -> DataFrame:
         """Every message with the quote before and after it, classified."""
+        snapshots, best = self._best("replay", self.replay_log)
+        quotes = self.store.table(
+            "tape_quotes",
+            lambda: message_tape.message_quotes(self.messages, self.replay_log, best, snapshots),
+        )
         return self.store.table(
-            "tape",
-            lambda: message_tape.classified(
-                message_tape.message_tape(self.messages, self.replay_log)
-            ),
+            "tape", lambda: message_tape.classified(message_tape.with_before(quotes))
         )
 
     @cached_property

@@ -201,8 +201,8 @@ def daily_report(panel: DataFrame, tape: DataFrame, effects: DataFrame) -> DataF
         F.sum("trade_count").alias("trades"),
     )
     irregular = effects.groupBy(*KEY).agg(
-        F.count_if(F.col("_orphan") == "orphan_delete").alias("orphan_deletes"),
-        F.count_if(F.col("_orphan") == "orphan_change").alias("orphan_changes"),
+        F.count_if(F.col("orphan") == "orphan_delete").alias("orphan_deletes"),
+        F.count_if(F.col("orphan") == "orphan_change").alias("orphan_changes"),
         F.count_if(F.col("level_q") < 0).alias("negative_sizes"),
     )
     return totals.join(irregular, KEY).withColumn(
