@@ -147,6 +147,22 @@ def replay_panel(tape: DataFrame, queue: DataFrame, size_ms: int) -> DataFrame:
     return rows.groupBy(*keys).agg(*sums).join(closing_prices(tape, size_ms), keys, "left")
 
 
+def coarser(panel: DataFrame, size_ms: int) -> DataFrame:
+    """Re-aggregate a fine panel: counters add up, prices take the last non-null close."""
+    closes = ["close_mid", "close_micro", "last_trade"]
+    keys = [*KEY, "bucket"]
+    counters = [c for c in panel.columns if c not in (*keys, *closes)]
+    return (
+        panel.withColumn("_fine", F.col("bucket"))
+        .withColumn("bucket", _bucket("_fine", size_ms))
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in counters],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_fine"))).alias(c) for c in closes],
+        )
+    )
+
+
 def _safe(n: Column, d: Column, scale: float = 1.0, zero: bool = True) -> Column:
     value = F.when(d > 0, n / d * scale)
     return F.coalesce(value, F.lit(0.0)) if zero else value

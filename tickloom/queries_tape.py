@@ -304,8 +304,12 @@ LEFT JOIN (SELECT day, t_ms // {_ms} * {_ms} AS bucket,
 
 
 def replay_panel_of(p, label: str):
+    if label == "1s":
+        return p.store.table(
+            "replay_1s", lambda: rp.replay_panel(p.tape, p.queue, SIZES["1s"])
+        )
     return p.store.table(
-        f"replay_{label}", lambda: rp.replay_panel(p.tape, p.queue, SIZES[label])
+        f"replay_{label}", lambda: rp.coarser(replay_panel_of(p, "1s"), SIZES[label])
     )
 
 
