@@ -65,7 +65,9 @@ def with_history(events: DataFrame) -> DataFrame:
     return scanned.select(
         *events.columns,
         F.when(counted, F.col("_prev")).alias("prev_any"),
-        same_segment("_prev").alias("prev"),
+        F.when(
+            (F.col("phase") == "C") & (F.col("_prev.seg") == F.col("seg")), F.col("_prev")
+        ).alias("prev"),
         same_segment("_any").alias("trade_any"),
         same_segment("_nr").alias("trade_nr"),
         same_segment("_sell").alias("trade_sell"),
