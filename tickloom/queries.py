@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom import oracle
+from tickloom.functions.constants import BLOCK_MS
 from tickloom.plans import panels
 from tickloom.plans.pipeline import BookPipeline, pipeline
 
@@ -245,9 +246,10 @@ def deterioration_cause(p):
 
 
 # ------------------------------------------------------------------ panels
-def panel_of(p: BookPipeline, grain: str) -> DataFrame:
+def panel_of(p: BookPipeline, grain: str, length_ms: int = BLOCK_MS) -> DataFrame:
     return p.store.table(
-        f"panel_{grain}", lambda: panels.panel(p.states, p.moves, p.calendar, grain)
+        f"panel_{grain}_{length_ms}",
+        lambda: panels.panel(p.states, p.moves, p.calendar, grain, length_ms),
     )
 
 

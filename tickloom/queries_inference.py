@@ -13,6 +13,8 @@ from tickloom.plans import residual as rs
 from tickloom.queries import panel_of, register, rounded
 from tickloom.queries_residual import BASE, blocks
 
+QUARTER_HOUR = 900_000
+HALF_HOUR = 1_800_000
 REPS = 999
 SEED = 20261002
 
@@ -56,10 +58,12 @@ def impact_of(p):
     )
 
 
-def selection_of(p):
+def selection_of(p, length_ms=BLOCK_MS):
     return p.store.table(
-        "selection",
-        lambda: trades.adverse_selection(trades.impact_blocks(impact_of(p), p.calendar)),
+        f"selection_{length_ms}",
+        lambda: trades.adverse_selection(
+            trades.impact_blocks(impact_of(p), p.calendar, length_ms)
+        ),
     )
 
 
@@ -174,10 +178,17 @@ def split_half(p):
     return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", REPS, SEED)), 6)
 
 
-oracle.block("gh0", "pib", """
-SELECT day, block, hour, h, sum(pi * vol) FILTER (t_ms - block < 120000) / sum(vol) FILTER (t_ms - block < 120000) AS x,
-       sum(pi * vol) FILTER (t_ms - block >= 180000) / sum(vol) FILTER (t_ms - block >= 180000) AS y
-FROM pib WHERE pi IS NOT NULL GROUP BY ALL""")
+for _l in (QUARTER_HOUR, HALF_HOUR):
+    oracle.block(f"pib_{_l}", "pi cal", f"""
+SELECT p.*, p.t_ms // {_l} * {_l} AS block, p.t_ms // {_l} * {_l} // 3600000 AS hour FROM pi p JOIN cal c ON c.day = p.day
+WHERE p.t_ms // {_l} * {_l} >= c.valid_from AND (p.t_ms // {_l} + 1) * {_l} <= c.valid_to
+  AND NOT coalesce(c.x0 < (p.t_ms // {_l} + 1) * {_l} AND p.t_ms // {_l} * {_l} < c.x1, false)""")
+oracle.block("asq", f"pib_{QUARTER_HOUR}", f"""
+SELECT day, block, h, sum(pi * vol) / sum(vol) AS as_h FROM pib_{QUARTER_HOUR} WHERE pi IS NOT NULL GROUP BY ALL""")
+oracle.block("gh0", f"pib_{HALF_HOUR}", f"""
+SELECT day, block, hour, h, sum(pi * vol) FILTER (t_ms - block < 870000) / sum(vol) FILTER (t_ms - block < 870000) AS x,
+       sum(pi * vol) FILTER (t_ms - block >= 930000) / sum(vol) FILTER (t_ms - block >= 930000) AS y
+FROM pib_{HALF_HOUR} WHERE pi IS NOT NULL GROUP BY ALL""")
 oracle.block("gh", "gh0", """
 SELECT day, h, 'raw' AS version, x, y FROM gh0 WHERE x IS NOT NULL AND y IS NOT NULL
 UNION ALL SELECT day, h, 'hour_mean_removed', x - avg(x) OVER w, y - avg(y) OVER w FROM gh0 WHERE x IS NOT NULL AND y IS NOT NULL
@@ -194,27 +205,27 @@ round(2 * q.lo / (1 + q.lo), 6) AS ci_low, round(2 * q.hi / (1 + q.hi), 6) AS ci
 FROM ghw_f f JOIN ghw_q q ON q.h = f.h AND q.version = f.version""",
 )
 def split_half_gap(p):
-    rows = trades.gap_halves(trades.impact_blocks(impact_of(p), p.calendar), BLOCK_MS, 60_000)
+    rows = trades.gap_halves(
+        trades.impact_blocks(impact_of(p), p.calendar, HALF_HOUR), HALF_HOUR, 60_000
+    )
     both = inf.without_hour_mean(rows.select("day", "hour", "h", "x", "y"), ["h"], "x", "y")
     return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", REPS, SEED)), 6)
 
 
 @register(
     "block_lag2_correlation",
-    "asb",
-    """SELECT h, count(*) AS n, round(corr(as_h, nxt), 6) AS pearson,
-round(corr(rx, ry), 6) AS spearman FROM (
+    "asq",
+    f"""SELECT h, count(*) AS n, round(corr(as_h, nxt), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM (
 SELECT h, as_h, nxt, rank() OVER (PARTITION BY h ORDER BY as_h) + (count(*) OVER (PARTITION BY h, as_h) - 1) / 2.0 AS rx,
        rank() OVER (PARTITION BY h ORDER BY nxt) + (count(*) OVER (PARTITION BY h, nxt) - 1) / 2.0 AS ry
-FROM (SELECT a.h, a.as_h, b.as_h AS nxt FROM asb a JOIN asb b ON b.day = a.day AND b.h = a.h AND b.block = a.block + 600000
-      WHERE a.as_h IS NOT NULL AND b.as_h IS NOT NULL
-        AND (SELECT count(*) FROM asb m WHERE m.day = a.day AND m.h = a.h AND m.as_h IS NOT NULL AND m.block = a.block + 300000) = 1))
+FROM (SELECT h, as_h, lead(as_h, 2) OVER w AS nxt, lead(block, 2) OVER w = block + 2 * {QUARTER_HOUR} AS near
+      FROM asq WINDOW w AS (PARTITION BY day, h ORDER BY block)) WHERE near)
 GROUP BY h""",
 )
 def block_lag2_correlation(p):
-    known = selection_of(p).filter("as_h IS NOT NULL")
+    known = selection_of(p, QUARTER_HOUR).filter("as_h IS NOT NULL")
     ahead = known.withColumn("x", F.col("as_h")).withColumn(
-        "y", trades.block_shift(known, "as_h", -2, BLOCK_MS, keys=[*KEY, "h"])
+        "y", trades.block_shift(known, "as_h", -2, QUARTER_HOUR, keys=[*KEY, "h"])
     )
     return rounded(inf.correlations(ahead, ["h"]), 6)
 
@@ -245,17 +256,17 @@ def ofi_block(p):
     return rows.groupBy("day", F.col("period_start").alias("block")).agg(F.sum("ofi").alias("ofi"))
 
 
-def block_returns(p):
+def block_returns(p, length_ms=BLOCK_MS):
     """Mid change, order-flow imbalance and panel columns of every block."""
 
     def build():
         flow = panels.order_flow_imbalance(p.states)
-        period = panels.periods(p.calendar, "block")
-        ofi = panels.in_period(flow, period, "block").groupBy(*panels.PERIOD).agg(
+        period = panels.periods(p.calendar, "block", length_ms)
+        ofi = panels.in_period(flow, period, "block", length_ms).groupBy(*panels.PERIOD).agg(
             F.sum("ofi").alias("ofi")
         )
         pieces = panels.interval_pieces(
-            panels.quote_intervals(p.states, p.calendar), period, "block"
+            panels.quote_intervals(p.states, p.calendar), period, "block", length_ms
         ).withColumn("mid", (F.col("a") + F.col("b")) / 2.0)
         first = F.min_by(F.struct("mid", "t_from"), "k")
         edges = pieces.groupBy(*panels.PERIOD).agg(
@@ -264,7 +275,7 @@ def block_returns(p):
         # the change is from the state standing before the block; none before -> NULL
         r = F.when(F.col("_first.t_from") < F.col("period_start"), F.col("_last") - F.col("_first.mid"))
         return (
-            panel_of(p, "block")
+            panel_of(p, "block", length_ms)
             .join(edges, panels.PERIOD, "left")
             .join(ofi, panels.PERIOD, "left")
             .withColumn("r", r)
@@ -275,7 +286,7 @@ def block_returns(p):
             .withColumn("hour", F.floor(F.col("period_start") / 3_600_000))
         )
 
-    return p.store.table("block_returns", build)
+    return p.store.table(f"block_returns_{length_ms}", build)
 
 
 @register(
@@ -289,11 +300,11 @@ def block_returns_query(p):
     return rows.select("day", "period_start", "r")
 
 
-def _lagged(df, column: str, steps, start: str = "period_start"):
+def _lagged(df, column: str, steps, length_ms, start: str = "period_start"):
     out = df
     for s in steps:
         name = f"{column}_l{s}" if s > 0 else f"{column}_f{-s}"
-        out = out.withColumn(name, trades.block_shift(df, column, s, BLOCK_MS, start))
+        out = out.withColumn(name, trades.block_shift(df, column, s, length_ms, start))
     return out
 
 
@@ -387,15 +398,15 @@ def composition_regression(p):
 
 def lead_lag_rows(p):
     """Residual ratio against returns: leads and lags inside the session only."""
-    scored = rs.intraday(blocks(p, BASE[:1]), 1, own_day=False).select(
+    scored = rs.intraday(blocks(p, BASE[:1], QUARTER_HOUR), 1, own_day=False).select(
         *KEY, "period_start", F.col("residual").alias("m")
     )
-    rows = block_returns(p).filter("r IS NOT NULL").select(
+    rows = block_returns(p, QUARTER_HOUR).filter("r IS NOT NULL").select(
         *KEY, "period_start", F.col("r").cast("double").alias("r"), F.col("ofi").cast("double").alias("ofi")
     ).join(scored, [*KEY, "period_start"], "left")
-    rows = _lagged(rows, "r", (-1, 1, 2, 3, 4, 5))
-    rows = _lagged(rows, "ofi", (1, 2, 3, 4, 5))
-    return _lagged(rows, "m", (1, 2, 3, 4, 5))
+    rows = _lagged(rows, "r", (-1, 1, 2, 3, 4, 5), QUARTER_HOUR)
+    rows = _lagged(rows, "ofi", (1, 2, 3, 4, 5), QUARTER_HOUR)
+    return _lagged(rows, "m", (1, 2, 3, 4, 5), QUARTER_HOUR)
 
 
 @register("lead_lag_partial_r2")
@@ -415,16 +426,16 @@ def lead_lag_partial_r2(p):
 @register("theta_lead_lag_partial_r2")
 def theta_lead_lag_partial_r2(p):
     """Composition against adverse selection: forward and reaction equations at h = 60 s."""
-    selection = selection_of(p).filter("h = 60").select(
+    selection = selection_of(p, QUARTER_HOUR).filter("h = 60").select(
         *KEY, F.col("block").alias("period_start"), F.col("as_h").alias("as0")
     )
-    rows = block_returns(p).select(
+    rows = block_returns(p, QUARTER_HOUR).select(
         *KEY, "period_start", "volume", "qvol", "abs_r", "frac_1tick", "theta"
     ).join(selection, [*KEY, "period_start"], "left")
-    rows = _lagged(rows, "as0", (-1, 1))
+    rows = _lagged(rows, "as0", (-1, 1), QUARTER_HOUR)
     for c in ("qvol", "abs_r"):
-        rows = _lagged(rows, c, (1,))
-    rows = _lagged(rows, "theta", (1, 2, 3))
+        rows = _lagged(rows, c, (1,), QUARTER_HOUR)
+    rows = _lagged(rows, "theta", (1, 2, 3), QUARTER_HOUR)
     forward = ("as0_f1", ["theta"], ["as0", "as0_l1", "volume", "qvol", "qvol_l1", "abs_r", "abs_r_l1", "frac_1tick"])
     reaction = ("theta", ["abs_r", "abs_r_l1", "as0_l1", "qvol_l1"], ["theta_l1", "theta_l2", "theta_l3", "volume", "frac_1tick"])
     return rounded(

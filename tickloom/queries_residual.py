@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import oracle
+from tickloom.functions.constants import BLOCK_MS
 from tickloom.plans import residual as rs
 from tickloom.queries import panel_of, register, rounded
 
@@ -19,8 +20,8 @@ def hourly(p, specs):
     return rs.stacked(rs.with_controls(panel_of(p, "hour")), specs)
 
 
-def blocks(p, specs):
-    return rs.stacked(rs.with_controls(panel_of(p, "block")), specs)
+def blocks(p, specs, length_ms=BLOCK_MS):
+    return rs.stacked(rs.with_controls(panel_of(p, "block", length_ms)), specs)
 
 
 def scored_hours(p, specs, name):
