@@ -56,8 +56,8 @@ def quote_at(
 ) -> DataFrame:
     """Best ticks and their sizes just after position ``rpt`` of each ``probe`` row.
 
-    ``probe`` has ``day, sid, chunk, rpt`` (unique); adds ``b, a, qb, qa`` (NULL on an
-    empty side).  Two chunk-local passes: latest best tick, then latest size of it.
+    ``probe`` has ``day, sid, chunk, rpt`` (unique); adds ``b, a``, their sizes ``qb, qa`` and order
+    counts ``nb, na`` (NULL on an empty side).  Two chunk-local passes: latest best tick, then latest size of it.
     """
     inside = (
         Window.partitionBy(*CHUNK)
@@ -101,8 +101,9 @@ def quote_at(
             )
         ),
     )
-    sizes = depth.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", "level_q").unionByName(
-        snapshots.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", "level_q")
+    held = F.struct(F.col("level_q").alias("q"), F.col("level_n").alias("n")).alias("_held")
+    sizes = depth.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", held).unionByName(
+        snapshots.select(*CHUNK, "rpt", "sub", "e_side", "e_tick", held)
     )
     level = (
         Window.partitionBy(*CHUNK, "e_side", "e_tick")
@@ -113,15 +114,21 @@ def quote_at(
         sides.withColumn("_kind", F.lit(1))
         .withColumn("sub", F.lit(0))
         .unionByName(sizes.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-        .withColumn("q", F.last("level_q", True).over(level))
+        .withColumn("_at", F.last("_held", True).over(level))
         .filter("_kind = 1")
         .groupBy(*CHUNK, "rpt")
         .agg(
             F.first("_probe", ignorenulls=True).alias("_probe"),
-            F.max(F.when(F.col("e_side") == 0, F.col("q"))).alias("qb"),
-            F.max(F.when(F.col("e_side") == 1, F.col("q"))).alias("qa"),
+            *[
+                F.max(F.when(F.col("e_side") == code, F.col(f"_at.{value}"))).alias(name)
+                for code, value, name in ((0, "q", "qb"), (1, "q", "qa"), (0, "n", "nb"), (1, "n", "na"))
+            ],
         )
         .select(
-            *[F.col(f"_probe.{c}").alias(c) for c in [*probe.columns, "b", "a"]], "qb", "qa"
+            *[F.col(f"_probe.{c}").alias(c) for c in [*probe.columns, "b", "a"]],
+            "qb",
+            "qa",
+            "nb",
+            "na",
         )
     )

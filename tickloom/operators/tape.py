@@ -113,6 +113,7 @@ def message_quotes(
         F.first("p_tick").alias("p_tick"),
         F.first("p_qty").alias("p_qty"),
         F.first("born_ms").alias("born_ms"),
+        F.min("level_n").alias("left_n"),
     )
     probe = messages.select(
         *CHUNK, "rpt", "seq", "t_ms", "typ", "side", "tick", "qty", "oid", "firm", "retail"
@@ -129,13 +130,13 @@ def with_before(after: DataFrame) -> DataFrame:
         KEY,
         ["rpt"],
         [
-            previous("_before", "b", "a", "qb", "qa", "t_ms", "seq"),
+            previous("_before", "b", "a", "qb", "qa", "nb", "na", "t_ms", "seq"),
             running_sum("order_msgs", F.when(F.col("typ") != "T", 1).otherwise(0).cast("bigint")),
         ],
     ).select(
         *after.columns,
         "order_msgs",
-        *[F.col(f"_before.{c}").alias(f"{c}0") for c in ("b", "a", "qb", "qa")],
+        *[F.col(f"_before.{c}").alias(f"{c}0") for c in ("b", "a", "qb", "qa", "nb", "na")],
         F.col("_before.t_ms").alias("t0"),
         F.col("_before.seq").alias("seq0"),
     )
