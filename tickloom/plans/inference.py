@@ -215,12 +215,13 @@ def hour_share(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- regressions
-def effects_regression(rows: DataFrame, keys: list[str], y: str, xs: list[str], category: str | None = "hour") -> tuple[DataFrame, DataFrame]:
+def effects_regression(rows: DataFrame, keys: list[str], y: str, xs: list[str], category: str | None = "hour", tested: int = 1) -> tuple[DataFrame, DataFrame]:
     """OLS with category effects; ``xs[0]`` is the regressor of interest.
 
     Returns ``(fit, influence)``: the fit per key (standardised beta, partial R2 of the
     regressor, n) and per row the residual ``u`` and the influence ``psi`` on beta, whose
-    cluster sums, products and lags give every standard error.
+    cluster sums, products and lags give every standard error.  With ``tested`` > 1 rows
+    also carry ``psis``, the raw influences on the first slopes.
     """
     used = rows.dropna(subset=[y, *xs])
     group = Window.partitionBy(*keys, *([category] if category else []))
@@ -248,15 +249,19 @@ def effects_regression(rows: DataFrame, keys: list[str], y: str, xs: list[str],
         (gain / (F.col("_f.ssr") + gain)).alias("partial_r2"),
         F.col("_f.beta").alias("_beta"),
         F.slice(F.col("_f.inverse"), 1, k).alias("_row"),
+        F.slice(F.col("_f.inverse"), 1, k * tested).alias("_rows"),
     )
     x = F.array(*z[:k])
     influence = (
-        centred.join(fit.select(*keys, "_beta", "_row", "scale"), keys)
+        centred.join(fit.select(*keys, "_beta", "_row", "_rows", "scale"), keys)
         .withColumn("u", z[k] - dot(F.col("_beta"), x))
         .withColumn("psi", dot(F.col("_row"), x) * F.col("u") * F.col("scale"))
-        .drop("_beta", "_row", *[f"z{i}" for i in range(k + 1)])
     )
-    return fit.drop("_beta", "_row"), influence
+    if tested > 1:
+        each = [dot(F.slice("_rows", i * k + 1, k), x) * F.col("u") for i in range(tested)]
+        influence = influence.withColumn("psis", F.array(*each))
+    influence = influence.drop("_beta", "_row", "_rows", *[f"z{i}" for i in range(k + 1)])
+    return fit.withColumn("betas", F.slice("_beta", 1, tested)).drop("_beta", "_row", "_rows"), influence
 
 
 def hac_error(influence: DataFrame, keys: list[str], order: list[str], lags: int, within: list[str] | None = None) -> DataFrame:
