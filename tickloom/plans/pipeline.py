@@ -34,6 +34,7 @@ class BookPipeline:
         self.chunk_floor = chunk_floor
         self.delayed = delayed
         self.store = StageStore(spark, "delayed" if delayed else "book")
+        self.streams: set[str] = set()
 
     @cached_property
     def numbered(self) -> DataFrame:

@@ -95,7 +95,7 @@ def closing_prices(tape: DataFrame, size_ms: int) -> DataFrame:
 
 
 def replay_panel(tape: DataFrame, queue: DataFrame, size_ms: int) -> DataFrame:
-    """All counters of the replay in one grouped sum over narrow contribution rows."""
+    """All counters of the replay per bucket."""
     one = F.lit(1)
     zone = F.col("queue_zone")
     queue_rows = queue.select(
@@ -137,14 +137,20 @@ def replay_panel(tape: DataFrame, queue: DataFrame, size_ms: int) -> DataFrame:
         ],
         F.when(F.col("dropped"), F.col("dur")).otherwise(0).cast("bigint").alias("spread_ms_dropped"),
     )
-    rows = message_counters(tape, size_ms)
-    for part in (queue_rows, sweep_rows, price_runs, queue_runs, naive, held):
-        rows = rows.unionByName(part, allowMissingColumns=True)
+    # each source is summed on its own (partial sums before the shuffle) and the small
+    # panels are joined; a bucket of any source holds at least one message
     keys = [*KEY, "bucket"]
-    sums = [
-        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c not in keys
-    ]
-    return rows.groupBy(*keys).agg(*sums).join(closing_prices(tape, size_ms), keys, "left")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in rows.columns if c not in keys]
+        )
+
+    panel = summed(message_counters(tape, size_ms))
+    for part in (queue_rows, sweep_rows, price_runs, queue_runs, naive, held):
+        panel = panel.join(summed(part), keys, "left")
+    counters = [c for c in panel.columns if c not in keys]
+    return panel.fillna(0, counters).join(closing_prices(tape, size_ms), keys, "left")
 
 
 def coarser(panel: DataFrame, size_ms: int) -> DataFrame:

@@ -1,0 +1,70 @@
+"""Best quote as a stateful stream: one state per (day, instrument).
+
+The state holds live orders and occupied levels; keys of a finished day time out.
+Messages are sorted inside a micro-batch; a message older than the last one applied is
+reported as late and leaves the book unchanged.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT = "day int, sid bigint, seq bigint, t_ms bigint, b bigint, a bigint, late boolean"
+STATE = "book binary"
+IDLE_MS = 24 * 3_600_000
+
+
+def _apply(book: dict, typ: str, side: int, tick: int, oid: int) -> None:
+    orders, levels = book["orders"], book["levels"]
+
+    def leave():
+        s, t = orders.pop(oid)
+        levels[s][t] -= 1
+        if not levels[s][t]:
+            del levels[s][t]
+
+    if typ == "T" or (typ != "N" and oid not in orders):
+        return
+    if oid in orders:
+        side = side if typ == "N" else orders[oid][0]
+        leave()
+    if typ != "D":
+        orders[oid] = (side, tick)
+        levels[side][tick] = levels[side].get(tick, 0) + 1
+
+
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    book = pickle.loads(state.get[0]) if state.exists else {"orders": {}, "levels": ({}, {}), "last": -1}
+    rows = pd.concat(list(batches)).sort_values("rpt", kind="stable")
+    out = []
+    for rpt, seq, t, typ, side, tick, oid in zip(
+        *(rows[c].tolist() for c in ("rpt", "seq", "t_ms", "typ", "side", "tick", "oid"))
+    ):
+        late = rpt <= book["last"]
+        if not late:
+            book["last"] = rpt
+            _apply(book, typ, side, tick, oid)
+        bids, asks = book["levels"]
+        out.append((*key, seq, t, max(bids) if bids else None, min(asks) if asks else None, late))
+    state.update((pickle.dumps(book),))
+    state.setTimeoutDuration(IDLE_MS)
+    frame = pd.DataFrame(out, columns=["day", "sid", "seq", "t_ms", "b", "a", "late"])
+    frame["b"], frame["a"] = frame["b"].astype("Int64"), frame["a"].astype("Int64")
+    # the quote of a packet is the one after its last message
+    on_time = frame[~frame["late"]].drop_duplicates("seq", keep="last")
+    yield pd.concat([on_time, frame[frame["late"]]])
+
+
+def quote_stream(stream: DataFrame) -> DataFrame:
+    """Quote after each packet of a message stream, late messages flagged."""
+    return stream.groupBy("day", "sid").applyInPandasWithState(
+        _step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
