@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tickloom.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(8, 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

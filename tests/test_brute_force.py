@@ -10,6 +10,7 @@ from tests.book import messages, opening, run
 from tickloom.functions.linear import grouped_fit
 from tickloom.operators import best_quote, lifecycle, tape
 from tickloom.plans import inference
+from tickloom.session import StageStore
 
 
 def random_packets(seed, n=150):
@@ -55,7 +56,7 @@ def replay(packets):
 @pytest.mark.parametrize("chunk", [1000, 7])
 def test_best_quotes_match_replay(spark, chunk):
     packets = random_packets(5)
-    _, history, moves = run(spark, packets, chunk)
+    _, history, moves = run(spark, {1: packets}, chunk)
     want = replay(packets)
     for r in history.collect():
         last = r["seq"] + r["n_packets"] - 1
@@ -79,9 +80,12 @@ def test_replay_applies_unknown_orders(spark):
         (3, [("D", 1, 102, 2, 89)]),   # nothing rests there any more
     ]
     msgs = messages(spark, packets, 2)
-    depth = tape.replay_depth(tape.replay_counts(tape.replay_changes(msgs).cache()).cache()).cache()
+    store = StageStore(spark, "test")
+    changes = store.table("changes", lambda: tape.replay_changes(msgs))
+    counts = store.table("counts", lambda: tape.replay_counts(changes))
+    depth = store.table("depth", lambda: tape.replay_depth(counts))
     rows = depth.filter("e_side IS NOT NULL")
-    snapshots = best_quote.chunk_snapshots(rows)
+    snapshots = best_quote.chunk_snapshots(rows, msgs)
     best = best_quote.best_changes(lifecycle.occupancy_changes(rows), snapshots)
     quotes = tape.message_quotes(msgs, depth, best, snapshots).orderBy("rpt").collect()
     assert (quotes[-1]["b"], quotes[-1]["a"]) == (101, 103)

@@ -1,105 +1,87 @@
-"""Literal scenarios with exact expected rows."""
+"""Literal scenarios, one day each, with exact expected rows."""
 
-from tests.book import opening, run
-
-
-def rows(moves):
-    return [r.asDict() for r in moves.orderBy("seq", "side").collect()]
+import pytest
 
+from tests.book import opening, run
 
-def test_refill_after_200_ms(spark):
-    _, _, moves = run(spark, opening() + [
-        (10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4)]),
-        (10_200, [("N", 1, 102, 2, 7)]),
-    ])
-    down, up = rows(moves)
+SWEEP = [
+    (10_000, [("T", -1, 102, 2, False), ("T", -1, 103, 2, False), ("T", -1, 104, 2, False)]),
+    (10_001, [("D", 1, 102, 2, 4), ("D", 1, 103, 2, 5)]),
+    (10_002, [("N", 1, 106, 1, 9), ("D", 1, 104, 2, 6)]),
+]
+DAYS = {
+    1: [(10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4)]), (10_200, [("N", 1, 102, 2, 7)])],
+    2: [(10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4)]), (10_300, [("N", 0, 101, 1, 7)])],
+    3: [(10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4), ("N", 0, 102, 1, 7)])],
+    4: SWEEP,
+    5: [(10_000, [("D", 0, 100, 2, 1)])],
+    6: [(9_995, [("T", -1, 101, 1, True)]), (10_000, [("D", 0, 100, 2, 1)])],
+    7: [(9_950, [("T", -1, 101, 1, True)]), (10_000, [("D", 0, 100, 2, 1)])],
+    8: [(10_000, [("T", -1, 100, 2, True), ("D", 0, 100, 2, 1)])],
+    9: [
+        (10_000, [("N", 0, 101, 1, 7)]), (15_000, [("D", 0, 101, 1, 7)]),
+        (20_000, [("N", 0, 50, 1, 8)]), (21_000, [("N", 0, 101, 1, 9)]),
+    ],
+    10: [(10_000, [("C", 0, 101, 2, 1)]), (11_000, [("D", 0, 77, 1, 999)])],
+}
+
+
+@pytest.fixture(scope="module", params=[1000, 1])
+def result(spark, request):
+    days = {d: opening() + packets for d, packets in DAYS.items()}
+    log, history, moves = run(spark, days, request.param, {9: [(9_000, 19_000)]})
+    pick = lambda df, *order: [r.asDict() for r in df.orderBy("day", *order).collect()]
+    return pick(log, "rpt", "sub"), pick(history, "seq"), pick(moves, "seq", "side")
+
+
+def of(rows, day):
+    return [r for r in rows if r["day"] == day]
+
+
+def test_refill(result):
+    down, up = of(result[2], 1)
     assert (down["side"], down["kind"], down["cause"], down["r_10ms"]) == ("ask", "worsen", "execution", True)
-    assert up["class_w1000"] == "refill" and up["class_w100"] == "undercut"
+    assert (up["class_w1000"], up["class_w100"]) == ("refill", "undercut")
 
 
-def test_shift_after_300_ms(spark):
-    _, _, moves = run(spark, opening() + [
-        (10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4)]),
-        (10_300, [("N", 0, 101, 1, 7)]),
-    ])
-    down, up = rows(moves)
+def test_shift(result):
+    down, up = of(result[2], 2)
     assert down["cause"] == "execution"
     assert (up["side"], up["class"], up["class_w100"]) == ("bid", "shift", "undercut")
 
 
-def test_same_event_shift(spark):
-    _, _, moves = run(spark, opening() + [
-        (10_000, [("T", -1, 102, 2, False), ("D", 1, 102, 2, 4), ("N", 0, 102, 1, 7)]),
-    ])
-    ask, bid = rows(moves)
+def test_same_event_shift(result):
+    ask, bid = of(result[2], 3)
     assert (ask["kind"], ask["cause"]) == ("worsen", "execution")
-    assert (bid["kind"], bid["class"]) == ("improve", "shift")
-
-
-def test_fragmented_sweep_is_one_event(spark):
-    packets = opening() + [
-        (10_000, [("T", -1, 102, 2, False), ("T", -1, 103, 2, False), ("T", -1, 104, 2, False)]),
-        (10_001, [("D", 1, 102, 2, 4), ("D", 1, 103, 2, 5)]),
-        (10_002, [("N", 1, 106, 1, 9), ("D", 1, 104, 2, 6)]),
-    ]
-    for chunk in (1000, 1):
-        _, history, moves = run(spark, packets, chunk)
-        last = history.orderBy("seq").collect()[-1]
-        assert (last["n_packets"], last["open_balance"], last["aggressor"]) == (3, 0, 1)
-        (move,) = rows(moves)
-        assert (move["ticks"], move["cause"], move["r_10ms"]) == (4, "execution", True)
-
-
-def test_literal_clock_rule_closes_on_clock_change(spark):
-    packets = opening() + [
-        (10_000, [("T", -1, 102, 2, False)]),
-        (10_001, [("D", 1, 102, 2, 4)]),
-    ]
-    _, history, moves = run(spark, packets, cross_clock=False)
-    assert history.count() == 3
-    assert rows(moves)[0]["cause"] == "cancel"
-
-
-def test_cancel_and_trade_window(spark):
-    for gap, flag in ((None, False), (5, True), (50, False)):
-        packets = opening()
-        if gap is not None:
-            packets = packets + [(10_000 - gap, [("T", -1, 101, 1, False)])]
-        _, _, moves = run(spark, packets + [(10_200, [("N", 0, 90, 1, 50)]), (10_300, [("N", 0, 90, 1, 51)])])
-        packets = packets + [(10_000, [("D", 0, 100, 2, 1)])]
-        _, _, moves = run(spark, packets)
-        (move,) = rows(moves)
-        assert (move["cause"], move["r_10ms"], move["r2_10ms"]) == ("cancel", flag, False)
-
-
-def test_retail_print_does_not_execute(spark):
-    _, _, moves = run(spark, opening() + [
-        (10_000, [("T", -1, 100, 2, True), ("D", 0, 100, 2, 1)]),
-    ])
-    (move,) = rows(moves)
+    assert bid["kind"] == "improve"
+
+
+def test_fragmented_sweep_is_one_event(result):
+    last = of(result[1], 4)[-1]
+    assert (last["n_packets"], last["open_balance"], last["aggressor"]) == (3, 0, 1)
+    (move,) = of(result[2], 4)
+    assert (move["ticks"], move["cause"], move["r_10ms"]) == (4, "execution", True)
+
+
+@pytest.mark.parametrize("day,flag", [(5, False), (6, True), (7, False)])
+def test_cancel_after_trade(result, day, flag):
+    (move,) = of(result[2], day)
+    assert (move["cause"], move["r_10ms"], move["r2_10ms"]) == ("cancel", flag, False)
+
+
+def test_retail_print_does_not_execute(result):
+    (move,) = of(result[2], 8)
     assert (move["cause"], move["r_10ms"], move["r_nr_10ms"]) == ("cancel", True, False)
 
 
-def test_exclusion_resets_reference(spark):
-    packets = opening() + [
-        (10_000, [("N", 0, 101, 1, 7)]),
-        (15_000, [("D", 0, 101, 1, 7)]),
-        (20_000, [("N", 0, 50, 1, 8)]),
-        (21_000, [("N", 0, 101, 1, 9)]),
-    ]
-    _, history, moves = run(spark, packets, exclusions=[(9_000, 19_000)])
-    states = {r["t_ms"]: r for r in history.collect()}
+def test_exclusion_resets_reference(result):
+    states = {r["t_ms"]: r for r in of(result[1], 9)}
     assert states[20_000]["reference"] and not states[10_000]["counted"]
-    (move,) = rows(moves)
-    assert move["t_ms"] == 21_000 and move["class"] == "undercut"
-
-
-def test_price_change_and_orphans(spark):
-    log, history, _ = run(spark, opening() + [
-        (10_000, [("C", 0, 101, 2, 1)]),
-        (11_000, [("D", 0, 77, 1, 999)]),
-    ])
-    labels = {r["anomaly"] for r in log.select("anomaly").distinct().collect()}
-    assert {"price_change", "orphan_delete"} <= labels
-    last = history.orderBy("seq").collect()[-1]
+    (move,) = of(result[2], 9)
+    assert (move["t_ms"], move["class"]) == (21_000, "undercut")
+
+
+def test_price_change_and_orphans(result):
+    assert {"price_change", "orphan_delete"} <= {r["anomaly"] for r in of(result[0], 10)}
+    last = of(result[1], 10)[-1]
     assert (last["b"], last["a"], last["qb"]) == (101, 102, 2)

@@ -9,16 +9,17 @@ from tickloom.functions.constants import BID, CHUNK, KEY
 from tickloom.operators.kernels import BEST_SCHEMA, best_ticks, sorted_map
 
 
-def chunk_snapshots(depth: DataFrame) -> DataFrame:
+def chunk_snapshots(depth: DataFrame, log: DataFrame) -> DataFrame:
     """Levels standing at the start of every chunk, as occupancy rows before it (rpt -1).
 
-    A level keeps its state from the chunk that last touched it up to the next chunk
+    ``log`` holds every row of the session: its last chunks may carry no level effect but
+    still need the book.  A level keeps its state from the chunk that last touched it up to the next chunk
     that touches it, so the snapshot is an explode over that chunk range.
     """
     touched = depth.groupBy(*KEY, "e_side", "e_tick", "chunk").agg(
         F.max_by(F.struct("level_n", "level_q"), F.struct("rpt", "sub")).alias("end")
     )
-    last_chunk = depth.groupBy(*KEY).agg(F.max("chunk").alias("last_chunk"))
+    last_chunk = log.groupBy(*KEY).agg(F.max("chunk").alias("last_chunk"))
     ordered = Window.partitionBy(*KEY, "e_side", "e_tick").orderBy("chunk")
     return (
         touched.withColumn("next", F.lead("chunk").over(ordered))

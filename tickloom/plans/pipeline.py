@@ -80,11 +80,11 @@ class BookPipeline:
         )
         return self.store.table("log", lambda: lifecycle.with_level_depth(executed))
 
-    def _best(self, name: str, depth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _best(self, name: str, depth: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Levels standing at chunk starts and best-tick changes of a depth log."""
         rows = depth.filter("e_side IS NOT NULL")
         snapshots = self.store.table(
-            f"{name}_snapshots", lambda: best_quote.chunk_snapshots(rows)
+            f"{name}_snapshots", lambda: best_quote.chunk_snapshots(rows, log)
         )
         best = self.store.table(
             f"{name}_best",
@@ -95,7 +95,7 @@ class BookPipeline:
     @cached_property
     def events(self) -> DataFrame:
         """Matching events with best quote, phase and segment."""
-        snapshots, best = self._best("book", self.log)
+        snapshots, best = self._best("book", self.log, self.log)
         quotes = self.store.table(
             "quotes",
             lambda: best_quote.quote_at(
@@ -138,7 +138,7 @@ class BookPipeline:
     @cached_property
     def tape(self) -> DataFrame:
         """Every message with the quote before and after it, classified."""
-        snapshots, best = self._best("replay", self.replay_log)
+        snapshots, best = self._best("replay", self.replay_log, self.messages)
         quotes = self.store.table(
             "tape_quotes",
             lambda: message_tape.message_quotes(self.messages, self.replay_log, best, snapshots),
