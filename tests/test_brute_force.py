@@ -79,7 +79,7 @@ def test_replay_applies_unknown_orders(spark):
         (2, [("D", 1, 102, 2, 88)]),   # unknown: takes the order resting at 102
         (3, [("D", 1, 102, 2, 89)]),   # nothing rests there any more
     ]
-    msgs = messages(spark, packets, 2)
+    msgs = messages(spark, packets, 2).withColumn("firm", F.lit(0))
     store = StageStore(spark, "test")
     changes = store.table("changes", lambda: tape.replay_changes(msgs))
     counts = store.table("counts", lambda: tape.replay_counts(changes))
