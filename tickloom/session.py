@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,30 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application.
+
+    Kernels are pickled by reference, so a worker must be able to import the package
+    whatever folder it was started from.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "tickloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 class StageStore:
     """Written stage tables of one input: built on first use, read back afterwards.
 
@@ -51,6 +77,7 @@ class StageStore:
 
     def __init__(self, spark: SparkSession, label: str = "run"):
         self.spark = spark
+        ship_package(spark)
         self.path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._ready: set[str] = set()
 
