@@ -29,9 +29,9 @@ from tickloom.llm import svm
 from tickloom.llm.common import joined, key_remainder, passes, read, span_sums, text_bytes
 
 #: Hashed trigram features.
-FEATURES = 8192
+FEATURES = 4096
 #: Labelled texts of each language to learn from.
-PER_LANGUAGE = 700
+PER_LANGUAGE = 600
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -59,7 +59,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts, ends = joined(texts, b"  ")
     b = _FOLD[data]
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    code = (code * np.uint32(2654435761)) >> np.uint32(19)
+    code = (code * np.uint32(2654435761)) >> np.uint32(20)
     code[b[1:-1] == 32] = FEATURES
     # a trigram is listed where it begins, one byte before its middle
     return code, starts - 1, ends - 1
@@ -117,7 +117,7 @@ def learn(languages: list[str], x: np.ndarray) -> Model:
     families = sorted({family_of(x) for x in known})
     label = np.array(languages)
     spread = 1 / (x.std(axis=0) + 1e-5) if len(x) else np.ones(FEATURES)
-    scaled = (x * spread / np.sqrt(FEATURES)).astype(np.float64)
+    scaled = (x * (spread / np.sqrt(FEATURES))).astype(np.float32)
     duties, weights, biases, slopes = [], [], [], []
 
     def fit(duty: tuple, rows: np.ndarray, y: np.ndarray) -> None:
@@ -157,8 +157,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array(langs[lo:hi], pa.string()),
-                    "feature": pa.array(kept, pa.list_(pa.int32())),
-                    "n": pa.array([r[k] for r, k in zip(rows, kept)], pa.list_(pa.int32())),
+                    "feature": pa.array([k.astype(np.int32).tobytes() for k in kept], pa.binary()),
+                    "n": pa.array([r[k].astype(np.int32).tobytes() for r, k in zip(rows, kept)], pa.binary()),
                 }
             )
 
@@ -177,12 +177,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_003 * min(1.0, per_language / n))))
     taken = rows.filter(keep).mapInArrow(
-        _sample_features, "lang string, feature array<int>, n array<int>"
+        _sample_features, "lang string, feature binary, n binary"
     )
     found = taken.collect()
     x = np.zeros((len(found), FEATURES), dtype=np.float32)
     for i, r in enumerate(found):
-        x[i, r["feature"]] = r["n"]
+        x[i, np.frombuffer(r["feature"], np.int32)] = np.frombuffer(r["n"], np.int32)
     usable = x.sum(axis=1) > 0
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     return learn([r["lang"] for r, u in zip(found, usable) if u], x[usable])

@@ -9,7 +9,8 @@ def train(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) -> tu
     """Weights and bias for labels -1/+1; accelerated gradient, classes weighted equally."""
     n, m = x.shape
     xb = np.hstack([x, np.ones((n, 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    y = y.astype(x.dtype)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     v = np.ones(m + 1, x.dtype) / np.sqrt(m + 1)
     for _ in range(20):  # largest curvature by power iteration
         v = xb.T @ (share * (xb @ v))
@@ -21,7 +22,7 @@ def train(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) -> tu
         gap = np.maximum(0, 1 - y * (xb @ z))
         grad = z - 2 * c * (xb.T @ (share * y * gap))
         nxt = z - rate * grad
-        z = nxt + k / (k + 3) * (nxt - w)
+        z = nxt + x.dtype.type(k / (k + 3)) * (nxt - w)
         w = nxt
     return w[:-1], float(w[-1])
 
