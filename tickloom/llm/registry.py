@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id
+from tickloom.llm import bpe, language_id, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe_codec": bpe.query,
+    "op7_toxicity": toxicity.query,
     "op10_language_id": language_id.query,
 }
 

@@ -50,9 +50,12 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of ``texts`` in order, and the index of each text's first word."""
+def word_hashes(texts: list[bytes], prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every word of ``texts`` in order, of its first ``prefix`` bytes, and the index
+    of each text's first word."""
     data, starts, _ = joined(texts, b" ")
     folded = FOLD[data]
     begin, end = word_spans(folded)
-    return hash_spans(folded, begin, end), np.searchsorted(begin, starts)
+    whole = hash_spans(folded, begin, end)
+    head = hash_spans(folded, begin, np.minimum(begin + prefix, end))
+    return whole, head, np.searchsorted(begin, starts)
