@@ -32,9 +32,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
-    root = stage_root(spark)
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/llm-" in name and name.startswith(("file:", "hdfs:", root[:1])):
+        if "/llm-" in name:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, language_id, toxicity
+from tickloom.llm import bpe, language_id, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": bpe.query,
     "op7_toxicity": toxicity.query,
+    "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
 }
 
