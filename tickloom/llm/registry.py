@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, language_id, simhash, toxicity
+from tickloom.llm import bpe, language_id, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": bpe.query,
+    "op6_topk": topk.query,
     "op7_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_topk": topk.SQL,
+}
