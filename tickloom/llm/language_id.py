@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     keep = F.lit(False)
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_003 * min(1.0, per_language / n))))
-    taken = rows.filter(keep).mapInArrow(
+    taken = rows.filter(keep).dropDuplicates(["doc_id"]).mapInArrow(
         _sample_features, "lang string, feature binary, n binary"
     )
     found = taken.collect()
