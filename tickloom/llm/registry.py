@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, language_id, simhash, topk, toxicity
+from tickloom.llm import bpe, decontaminate, language_id, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": bpe.query,
+    "op5_decontaminate": decontaminate.query,
     "op6_topk": topk.query,
     "op7_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_decontaminate": decontaminate.query,
     "op6_topk": topk.SQL,
 }
