@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, language_id, simhash, topk, toxicity
+from tickloom.llm import bpe, decontaminate, language_id, line_dedup, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.query,
     "op4_bpe_codec": bpe.query,
     "op5_decontaminate": decontaminate.query,
     "op6_topk": topk.query,
