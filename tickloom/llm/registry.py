@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, language_id, line_dedup, simhash, topk, toxicity
+from tickloom.llm import bpe, decontaminate, language_id, line_dedup, simhash, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": decontaminate.query,
     "op6_topk": topk.query,
     "op7_toxicity": toxicity.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
 }
