@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, language_id, line_dedup, simhash, suffix_dedup, topk, toxicity
+from tickloom.llm import bpe, decontaminate, fixity, language_id, line_dedup, simhash, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fixity": fixity.query,
     "op2_line_dedup": line_dedup.query,
     "op4_bpe_codec": bpe.query,
     "op5_decontaminate": decontaminate.query,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.query,
+    "op1_fixity": fixity.SQL,
     "op6_topk": topk.SQL,
 }
