@@ -3,8 +3,8 @@
 The components of the vectors are cut into ``PARTS`` ranges; each range scores all vectors
 against a query on its own and so holds one list of partial scores, spread over chunks of
 vectors. Partial scores are counted from the least one of the list, so they are not
-negative. Phase one gathers the top of every list and takes the k-th largest sum of what
-has been seen: no result lies below it. Phase two sends that cutoff, divided by the number
+negative. Phase one gathers the top of every list, scores what it has met and takes the k-th
+largest score: no result lies below it. Phase two sends that cutoff, divided by the number
 of lists, with the queries, and collects every entry at or above it; an entry absent from all
 lists lies below the cutoff. Phase three drops what cannot reach the k-th largest sum any
 more and resolves the remaining scores exactly.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import read, staged
 
 PARTS = 2
+#: Times k that the first phase gathers from each list.
+DEPTH = 3
 #: Classes of a chunk and queries of a block: the size of one matrix product.
 CHUNK = 4096
 BLOCK = 1024
@@ -152,19 +154,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     tops = staged(
         asking.groupBy(key)
         .cogroup(dealt.groupBy(key))
-        .applyInArrow(_top_lists(keep), "list int, q bigint, c bigint, s bigint, least bigint"),
+        .applyInArrow(_top_lists(DEPTH * keep), "list int, q bigint, c bigint, s bigint, least bigint"),
         "tops",
     )
     floors = tops.groupBy("list", "q").agg(F.min("least").alias("floor"))
     in_list = Window.partitionBy("list", "q").orderBy(F.desc("s"), "c")
-    seen = (
+    product = F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0L, (s, x) -> s + x)")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Exact scores of pairs (q, c)."""
+        return (
+            pairs.join(classes.withColumnRenamed("v", "b"), "c")
+            .join(wanted.withColumnRenamed("v", "a"), "q")
+            .select("q", "c", product.alias("score"))
+        )
+
+    first = (
         tops.withColumn("place", F.row_number().over(in_list))
-        .filter(F.col("place") <= keep)
-        .join(floors, ["list", "q"])
-        .groupBy("q", "c")
-        .agg(F.sum(F.col("s") - F.col("floor")).alias("sum"))
+        .filter(F.col("place") <= DEPTH * keep)
+        .select("q", "c")
+        .distinct()
     )
-    safe = _kth(seen, "sum", keep, "safe")
+    bases = floors.groupBy("q").agg(F.sum("floor").alias("base"))
+    safe = _kth(scored(first), "score", keep, "safe").join(bases, "q").select("q", F.expr("safe - base").alias("safe"))
     # without k entries everything is at or above the cutoff; the share is rounded down
     cutoffs = staged(
         floors.join(safe, "q", "left").select(
@@ -201,14 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .withColumn("high", F.col("low") + (F.col("of") - F.col("lists")) * F.col("share"))
         .filter("bound IS NULL OR high >= bound")
     )
-    product = F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0L, (s, x) -> s + x)")
-    resolved = (
-        left.filter("lists < of")
-        .select("q", "c")
-        .join(classes.withColumnRenamed("v", "b"), "c")
-        .join(wanted.withColumnRenamed("v", "a"), "q")
-        .select("q", "c", product.alias("score"))
-    )
+    resolved = scored(left.filter("lists < of").select("q", "c"))
     exact = left.filter("lists = of").select("q", "c", "score").unionByName(resolved)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = (
