@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import passes, read, text_bytes
+from tickloom.llm.common import passes, read, shipped, text_bytes
 
 #: Words that a worker remembers between batches.
 KNOWN_WORDS = 300_000
@@ -233,7 +233,7 @@ def _mapped(docs: DataFrame, path: str, out: str, names: list[str], make) -> Dat
                 kept = {name: batch.column(name).slice(lo, hi - lo) for name in names}
                 yield pa.RecordBatch.from_pydict(kept | make(vocabulary, ids))
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, out)
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(shipped).mapInArrow(run, out)
 
 
 def _kept(docs: DataFrame, names: list[str]) -> str:
@@ -248,12 +248,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them; the ids too."""
 
     def make(vocabulary: Vocabulary, found: list[np.ndarray]) -> dict[str, pa.Array]:
         decoded = (vocabulary.decode(ids) for ids in found)
-        return {
+        ids = {"ids": _ids_column(found)} if with_ids else {}
+        return ids | {
             "n_tokens": pa.array([len(i) for i in found], pa.int64()),
             "ids_sha256": pa.array(
                 [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in found], pa.string()
@@ -261,7 +262,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string()),
         }
 
-    out = f"{_kept(docs, ['doc_id'])}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    ids = "ids array<int>, " if with_ids else ""
+    out = f"{_kept(docs, ['doc_id'])}, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return _mapped(docs, path, out, ["doc_id"], make)
 
 

@@ -21,9 +21,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, whose workers can import this package from now on."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    ship_package(spark)
     target = f"{stage_root(spark)}/llm-{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(target)
     return spark.read.parquet(target)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import joined, passes, read, span_sums, text_bytes
+from tickloom.llm.common import joined, passes, read, shipped, span_sums, text_bytes
 from tickloom.llm.fm_index import FmIndex
 from tickloom.llm.words import FOLD, hash_spans, word_spans
 
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns |= {name: pa.array(found[name], kind) for name, kind in kinds.items()}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(names).mapInArrow(run, f"{kept}, {RESULTS}")
+    return docs.select(names).transform(shipped).mapInArrow(run, f"{kept}, {RESULTS}")
 
 
 def without(text: bytes, spans: list[dict]) -> bytes:
@@ -194,9 +194,10 @@ def without(text: bytes, spans: list[dict]) -> bytes:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the passages of the benchmark cut out of the text."""
-    names = docs.columns
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """``docs`` with the passages of the benchmark cut out of the text, and n_hit."""
+    names = [*(c for c in docs.columns if c != "n_hit"), "n_hit"]
+    found = contaminated(docs, benchmark)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +208,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns["text"] = pa.array(cut, batch.column("text").type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return contaminated(docs, benchmark).select(*names, "spans").mapInArrow(run, kept)
+    return found.select(*names, "spans").transform(shipped).mapInArrow(run, kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

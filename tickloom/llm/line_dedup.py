@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import passes, read, staged, text_bytes
+from tickloom.llm.common import passes, read, shipped, staged, text_bytes
 from tickloom.llm.words import hash_spans
 
 EDITS = 2
@@ -179,7 +179,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 names=["l1", "l2", "doc_id", "line"],
             )
 
-    return docs.select(_id(), "text").mapInArrow(run, "l1 bigint, l2 bigint, doc_id bigint, line int")
+    return docs.select(_id(), "text").transform(shipped).mapInArrow(run, "l1 bigint, l2 bigint, doc_id bigint, line int")
 
 
 def _key_rows(found: Iterator, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _first_keys(docs: DataFrame) -> DataFrame:
                 ids = np.fromiter(fresh, dtype=np.int64, count=len(fresh))
                 yield from _key_rows(keys(list(fresh.values()), np.zeros(len(ids), dtype=np.int64)), ids)
 
-    return docs.select("text").mapInArrow(run, "key bigint, l1 bigint, tag int")
+    return docs.select("text").transform(shipped).mapInArrow(run, "key bigint, l1 bigint, tag int")
 
 
 def _runs(keyed: DataFrame, last: bool) -> DataFrame:
@@ -270,7 +270,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
     return (
         keyed.repartition("key")
         .sortWithinPartitions("key", "l1")
-        .mapInArrow(run, "key bigint, a bigint, b bigint, tag int")
+        .transform(shipped).mapInArrow(run, "key bigint, a bigint, b bigint, tag int")
     )
 
 
@@ -305,7 +305,7 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     where = staged(where, "places")
     rows = docs.select(_id(), "text").join(_small(where), "doc_id").select("text", "at")
-    found = rows.mapInArrow(run, "l1 bigint, l2 bigint, bytes binary")
+    found = rows.transform(shipped).mapInArrow(run, "l1 bigint, l2 bigint, bytes binary")
     return staged(found.dropDuplicates(["l1", "l2"]), "line-texts")
 
 
@@ -318,7 +318,7 @@ def _finer(hot: DataFrame, texts: DataFrame) -> DataFrame:
             left = [rest(x, t) for x, t in zip(batch.column("bytes").to_pylist(), batch.column("tag").to_pylist())]
             yield from _key_rows(keys(left, batch.column("key").to_numpy()), ids)
 
-    return hot.join(texts, hot["a"] == texts["l1"]).select("key", "l1", "bytes", "tag").mapInArrow(
+    return hot.join(texts, hot["a"] == texts["l1"]).select("key", "l1", "bytes", "tag").transform(shipped).mapInArrow(
         run, "key bigint, l1 bigint, tag int"
     )
 
@@ -339,7 +339,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         both.filter(near)
         .select("a1", "a2", "b1", "b2", "xa", "xb")
-        .mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+        .transform(shipped).mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     )
 
 
@@ -430,7 +430,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     drops = decisions(docs).withColumnRenamed("doc_id", "drop_id")
     both = docs.select(names).join(drops, _id() == F.col("drop_id"), "left").drop("drop_id")
-    return both.mapInArrow(run, f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
+    return both.transform(shipped).mapInArrow(run, f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, fixity, language_id, line_dedup, simhash, suffix_dedup, topk, toxicity
+import corpus_pipeline
+from tickloom.llm import bpe, decontaminate, fixity, language_id, line_dedup, simhash, suffix_dedup, tool_calls, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": fixity.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_tool_calls": tool_calls.query,
     "op4_bpe_codec": bpe.query,
     "op5_decontaminate": decontaminate.query,
     "op6_topk": topk.query,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import passes, read, staged, text_bytes
+from tickloom.llm.common import passes, read, shipped, staged, text_bytes
 from tickloom.llm.words import powers
 
 WINDOW = 400
@@ -278,7 +278,7 @@ def _core_keys(docs: DataFrame) -> DataFrame:
                     [pa.array(found["key"]), pa.array(t1[lo:hi][found["owner"]])], names=["key", "t1"]
                 )
 
-    return docs.select("text", "t1").mapInArrow(run, "key bigint, t1 bigint")
+    return docs.select("text", "t1").transform(shipped).mapInArrow(run, "key bigint, t1 bigint")
 
 
 def _signed(x: int) -> tuple[int, int]:
@@ -325,7 +325,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 10, _KINDS)], names=_NAMES
                 )
 
-    return docs.select("text", "t1", "t2", "keys").mapInArrow(run, _CONTEXT)
+    return docs.select("text", "t1", "t2", "keys").transform(shipped).mapInArrow(run, _CONTEXT)
 
 
 _NAMES = [c.split(" ")[0] for c in _CONTEXT.split(", ")]
@@ -391,7 +391,7 @@ def _marked(contexts: DataFrame) -> DataFrame:
     return (
         counted.repartition("k1", "k2")
         .sortWithinPartitions("k1", "k2", "band")
-        .mapInArrow(
+        .transform(shipped).mapInArrow(
             run,
             "c1 bigint, c2 bigint, begin int, stop int, band int, left binary, right binary, n bigint",
         )
@@ -428,7 +428,7 @@ def _single_windows(crowded: DataFrame, cores: DataFrame) -> DataFrame:
                     names=["c1", "c2", "begin", "stop", "w1", "w2", "n"],
                 )
 
-    windows = crowded.join(cores, ["c1", "c2"]).mapInArrow(
+    windows = crowded.join(cores, ["c1", "c2"]).transform(shipped).mapInArrow(
         run, "c1 bigint, c2 bigint, begin int, stop int, w1 bigint, w2 bigint, n bigint"
     )
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1")
@@ -491,7 +491,7 @@ def removed(docs: DataFrame) -> DataFrame:
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     both = docs.select("doc_id", "text", *_digests()).join(spans, ["t1", "t2"], "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return both.select("doc_id", "text", "spans").transform(shipped).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
