@@ -131,7 +131,7 @@ def within(a: list[bytes], b: list[bytes]) -> np.ndarray:
         for j in range(width):
             at = i + j - EDITS
             inside = (at >= 0) & (at < lb[alive])
-            same |= ((db[sb[alive] + at] == c) & inside).astype(np.int64) << j
+            same |= ((db[sb[alive] + np.where(inside, at, 0)] == c) & inside).astype(np.int64) << j
         step = []
         for k in range(EDITS + 1):
             s = state[k] & same  # equal bytes: stay on the diagonal
