@@ -47,8 +47,10 @@ BANDS = ((0, 168), (169, WINDOW - GRAM))
 SHALLOW = 16
 #: Different contexts that are sorted together at most.
 GROUP = 2000
-#: Rows of the table of spans that are broadcast at most; beyond it both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of the table of spans that are broadcast at most; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32_000_000
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
 
 
 # --- sampling ---------------------------------------------------------------------------
@@ -266,7 +268,7 @@ def _digests() -> list:
 
 
 def _core_keys(docs: DataFrame) -> DataFrame:
-    """(key, t1) of every core in every text."""
+    """(key, t1, n) of the different cores of every text and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +276,20 @@ def _core_keys(docs: DataFrame) -> DataFrame:
             t1 = batch.column("t1").to_numpy()
             for lo, hi in passes(texts):
                 found = pieces(texts[lo:hi])
+                owner, key = found["owner"], found["key"]
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
+                new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])[: len(key)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["key"]), pa.array(t1[lo:hi][found["owner"]])], names=["key", "t1"]
+                    [
+                        pa.array(key[new]),
+                        pa.array(t1[lo:hi][owner[new]]),
+                        pa.array(np.diff(np.append(new, len(key)))),
+                    ],
+                    names=["key", "t1", "n"],
                 )
 
-    return docs.select("text", "t1").transform(shipped).mapInArrow(run, "key bigint, t1 bigint")
+    return docs.select("text", "t1").transform(shipped).mapInArrow(run, "key bigint, t1 bigint, n bigint")
 
 
 def _signed(x: int) -> tuple[int, int]:
@@ -436,11 +447,11 @@ def _single_windows(crowded: DataFrame, cores: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(t1, t2, spans): by digest of a text, the byte ranges that are covered; they may overlap."""
+    """(t1, t2, spans): by digest of a text, the byte ranges that are covered."""
     known = docs.select("text", *_digests()).filter(F.octet_length("text") >= WINDOW)
     keyed = _core_keys(known)
-    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    by_text = keyed.join(twice, "key").groupBy("t1").agg(F.collect_set("key").alias("keys"))
+    twice = keyed.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    by_text = keyed.select("key", "t1").join(twice, "key").groupBy("t1").agg(F.collect_set("key").alias("keys"))
     contexts = staged(_contexts(known.join(by_text, "t1")), "contexts")
     marked = staged(_marked(contexts), "marked")
     spans = marked.filter("begin IS NOT NULL").select("c1", "c2", "begin", "stop")
@@ -449,8 +460,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cores = contexts.select("c1", "c2", "k1", "k2").distinct()
         spans = spans.unionByName(_single_windows(crowded, cores))
     each = contexts.select("c1", "c2", "t1", "t2", "at").distinct().join(spans, ["c1", "c2"])
-    return each.groupBy("t1", "t2").agg(
-        F.collect_set(F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("stop")).alias("stop"))).alias("spans")
+    covered = each.groupBy("t1", "t2").agg(
+        F.collect_set(
+            F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("stop")).alias("stop"))
+        ).alias("spans")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"begin": a, "stop": b} for a, b in merged(s)] for s in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t1"), batch.column("t2"), pa.array(spans, _SPANS)], names=["t1", "t2", "spans"]
+            )
+
+    return covered.transform(shipped).mapInArrow(
+        run, "t1 bigint, t2 bigint, spans array<struct<begin:bigint,stop:bigint>>"
     )
 
 
@@ -467,12 +491,11 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (merged byte ranges to remove) and kept (bytes left) of every row."""
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,stop:bigint>>, kept binary"
-    kind = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            spans = [merged(s) for s in batch.column("spans").to_pylist()]
+            spans = [[(s["begin"], s["stop"]) for s in own or ()] for own in batch.column("spans").to_pylist()]
             kept = []
             for text, own in zip(texts, spans):
                 edges = [0, *(x for s in own for x in s), len(text)]
@@ -481,14 +504,14 @@ def removed(docs: DataFrame) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([[{"begin": a, "stop": b} for a, b in own] for own in spans], kind),
+                    pa.array([[{"begin": a, "stop": b} for a, b in own] for own in spans], _SPANS),
                     pa.array(kept, pa.binary()),
                 ],
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
     spans = staged(repeated_spans(docs), "spans")
-    if spans.count() <= BROADCAST_ROWS:
+    if (spans.agg(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
     both = docs.select("doc_id", "text", *_digests()).join(spans, ["t1", "t2"], "left")
     return both.select("doc_id", "text", "spans").transform(shipped).mapInArrow(run, schema)
