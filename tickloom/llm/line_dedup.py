@@ -42,8 +42,8 @@ LEAST = 20
 PAIRS = 1500
 #: Rounds of finer keys; a line shrinks by a third or so in each.
 ROUNDS = 6
-#: Rows of a key table that are broadcast at most (16 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of places that are broadcast at most; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32_000_000
 
 #: Probes as (length difference, segment, shift): 0-based segments; the unshifted segment of the
 #: line's own length is its index row, which probes as well.
@@ -274,9 +274,10 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint where it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(places: DataFrame) -> DataFrame:
+    """``places`` (a written table) with a broadcast hint where it is small enough."""
+    size = places.agg(F.sum(48 + 24 * F.size("at"))).first()[0] or 0
+    return F.broadcast(places) if size <= BROADCAST_BYTES else places
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ smallest ids can be results, so copies in any number cost nothing after the firs
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no
 part; a null id takes no part; vectors meet only vectors of the same length; a vec_id that
-occurs twice with different vectors is two rows, neither of which is a result of the other;
-ties go to the smaller vec_id; with fewer than k other rows all are returned. Components are
+occurs twice with different vectors is two rows, neither of which is a result of the other,
+and one given twice with the same vector is one; ties go to the smaller vec_id; with fewer than k other rows all are returned. Components are
 quantised to 64-bit integers and sums must fit them. Extra columns are ignored.
 """
 
@@ -112,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     of ``queries`` (vec_id, v), which are rows of ``vectors``."""
     keep = k + 1  # the query itself may be one of them
     by_vector = Window.partitionBy("v").orderBy("vec_id")
-    placed = vectors.withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= keep)
+    placed = vectors.distinct().withColumn("place", F.row_number().over(by_vector)).filter(F.col("place") <= keep)
     placed = staged(placed, "classes")
     firsts = placed.filter("place = 1").select(
         "v", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).alias("twin"), "vec_id"
@@ -122,11 +122,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         firsts.select("v", F.expr("if(twin = 1, vec_id, xxhash64(v, vec_id))").alias("c")), "firsts"
     )
     classes = firsts.select("c", "v")
-    members = placed.select("v", "vec_id").distinct().join(firsts, "v").select("c", "vec_id")
+    members = placed.select("v", "vec_id").join(firsts, "v").select("c", "vec_id")
     asked = staged(
         queries.select(F.col("vec_id").alias("query_id"), "v")
         .join(firsts.withColumnRenamed("c", "q"), "v")
-        .select("query_id", "q"),
+        .select("query_id", "q")
+        .distinct(),
         "queries",
     )
     wanted = asked.select("q").distinct().join(classes.withColumnRenamed("c", "q"), "q")
@@ -222,7 +223,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .filter(F.col("place") <= keep)
         .select("q", "vec_id", "score")
     )
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranks = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(top, "q")
         .filter("vec_id <> query_id")
