@@ -283,7 +283,7 @@ def plain_lines(rows):
 RESULT = ["doc_id", "kept", "n_lines", "n_dropped", "n_near"]
 
 
-@pytest.mark.parametrize("pairs", [1500, 3])
+@pytest.mark.parametrize("pairs", [1500, 3, 0])
 def test_lines_equal_all_pairs(spark, monkeypatch, pairs):
     monkeypatch.setattr(line_dedup, "PAIRS", pairs)  # 3: every family goes on to finer keys
     rows = line_rows()

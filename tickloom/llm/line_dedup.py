@@ -13,6 +13,9 @@ A key with many rows is not paired up: its lines go on with what is left of them
 common segment is cut out, as that must be within EDITS edits too, and are keyed anew under
 their key. Each round shares more of the line, so what remains together in the end is alike.
 
+Rows carry counts of bytes by sixteen kinds, modulo sixteen. An edit changes two of them by
+one at most, so pairs whose counts are further apart are no candidates.
+
 Lines travel as 64-bit names in the search and as 128-bit names in decisions; only lines of
 candidates are fetched. Copies of a line within a task are keyed once.
 
@@ -83,9 +86,31 @@ def keys(lines: list[bytes], parents: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield tag, rows, (mixed ^ parents[rows].astype(np.uint64)).view(np.int64)
 
 
-def rest(line: bytes, tag: int) -> bytes:
-    """``line`` without the segment or substring of ``tag``."""
-    d, i, a = TAGS[tag]
+#: Sixteen kinds of bytes, letters spread evenly.
+_KIND = (np.arange(256) * 7 + (np.arange(256) >> 4)) % 16
+
+
+def counts(lines: list[bytes]) -> np.ndarray:
+    """Bytes of each kind in each line, modulo 16, in four bits each."""
+    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    table = np.bincount(owner * 16 + _KIND[data], minlength=16 * len(lines)).reshape(-1, 16) % 16
+    shift = np.arange(0, 64, 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(table.astype(np.uint64) << shift, axis=1).view(np.int64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least difference of the counts of each pair."""
+    shift = np.arange(0, 64, 4, dtype=np.uint64)
+    d = ((a.view(np.uint64)[:, None] >> shift) - (b.view(np.uint64)[:, None] >> shift)) & np.uint64(15)
+    return np.minimum(d, np.uint64(16) - d).sum(axis=1)
+
+
+def rest(line: bytes, path: int) -> bytes:
+    """``line`` without the segments or substrings of a path of tags, four bits each."""
+    if path > 15:
+        line = rest(line, path >> 4)
+    d, i, a = TAGS[(path & 15) - 1]
     begin, width = segment(np.array([len(line) - d]), i)
     at = int(begin[0]) + a
     return line[:at] + line[at + int(width[0]) :]
@@ -182,11 +207,23 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select(_id(), "text").transform(shipped).mapInArrow(run, "l1 bigint, l2 bigint, doc_id bigint, line int")
 
 
-def _key_rows(found: Iterator, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for tag, rows, key in found:
+_ROW = "key bigint, l1 bigint, tag int, count bigint"
+
+
+def _key_rows(
+    lines: list[bytes], parts: list[bytes], ids: np.ndarray, parents: np.ndarray, path: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Rows of ``parts``, what a path of tags left of ``lines``; bytes are counted in the lines."""
+    count = counts(lines) if lines else None
+    for tag, rows, key in keys(parts, parents):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ids[rows]), pa.array(np.full(len(rows), tag, dtype=np.int32))],
-            names=["key", "l1", "tag"],
+            [
+                pa.array(key),
+                pa.array(ids[rows]),
+                pa.array((path[rows] << 4 | (tag + 1)).astype(np.int32)),
+                pa.array(count[rows]),
+            ],
+            names=["key", "l1", "tag", "count"],
         )
 
 
@@ -206,23 +243,29 @@ def _first_keys(docs: DataFrame) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 ids = np.fromiter(fresh, dtype=np.int64, count=len(fresh))
-                yield from _key_rows(keys(list(fresh.values()), np.zeros(len(ids), dtype=np.int64)), ids)
+                own = list(fresh.values())
+                yield from _key_rows(own, own, ids, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32))
 
-    return docs.select("text").transform(shipped).mapInArrow(run, "key bigint, l1 bigint, tag int")
+    return docs.select("text").transform(shipped).mapInArrow(run, _ROW)
 
 
 def _runs(keyed: DataFrame, last: bool) -> DataFrame:
     """Candidate pairs of each key; of a key with too many, its rows (``b`` is null)."""
 
-    def emit(key: int, rows: list[tuple[int, int]], out: list[tuple]) -> None:
-        owners = sorted({l1 for l1, tag in rows if tag <= EDITS})
-        others = sorted({l1 for l1, tag in rows if tag > EDITS}.difference(owners))
-        if len(owners) * (len(owners) + len(others)) > PAIRS and not last:
-            out.extend((key, l1, None, tag) for l1, tag in dict.fromkeys(rows))
+    def emit(key: int, rows: list[tuple[int, int, int]], out: list[tuple]) -> None:
+        count = {l1: c for l1, _, c in rows}
+        owners = sorted({l1 for l1, tag, _ in rows if (tag & 15) - 1 <= EDITS})
+        others = sorted(count.keys() - set(owners))
+        if len(owners) * len(count) > PAIRS and not last:
+            out.extend((key, l1, None, tag) for l1, tag in dict.fromkeys(r[:2] for r in rows))
             return
-        for k, x in enumerate(owners):
-            out.extend((key, x, y, None) for y in owners[k + 1 :])
-            out.extend((key, min(x, y), max(x, y), None) for y in others)
+        pairs = [(x, y) for k, x in enumerate(owners) for y in owners[k + 1 :]]
+        pairs += [(min(x, y), max(x, y)) for x in owners for y in others]
+        if pairs:
+            a = np.array([count[x] for x, _ in pairs])
+            b = np.array([count[y] for _, y in pairs])
+            near = apart(a, b) <= 2 * EDITS
+            out.extend((key, x, y, None) for (x, y), ok in zip(pairs, near.tolist()) if ok)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_rows, many = None, [], False
@@ -230,7 +273,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
 
         def close() -> None:
             if many:
-                out.extend((open_key, l1, None, tag) for l1, tag in open_rows)
+                out.extend((open_key, l1, None, tag) for l1, tag, _ in open_rows)
             elif len(open_rows) > 1:
                 emit(open_key, open_rows, out)
 
@@ -238,7 +281,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
             key = batch.column("key").to_numpy()
             if not len(key):
                 continue
-            l1, tag = batch.column("l1").to_numpy(), batch.column("tag").to_numpy()
+            l1, tag, count = (batch.column(c).to_numpy() for c in ("l1", "tag", "count"))
             edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             length = np.diff(edge)
             # a run within the batch that has one row alone gives nothing
@@ -248,7 +291,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
                 if open_key != key[a]:
                     close()
                     open_key, open_rows, many = int(key[a]), [], False
-                open_rows.extend(zip(l1[a:b].tolist(), tag[a:b].tolist()))
+                open_rows.extend(zip(l1[a:b].tolist(), tag[a:b].tolist(), count[a:b].tolist()))
                 # a run that goes on and on is passed on in pieces
                 if len(open_rows) > 20_000 and not last:
                     many = True
@@ -316,11 +359,13 @@ def _finer(hot: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("l1").to_numpy()
-            left = [rest(x, t) for x, t in zip(batch.column("bytes").to_pylist(), batch.column("tag").to_pylist())]
-            yield from _key_rows(keys(left, batch.column("key").to_numpy()), ids)
+            whole = batch.column("bytes").to_pylist()
+            path = batch.column("tag").to_numpy()
+            left = [rest(x, t) for x, t in zip(whole, path.tolist())]
+            yield from _key_rows(whole, left, ids, batch.column("key").to_numpy(), path)
 
     return hot.join(texts, hot["a"] == texts["l1"]).select("key", "l1", "bytes", "tag").transform(shipped).mapInArrow(
-        run, "key bigint, l1 bigint, tag int"
+        run, _ROW
     )
 
 
