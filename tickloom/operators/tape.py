@@ -192,7 +192,7 @@ def depth_at_landing() -> Column:
 
 
 def landing_bucket(depth: Column) -> Column:
-    """0..5, 6-10, 11-20, 21-50, 51-100, 100+."""
+    """0..5, 6-10, 11-20, 21-50, 51-100, 100+ (fixed values)."""
     out = F.when(depth <= 5, depth.cast("string"))
     for low, high in ((6, 10), (11, 20), (21, 50), (51, 100)):
         out = out.when(depth <= high, f"{low}-{high}")

@@ -32,14 +32,15 @@ block("num", "", """
 SELECT CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day,
        row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS n,
        count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS cnt,
+       epoch_ms(ts) % 86400000 AS of_day,
        event_id, user_id, event_type
 FROM events""")
 
 block("pk", "num", """
 SELECT day, n, cnt,
-       CAST(32400000 + (n // 8) * (32400000 // ((cnt + 7) // 8))
-            + least([0, 3, 11, 60, 180, 900, 1500, 4200][n % 8 + 1],
-                    greatest(32400000 // ((cnt + 7) // 8) - 1, 0)) AS BIGINT) AS t_ms
+       CAST(32400000 + (of_day // 2400000) * 900000
+            + (of_day % 2400000) * (of_day % 2400000) // 2400000 * (of_day % 2400000) // 2400000
+              * 8000 // 2400000 AS BIGINT) AS t_ms
 FROM num""")
 
 block("ord0", "num", """

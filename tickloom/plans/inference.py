@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -409,20 +408,18 @@ def partial_r2_bootstrap(rows: DataFrame, cluster: str, equations: dict[str, tup
 
 
 # ---------------------------------------------------------------- splines and Shapley
-def natural_spline(x: Column, knots: Column) -> list[Column]:
-    """Natural cubic spline basis on five knots (four columns, no intercept)."""
-    last = 4
+def natural_spline(x: str, knots: str) -> list[Column]:
+    """Natural cubic spline basis on five knots (four columns, no intercept).
 
-    def above(i):
-        return F.pow(F.greatest(x - knots[i], F.lit(0.0)), 3)
-
-    def d(i):
-        # coinciding knots leave a zero column
-        return F.coalesce(
-            F.try_divide(above(i) - above(last), knots[last] - knots[i]), F.lit(0.0)
-        )
-
-    return [x, *[d(i) - d(last - 1) for i in range(last - 1)]]
+    Textbook form: the scaled difference of the truncated cubes at a knot and at the last
+    knot, less that of the last knot but one.  A knot that coincides with the last has none.
+    """
+    cubes = f"transform({knots}, k -> power(greatest({x} - k, 0D), 3))"
+    scaled = (
+        f"zip_with({cubes}, {knots}, (c, k) -> "
+        f"coalesce(try_divide(c - element_at({cubes}, -1), element_at({knots}, -1) - k), 0D))"
+    )
+    return [F.expr(x), *(F.expr(f"{scaled}[{i}] - {scaled}[3]") for i in range(3))]
 
 
 def spline_columns(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -432,7 +429,7 @@ def spline_columns(rows: DataFrame, groups: list[str]) -> DataFrame:
     )
     joined = rows.join(F.broadcast(knots))  # one row by construction
     for g in groups:
-        for i, c in enumerate(natural_spline(F.col(g), F.col(f"_k_{g}"))):
+        for i, c in enumerate(natural_spline(g, f"_k_{g}")):
             joined = joined.withColumn(f"{g}_s{i}", c)
     return joined.drop(*[f"_k_{g}" for g in groups])
 
@@ -442,36 +439,39 @@ SHAPLEY = T.StructType(
 )
 
 
+#: Weight of the R2 of each set of groups in each group's share, in sixths; the sets are
+#: none, 0, 1, 01, 2, 02, 12, 012.
+SHARE_WEIGHTS = np.array(
+    [
+        [-2, 2, -1, 1, -1, 1, -2, 2],
+        [-2, -1, 2, 1, -1, -2, 1, 2],
+        [-2, -1, -1, -2, 2, 1, 1, 2],
+    ]
+)
+
+
 @F.pandas_udf(SHAPLEY)
 def shapley_r2(moments: pd.Series) -> pd.DataFrame:
     """Shapley shares of R2 over three groups of four columns, from packed moments of
     (12 columns, constant, y)."""
-    out = []
-    for flat in moments:
-        m = square(np.asarray(flat, float), 14)
-        n, sy, syy = m[12, 12], m[12, 13], m[13, 13]
-        sst = syy - sy * sy / n
-
-        def r2(subset):
-            columns = [4 * g + i for g in subset for i in range(4)]
-            keep = [12, *columns]
-            xx, xy = m[np.ix_(keep, keep)], m[keep, 13]
-            s = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
-            beta = np.linalg.lstsq(xx / np.outer(s, s), xy / s, rcond=1e-12)[0] / s
-            return 1 - (syy - beta @ xy) / sst if sst > 0 else np.nan
-
-        value = {s: r2(s) for r in range(4) for s in itertools.combinations(range(3), r)}
-        shares = []
-        for g in range(3):
-            others = [h for h in range(3) if h != g]
-            total = 0.0
-            for r in range(3):
-                for s in itertools.combinations(others, r):
-                    weight = math.factorial(r) * math.factorial(2 - r) / 6.0
-                    total += weight * (value[tuple(sorted((*s, g)))] - value[s])
-            shares.append(total)
-        out.append((*shares, value[(0, 1, 2)]))
-    return pd.DataFrame(out, columns=["phi_0", "phi_1", "phi_2", "r2_total"])
+    m = np.stack([square(np.asarray(flat, float), 14) for flat in moments]) if len(moments) else np.zeros((0, 14, 14))
+    n = np.maximum(m[:, 12, 12], 1)
+    # moments about the means, in units of the columns' own spread
+    about = m - m[:, :, 12:13] * m[:, 12:13, :] / n[:, None, None]
+    spread = np.sqrt(np.maximum(np.diagonal(about, axis1=1, axis2=2), 0))
+    unit = np.where(spread > 0, spread, 1.0)
+    about = about / (unit[:, :, None] * unit[:, None, :])
+    explained = np.zeros((len(m), 8))
+    for members in range(1, 8):
+        used = [c for c in range(12) if members >> (c // 4) & 1]
+        xx, xy = about[:, used][:, :, used], about[:, used, 13]
+        inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
+        explained[:, members] = np.einsum("ti,tij,tj->t", xy, inverse, xy)
+    explained[spread[:, 13] == 0] = np.nan
+    shares = explained @ SHARE_WEIGHTS.T / 6.0
+    return pd.DataFrame(
+        {"phi_0": shares[:, 0], "phi_1": shares[:, 1], "phi_2": shares[:, 2], "r2_total": explained[:, 7]}
+    )
 
 
 def shapley_table(rows: DataFrame, y: str, groups: list[str], cluster: str, reps: int, seed: int) -> DataFrame:

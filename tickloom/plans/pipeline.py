@@ -27,14 +27,17 @@ class BookPipeline:
     """Stage tables of the order flow in ``sf_dir``, each written once and read back."""
 
     def __init__(
-        self, spark: SparkSession, sf_dir: str, chunk_floor: int = 256, delayed: bool = False
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        per_chunk: int = order_flow.PACKETS_PER_CHUNK,
+        delayed: bool = False,
     ):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.chunk_floor = chunk_floor
+        self.per_chunk = per_chunk
         self.delayed = delayed
         self.store = StageStore(spark, "delayed" if delayed else "book")
-        self.streams: set[str] = set()
 
     @cached_property
     def numbered(self) -> DataFrame:
@@ -48,7 +51,9 @@ class BookPipeline:
     def messages(self) -> DataFrame:
         return self.store.table(
             "messages",
-            lambda: order_flow.order_messages(self.orders, self.chunk_floor, self.delayed),
+            lambda: order_flow.order_messages(
+                self.orders, self.numbered, self.per_chunk, self.delayed
+            ),
         )
 
     @cached_property

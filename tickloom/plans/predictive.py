@@ -172,52 +172,93 @@ def shuffle_placebo(rows: DataFrame, reps: int, seed: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- out of sample
-OOS_SCHEMA = "spec string, pos bigint, actual double, benchmark double, model double"
+PREDICTION = "spec string, pos bigint, actual double, benchmark double, model double"
+#: Predicted rows of one task; each task reads the rows of the series up to its last one.
+TARGETS = 256
 
 
-def _expanding(warmup: int, controls: list[str], hours: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Expanding-window predictions of one panel series; the signal is clipped at the
-        1st and 99th percentile of its training prefix."""
-        pdf = pdf.sort_values(["day", "bucket"])
-        y, x = pdf["y"].to_numpy(float), pdf["x0"].to_numpy(float)
-        parts = [np.ones((len(y), 1)), *[pdf[c].to_numpy(float)[:, None] for c in controls]]
+def _bounds(sorted_prefix: np.ndarray) -> tuple[float, float]:
+    """Values at 1 % and 99 % of the sorted prefix, between neighbours in proportion."""
+    at = np.array([0.01, 0.99]) * (len(sorted_prefix) - 1)
+    below = np.floor(at).astype(int)
+    above = np.minimum(below + 1, len(sorted_prefix) - 1)
+    low, high = sorted_prefix[below] + (at - below) * (sorted_prefix[above] - sorted_prefix[below])
+    return low, high
+
+
+def _block_predictions(controls: list[str], hours: bool, first_target: int):
+    def design(pdf: pd.DataFrame) -> np.ndarray:
+        columns = [np.ones(len(pdf)), *(pdf[c].to_numpy(float) for c in controls)]
         if hours:
-            levels = np.unique(pdf["hour"])[1:]
-            parts += [(pdf["hour"].to_numpy() == h).astype(float)[:, None] for h in levels]
-        rest = np.hstack(parts)
-        k = rest.shape[1]
-        rr, ry = np.zeros((k, k)), np.zeros(k)
-        out = []
-        for t in range(len(y)):
-            if t >= warmup:
-                low, high = np.percentile(x[:t], [1, 99])
-                clipped = np.clip(x[:t], low, high)
-                full = np.empty((k + 1, k + 1))
-                full[:k, :k] = rr
-                full[:k, k] = full[k, :k] = rest[:t].T @ clipped
-                full[k, k] = clipped @ clipped
-                beta = np.linalg.lstsq(full, np.append(ry, clipped @ y[:t]), rcond=None)[0]
-                bench = rest[t] @ np.linalg.lstsq(rr, ry, rcond=None)[0]
-                out.append((t, y[t], float(bench), float(rest[t] @ beta[:k] + x[t] * beta[k])))
-            rr += np.outer(rest[t], rest[t])
-            ry += rest[t] * y[t]
-        frame = pd.DataFrame(out, columns=["pos", "actual", "benchmark", "model"])
-        frame.insert(0, "spec", pdf["spec"].iloc[0])
-        return frame
+            columns += [(pdf["hour"].to_numpy() == h).astype(float) for h in sorted(set(pdf["hour"]))[1:]]
+        return np.column_stack(columns)
+
+    def solved(moments: np.ndarray, target: np.ndarray) -> np.ndarray:
+        # the least solution where a control has not varied yet
+        inverse = np.linalg.pinv(moments, rcond=1e-13, hermitian=True)
+        return np.einsum("tij,tj->ti", inverse, target)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Predictions of the targets of one block, all solved at once.
+
+        Moments without the signal are running sums over the series.  The signal is clipped
+        at other values for each target, so its moments are one product of the clipped
+        training rows of all targets with the controls.
+        """
+        pdf = pdf.sort_values("pos")
+        begin = max(int(pdf["block"].iloc[0]) * TARGETS, first_target)
+        y, x, z = pdf["y"].to_numpy(float), pdf["x0"].to_numpy(float), design(pdf)
+        targets = np.arange(begin, len(y))
+        if not len(targets):
+            return pd.DataFrame(columns=["spec", "pos", "actual", "benchmark", "model"])
+        zz = np.cumsum(z[:, :, None] * z[:, None, :], axis=0)[targets - 1]
+        zy = np.cumsum(z * y[:, None], axis=0)[targets - 1]
+        limits = np.array([_bounds(np.sort(x[:t])) for t in targets])
+        clipped = np.clip(x[None, : targets[-1]], limits[:, :1], limits[:, 1:])
+        clipped[np.arange(targets[-1])[None, :] >= targets[:, None]] = 0.0  # not seen yet
+        past = slice(0, targets[-1])
+        xz, xy, xx = clipped @ z[past], clipped @ y[past], np.sum(clipped**2, axis=1)
+        k = z.shape[1]
+        whole = np.empty((len(targets), k + 1, k + 1))
+        whole[:, 1:, 1:] = zz
+        whole[:, 0, 0] = xx
+        whole[:, 0, 1:] = whole[:, 1:, 0] = xz
+        slopes = solved(whole, np.column_stack([xy, zy]))
+        now = z[targets]
+        return pd.DataFrame(
+            {
+                "spec": pdf["spec"].iloc[0],
+                "pos": targets,
+                "actual": y[targets],
+                "benchmark": np.sum(now * solved(zz, zy), axis=1),
+                "model": slopes[:, 0] * x[targets] + np.sum(now * slopes[:, 1:], axis=1),
+            }
+        )
 
     return run
 
 
-def expanding_predictions(rows: DataFrame, warmup: int, controls: list[str] | None = None, hours: bool = False) -> DataFrame:
+def expanding_predictions(
+    rows: DataFrame, warmup: int, controls: list[str] | None = None, hours: bool = False
+) -> DataFrame:
     """Prediction of y for every row after ``warmup``, fitted on the rows before it.
 
-    The input is a panel series (about a hundred rows per session and spec), one task
-    per spec; the training prefix enters through running moments.
+    A series is cut into blocks of targets that are predicted apart from one another; a
+    block gets the rows up to its end.  Rows are those of a panel, a hundred or so for each
+    session and spec.
     """
     controls = controls or []
-    used = rows.dropna(subset=["y", "x0", *controls])
-    return used.groupBy("spec").applyInPandas(_expanding(warmup, controls, hours), OOS_SCHEMA)
+    order = Window.partitionBy("spec").orderBy("day", "bucket")
+    placed = rows.dropna(subset=["y", "x0", *controls]).withColumn(
+        "pos", F.row_number().over(order).cast("bigint") - 1
+    )
+    ends = placed.groupBy("spec").agg(F.floor(F.max("pos") / TARGETS).alias("last"))
+    first = F.greatest(F.floor(F.col("pos") / TARGETS), F.lit(warmup // TARGETS))
+    needed = F.when(first <= F.col("last"), F.sequence(first, F.col("last")))
+    parts = placed.join(ends, "spec").withColumn("block", F.explode(needed))
+    return parts.groupBy("spec", "block").applyInPandas(
+        _block_predictions(controls, hours, max(1, warmup)), PREDICTION
+    )
 
 
 def clark_west(predictions: DataFrame, lags: int = 3) -> DataFrame:

@@ -14,7 +14,7 @@ from tickloom.queries_inference import _hash
 from tickloom.queries_tape import replay_panel_of, signals_of
 from tickloom.sources import feed as fd
 
-SEED = 20261003
+SEED = 7_411
 SIGNALS = ("ur_price", "fqcr", "queue_run", "agg_cancel")
 HORIZONS = (1, 5, 10, 30)
 KEEP = ["day", "sid", "bucket", "hour"]

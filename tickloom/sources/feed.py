@@ -56,13 +56,41 @@ ENTRY_TYPES = {"0": 0, "1": 1, "2": 2}
 ACTIONS = {0: "N", 1: "C", 2: "D"}
 RETAIL_MARK = "RL"
 # --- end of fixed values ----------------------------------------------------------
-DAY_IN_PATH = r"(\d{4})[/-]?(\d{2})[/-]?(\d{2})"
+DAY_IN_PATH = r"(?<![0-9A-Za-z])20\d{2}[/-]?(0[1-9]|1[0-2])[/-]?(0[1-9]|[12]\d|3[01])(?![0-9A-Za-z])"
+
+
+def day_of_path(path: str) -> Column:
+    """The last day named by a file's folders (``day=`` or year, month and day), else by its name."""
+
+    def last_day(text: Column) -> Column:
+        found = F.try_element_at(F.regexp_extract_all(text, F.lit(DAY_IN_PATH), 0), F.lit(-1))
+        return F.regexp_replace(found, "[/-]", "").try_cast("int")
+
+    folders = F.regexp_replace(path, "/[^/]*$", "/")
+    return F.coalesce(last_day(folders), last_day(F.regexp_extract(path, "[^/]*$", 0)))
 
 
 # ---------------------------------------------------------------- reading
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files under ``path`` (any depth).  Absent columns read as NULL."""
-    return spark.read.schema(MESSAGE).option("recursiveFileLookup", True).parquet(path)
+def read_feed(spark: SparkSession, path: str, pattern: str | None = None, days: str | None = None) -> DataFrame:
+    """Feed files under ``path`` (any depth), by name ``pattern`` and days if given.
+
+    Absent columns read as NULL; ``day`` comes from the file's path where the file has none.
+    A selection of days lists the files first and opens only those of the days.
+    """
+    columns = [f for f in MESSAGE if f.name != "day"]
+    reader = spark.read.option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    paths = [path]
+    if days is not None:
+        listed = reader.format("binaryFile").load(path).select("path", day_of_path("path").alias("day"))
+        paths = [r["path"] for r in listed.filter(day_predicate(days)).orderBy("day", "path").collect()]
+        if not paths:
+            return spark.createDataFrame([], MESSAGE)
+    rows = reader.schema(MESSAGE).parquet(*paths)
+    named = rows.withColumn("_path", F.col("_metadata.file_path"))
+    day = F.coalesce("day", day_of_path("_path")) if "day" in rows.columns else day_of_path("_path")
+    return named.withColumn("day", day).select("day", *(f.name for f in columns))
 
 
 def parse_days(text: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -94,9 +122,8 @@ def day_inventory(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "length")
     )
-    parts = [F.regexp_extract("path", DAY_IN_PATH, i) for i in (1, 2, 3)]
     return (
-        files.withColumn("day", F.concat(*parts).try_cast("int"))
+        files.withColumn("day", day_of_path("path"))
         .groupBy("day")
         .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     )

@@ -14,8 +14,10 @@ from tickloom.session import StageStore
 
 # --- fixed values of the adapter ------------------------------------------
 OPEN_MS = 32_400_000                 # 09:00, first packet
-SESSION_MS = 32_400_000              # nine hours
-BURST_OFFSETS_MS = (0, 3, 11, 60, 180, 900, 1500, 4200)
+STRETCH_MS = 2_400_000               # 40 minutes of the table's clock become one burst
+BURST_STEP_MS = 900_000              # bursts begin every 15 minutes, 36 in nine hours
+BURST_MS = 8_000                     # a burst's length
+PACKETS_PER_CHUNK = 4_096
 EXECUTED_TYPES = ("purchase", "click")
 RETAIL_TYPE = "signup"
 # --- end of fixed values --------------------------------------------------
@@ -33,9 +35,11 @@ def numbered_events(spark: SparkSession, sf_dir: str, store: StageStore) -> Data
         raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
             "event_id", "ts", "user_id", "event_type"
         )
-        dated = raw.withColumn("day", F.date_format("ts", "yyyyMMdd").cast("int"))
+        date = F.to_date("ts")
+        dated = raw.withColumn("day", F.year(date) * 10000 + F.month(date) * 100 + F.day(date))
         return (
-            dated.repartitionByRange("day", "ts", "event_id")
+            dated.withColumn("t_ms", clock("ts"))
+            .repartitionByRange("day", "ts", "event_id")
             .sortWithinPartitions("day", "ts", "event_id")
             .withColumn("_row", F.monotonically_increasing_id())
             .withColumn("_part", F.spark_partition_id())
@@ -59,6 +63,7 @@ def numbered_events(spark: SparkSession, sf_dir: str, store: StageStore) -> Data
         "day",
         (F.col("_before") + F.col("_row") - F.col("_first")).alias("n"),
         "cnt",
+        "t_ms",
         "event_id",
         "user_id",
         "event_type",
@@ -88,22 +93,31 @@ def orders(numbered: DataFrame) -> DataFrame:
     )
 
 
-def clock(n, cnt):
-    """Milliseconds since midnight of packet ``n`` of a day with ``cnt`` packets."""
-    step = F.expr(f"{SESSION_MS} div ((cnt + 7) div 8)")
-    offset = F.element_at(
-        F.array(*[F.lit(x).cast("bigint") for x in BURST_OFFSETS_MS]), (n % 8 + 1).cast("int")
+def clock(ts: str):
+    """Session milliseconds of a packet, from its own time of day alone.
+
+    Each stretch of the day becomes a burst in which time runs as the cube of the time
+    since the stretch began: gaps of milliseconds first, of seconds later.  The order of
+    packets is kept, and a packet's time is the same on a day of any size.
+    """
+    of_day = F.expr(
+        f"hour({ts}) * 3600000L + minute({ts}) * 60000L + bigint(floor(extract(SECOND FROM {ts}) * 1000))"
     )
-    burst = F.floor(n / 8)
-    return OPEN_MS + burst * step + F.least(offset, F.greatest(step - 1, F.lit(0)))
+    into = of_day % STRETCH_MS
+    whole = lambda x: F.floor(x / STRETCH_MS)
+    cube = whole(whole(whole(into * into) * into) * BURST_MS)
+    return OPEN_MS + whole(of_day) * BURST_STEP_MS + cube
 
 
-def order_messages(order_rows: DataFrame, chunk_floor: int, delayed: bool = False) -> DataFrame:
+def order_messages(
+    order_rows: DataFrame, packets: DataFrame, per_chunk: int = PACKETS_PER_CHUNK, delayed: bool = False
+) -> DataFrame:
     """Explode orders into feed messages and number them by arrival (``rpt``).
 
     ``delayed`` is the variant that publishes the removal of an executed order one
     packet after its print (positions 0-2 of a burst), so that a matching event
-    spans packets.  ``chunk_floor`` is the smallest number of packets per chunk.
+    spans packets.  ``packets`` gives the time of each packet; a chunk is a fixed number of
+    packets, ``per_chunk``.
     """
     msg = "struct<seq:bigint,rank:int,typ:string,side:int,tick:bigint,qty:bigint,retail:boolean>"
 
@@ -138,17 +152,15 @@ def order_messages(order_rows: DataFrame, chunk_floor: int, delayed: bool = Fals
         F.when(ends, message(gone, 3, "D", F.col("side"), last_qty, False)),
         message(F.col("n"), 4, "N", F.col("side"), F.col("qty"), False),
     )
-    packets_per_chunk = F.greatest(
-        F.lit(chunk_floor), F.least(F.lit(65_536), F.expr("cnt div 16"))
-    ).cast("bigint")
+    times = packets.select(F.col("day").alias("_day"), F.col("n").alias("_n"), "t_ms")
+    exploded = order_rows.withColumn("_m", F.explode(F.filter(parts, lambda x: x.isNotNull())))
     flat = (
-        order_rows.withColumn("_per", packets_per_chunk)
-        .withColumn("_m", F.explode(F.filter(parts, lambda x: x.isNotNull())))
+        exploded.join(times, (F.col("day") == F.col("_day")) & (F.col("_m.seq") == F.col("_n")))
         .select(
             *KEY,
-            F.floor(F.col("_m.seq") / F.col("_per")).alias("chunk"),
+            F.floor(F.col("_m.seq") / per_chunk).alias("chunk"),
             F.col("_m.seq").alias("seq"),
-            clock(F.col("_m.seq"), F.col("cnt")).alias("t_ms"),
+            "t_ms",
             F.col("_m.rank").alias("rank"),
             F.col("_m.typ").alias("typ"),
             F.col("_m.side").alias("side"),
