@@ -32,7 +32,7 @@ block("num", "", """
 SELECT CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day,
        row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS n,
        count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS cnt,
-       epoch_ms(ts) % 86400000 AS of_day,
+       epoch_us(ts) // 1000 % 86400000 AS of_day,
        event_id, user_id, event_type
 FROM events""")
 
