@@ -41,10 +41,10 @@ from tickloom.llm.words import hash_spans
 EDITS = 2
 #: Bytes of the shortest line that takes part.
 LEAST = 20
-#: Candidate pairs that one key may give; beyond it the lines go on to a finer key.
-PAIRS = 1500
-#: Rounds of finer keys; a line shrinks by a third or so in each.
-ROUNDS = 6
+#: Pairs of lines that are looked at within one key; beyond it the lines go on to finer keys.
+PAIRS = 200_000
+#: Rounds of keys; what is left of a line shrinks by a third or so in each.
+ROUNDS = 4
 #: Bytes of a table of places that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32_000_000
 
@@ -255,17 +255,16 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
     def emit(key: int, rows: list[tuple[int, int, int]], out: list[tuple]) -> None:
         count = {l1: c for l1, _, c in rows}
         owners = sorted({l1 for l1, tag, _ in rows if (tag & 15) - 1 <= EDITS})
-        others = sorted(count.keys() - set(owners))
         if len(owners) * len(count) > PAIRS and not last:
             out.extend((key, l1, None, tag) for l1, tag in dict.fromkeys(r[:2] for r in rows))
             return
-        pairs = [(x, y) for k, x in enumerate(owners) for y in owners[k + 1 :]]
-        pairs += [(min(x, y), max(x, y)) for x in owners for y in others]
-        if pairs:
-            a = np.array([count[x] for x, _ in pairs])
-            b = np.array([count[y] for _, y in pairs])
-            near = apart(a, b) <= 2 * EDITS
-            out.extend((key, x, y, None) for (x, y), ok in zip(pairs, near.tolist()) if ok)
+        everyone = np.array(owners + sorted(count.keys() - set(owners)), dtype=np.int64)
+        bytes_of = np.array([count[x] for x in everyone.tolist()], dtype=np.int64)
+        for i in range(len(owners)):  # with all that come after it
+            rest_of = slice(i + 1, None)
+            near = everyone[rest_of][apart(bytes_of[i : i + 1], bytes_of[rest_of]) <= 2 * EDITS]
+            x = owners[i]
+            out.extend((key, min(x, y), max(x, y), None) for y in near.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_rows, many = None, [], False
