@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import passes, read, shipped, text_bytes
 
 #: Words that a worker remembers between batches.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 #: Text bytes encoded at once.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_500_000
 
 _WORD = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.session import ship_package, stage_root
 
 #: Text bytes that one numpy pass works on; a longer document is a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

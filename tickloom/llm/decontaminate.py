@@ -35,7 +35,7 @@ WINDOW = 10
 #: Words of benchmark items in one slice of patterns.
 SLICE_WORDS = 2_000_000
 #: Text bytes of a shard.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
 
 RESULTS = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<begin:bigint,end:bigint>>"
 

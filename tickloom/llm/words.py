@@ -21,7 +21,7 @@ FOLD[128:] = np.arange(128, 256)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         up = np.full(size, _P, dtype=np.uint64)
         down = np.full(size, _P_INVERSE, dtype=np.uint64)
         up[0] = down[0] = 1
