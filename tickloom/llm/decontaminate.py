@@ -223,3 +223,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (
+  SELECT DISTINCT item, w[k : k + least(len(w), {WINDOW}) - 1] AS words
+  FROM i, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS t(k) WHERE len(w) > 0
+),
+m AS (SELECT DISTINCT len(words) AS m FROM p),
+o AS (SELECT doc_id, k, m, w[k : k + m - 1] AS words FROM d, m, unnest(range(1, len(w) - m + 2)) AS t(k)),
+h AS (SELECT doc_id, k, m, item FROM o JOIN p USING (words)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(range(k, k + m)) AS t(j) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

@@ -26,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.query,
     "op1_fixity": fixity.SQL,
+    "op5_decontaminate": decontaminate.SQL,
     "op6_topk": topk.SQL,
 }
