@@ -43,15 +43,13 @@ def roles(profile: DataFrame) -> DataFrame:
 
 
 def cross_table(feed: DataFrame) -> DataFrame:
-    """Entry type by action, one column per action."""
+    """Entries of each type by action; whatever is none of the three known is ``other``."""
+    action = F.col("e_md_update_action")
+    known = {"new": 0, "change": 1, "delete": 2}
+    counts = [F.count_if(action == code).alias(name) for name, code in known.items()]
+    other = F.count_if(action.isNull() | ~action.isin(*known.values())).alias("other")
     rows = entries(feed, ["md_entry_type", "md_update_action"])
-    return (
-        rows.groupBy(F.col("e_md_entry_type").alias("entry_type"))
-        .pivot("e_md_update_action", [0, 1, 2])
-        .count()
-        .withColumnsRenamed({"0": "new", "1": "change", "2": "delete"})
-        .fillna(0)
-    )
+    return rows.groupBy(F.col("e_md_entry_type").alias("entry_type")).agg(*counts, other)
 
 
 def sequence_integrity(feed: DataFrame) -> DataFrame:

@@ -314,10 +314,10 @@ def tail_drift(rows: DataFrame) -> DataFrame:
     )
 
 
-def logit(rows: DataFrame, y: Column, xs: list[str], iterations: int = 8) -> list[tuple[str, float, float]]:
+def logit(rows: DataFrame, y: Column, xs: list[str], iterations: int = 60) -> list[tuple[str, float, float, bool]]:
     """Logit by Newton steps; each step is one aggregate of gradient and Hessian.
 
-    Returns (name, coefficient, z) with the constant first.
+    Returns (name, coefficient, z, whether the steps came to rest) with the constant first.
     """
     names = ["const", *xs]
     data = rows.dropna(subset=xs).select(
@@ -325,6 +325,7 @@ def logit(rows: DataFrame, y: Column, xs: list[str], iterations: int = 8) -> lis
     ).filter("_y IS NOT NULL")
     beta = np.zeros(len(names))
     hessian = np.eye(len(names))
+    rested = False
     for _ in range(iterations):
         score = sum((F.col(n) * float(b) for n, b in zip(names, beta)), F.lit(0.0))
         p = 1 / (1 + F.exp(-score))
@@ -339,10 +340,13 @@ def logit(rows: DataFrame, y: Column, xs: list[str], iterations: int = 8) -> lis
         hessian = np.array(row[len(names):], float).reshape(len(names), len(names))
         step = np.linalg.lstsq(hessian, g, rcond=None)[0]
         beta = beta + step
-        if np.max(np.abs(step)) < 1e-10:
+        if not np.all(np.isfinite(beta)):
+            break
+        if np.max(np.abs(step)) <= 1e-8 * max(1.0, float(np.max(np.abs(beta)))):
+            rested = True
             break
     se = np.sqrt(np.clip(np.diag(np.linalg.pinv(hessian)), 0, None))
-    return [(n, float(b), float(b / s) if s > 0 else float("nan")) for n, b, s in zip(names, beta, se)]
+    return [(n, float(b), float(b / s) if s > 0 else float("nan"), rested) for n, b, s in zip(names, beta, se)]
 
 
 # ---------------------------------------------------------------- event study

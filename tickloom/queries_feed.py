@@ -113,7 +113,7 @@ def entry_roles(p):
     "entry_cross_table",
     "fe",
     """SELECT CAST(side AS VARCHAR) AS entry_type, count(*) FILTER (action = 0) AS new, count(*) FILTER (action = 1) AS change,
-count(*) FILTER (action = 2) AS delete FROM fe GROUP BY side""",
+count(*) FILTER (action = 2) AS delete, count(*) FILTER (action IS NULL OR action NOT IN (0, 1, 2)) AS other FROM fe GROUP BY side""",
 )
 def entry_cross_table(p):
     return fp.cross_table(feed_of(p))

@@ -308,7 +308,7 @@ def logit_move(p):
         .select("ret", "queue_run", "touch_ofi", "agr_imb"),
     )
     fit = pr.logit(rows, (F.col("ret") != 0), ["queue_run", "touch_ofi", "agr_imb"])
-    table = p.spark.createDataFrame(fit, "term string, coefficient double, z double")
+    table = p.spark.createDataFrame(fit, "term string, coefficient double, z double, converged boolean")
     return rounded(table, 6)
 
 
