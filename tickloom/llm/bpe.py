@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import passes, read, shipped, text_bytes
+from tickloom.llm.common import passes, read, shipped, text_bytes, tidy
 
 #: Words that a worker remembers between batches.
 KNOWN_WORDS = 120_000
@@ -232,8 +232,9 @@ def _mapped(docs: DataFrame, path: str, out: str, names: list[str], make) -> Dat
                 ids = vocabulary.encode([t.decode("utf-8", "replace") for t in column[lo:hi]])
                 kept = {name: batch.column(name).slice(lo, hi - lo) for name in names}
                 yield pa.RecordBatch.from_pydict(kept | make(vocabulary, ids))
+        vocabulary.forget()
 
-    return docs.select(*dict.fromkeys([*names, "text"])).transform(shipped).mapInArrow(run, out)
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(shipped).mapInArrow(tidy(run), out)
 
 
 def _kept(docs: DataFrame, names: list[str]) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import joined, passes, read, shipped, span_sums, text_bytes
+from tickloom.llm.common import joined, passes, read, shipped, span_sums, text_bytes, tidy
 from tickloom.llm.fm_index import FmIndex
 from tickloom.llm.words import FOLD, hash_spans, word_spans
 
@@ -155,8 +155,18 @@ def slices_of(benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> list:
     return made
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with n_words, n_hit, items and spans (byte ranges of merged runs of hit words)."""
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """``text`` without the byte ranges."""
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : s["begin"]])
+        at = s["end"]
+    return b"".join([*out, text[at:]])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
+    """``docs`` with n_words, n_hit, items and spans (byte ranges of merged runs of hit words);
+    with ``cut`` the ranges are cut out of the text."""
     parts = slices_of(benchmark)
     fresh = ("n_words", "n_hit", "items", "spans")
     names = [c for c in docs.columns if c not in fresh]
@@ -179,36 +189,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = scan(column[lo:hi], slices)
                 columns = {name: batch.column(name).slice(lo, hi - lo) for name in names}
                 columns |= {name: pa.array(found[name], kind) for name, kind in kinds.items()}
+                if cut:
+                    valid = columns["text"].is_valid().to_pylist()
+                    left = [
+                        without(t, s).decode() if ok else None
+                        for t, s, ok in zip(column[lo:hi], found["spans"], valid)
+                    ]
+                    columns["text"] = pa.array(left, columns["text"].type)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(names).transform(shipped).mapInArrow(run, f"{kept}, {RESULTS}")
-
-
-def without(text: bytes, spans: list[dict]) -> bytes:
-    """``text`` without the byte ranges."""
-    out, at = [], 0
-    for s in spans:
-        out.append(text[at : s["begin"]])
-        at = s["end"]
-    return b"".join([*out, text[at:]])
+    return docs.select(names).transform(shipped).mapInArrow(tidy(run), f"{kept}, {RESULTS}")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the passages of the benchmark cut out of the text, and n_hit."""
     names = [*(c for c in docs.columns if c != "n_hit"), "n_hit"]
-    found = contaminated(docs, benchmark)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(names).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans = batch.column("spans").to_pylist()
-            cut = [without(t.encode(), s).decode() if s else t for t, s in zip(texts, spans)]
-            columns = {name: batch.column(name) for name in names}
-            columns["text"] = pa.array(cut, batch.column("text").type)
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return found.select(*names, "spans").transform(shipped).mapInArrow(run, kept)
+    return contaminated(docs, benchmark, cut=True).select(names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import svm
-from tickloom.llm.common import joined, key_remainder, passes, read, shipped, span_sums, text_bytes
+from tickloom.llm.common import joined, key_remainder, passes, read, shipped, span_sums, text_bytes, tidy
 
 #: Hashed trigram features.
 FEATURES = 4096
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_003 * min(1.0, per_language / n))))
     taken = rows.filter(keep).dropDuplicates(["doc_id"]).transform(shipped).mapInArrow(
-        _sample_features, "lang string, feature binary, n binary"
+        tidy(_sample_features), "lang string, feature binary, n binary"
     )
     found = taken.collect()
     x = np.zeros((len(found), FEATURES), dtype=np.float32)
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             columns["score"] = pa.array(np.concatenate(scores) if scores else [], pa.float64())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(names).transform(shipped).mapInArrow(run, schema)
+    return docs.select(names).transform(shipped).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

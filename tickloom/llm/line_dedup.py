@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import passes, read, shipped, staged, text_bytes
+from tickloom.llm.common import passes, read, shipped, staged, text_bytes, tidy
 from tickloom.llm.words import hash_spans
 
 EDITS = 2
@@ -204,7 +204,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 names=["l1", "l2", "doc_id", "line"],
             )
 
-    return docs.select(_id(), "text").transform(shipped).mapInArrow(run, "l1 bigint, l2 bigint, doc_id bigint, line int")
+    return docs.select(_id(), "text").transform(shipped).mapInArrow(tidy(run), "l1 bigint, l2 bigint, doc_id bigint, line int")
 
 
 _ROW = "key bigint, l1 bigint, tag int, count bigint"
@@ -246,7 +246,7 @@ def _first_keys(docs: DataFrame) -> DataFrame:
                 own = list(fresh.values())
                 yield from _key_rows(own, own, ids, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32))
 
-    return docs.select("text").transform(shipped).mapInArrow(run, _ROW)
+    return docs.select("text").transform(shipped).mapInArrow(tidy(run), _ROW)
 
 
 def _runs(keyed: DataFrame, last: bool) -> DataFrame:
@@ -312,7 +312,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
     return (
         keyed.repartition("key")
         .sortWithinPartitions("key", "l1")
-        .transform(shipped).mapInArrow(run, "key bigint, a bigint, b bigint, tag int")
+        .transform(shipped).mapInArrow(tidy(run), "key bigint, a bigint, b bigint, tag int")
     )
 
 
@@ -348,7 +348,7 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     where = staged(where, "places")
     rows = docs.select(_id(), "text").join(_small(where), "doc_id").select("text", "at")
-    found = rows.transform(shipped).mapInArrow(run, "l1 bigint, l2 bigint, bytes binary")
+    found = rows.transform(shipped).mapInArrow(tidy(run), "l1 bigint, l2 bigint, bytes binary")
     return staged(found.dropDuplicates(["l1", "l2"]), "line-texts")
 
 
@@ -364,7 +364,7 @@ def _finer(hot: DataFrame, texts: DataFrame) -> DataFrame:
             yield from _key_rows(whole, left, ids, batch.column("key").to_numpy(), path)
 
     return hot.join(texts, hot["a"] == texts["l1"]).select("key", "l1", "bytes", "tag").transform(shipped).mapInArrow(
-        run, _ROW
+        tidy(run), _ROW
     )
 
 
@@ -384,7 +384,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         both.filter(near)
         .select("a1", "a2", "b1", "b2", "xa", "xb")
-        .transform(shipped).mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+        .transform(shipped).mapInArrow(tidy(run), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     )
 
 
@@ -475,7 +475,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     drops = decisions(docs).withColumnRenamed("doc_id", "drop_id")
     both = docs.select(names).join(drops, _id() == F.col("drop_id"), "left").drop("drop_id")
-    return both.transform(shipped).mapInArrow(run, f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
+    return both.transform(shipped).mapInArrow(tidy(run), f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

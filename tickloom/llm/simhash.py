@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import read, shipped, staged, text_bytes
+from tickloom.llm.common import read, shipped, staged, text_bytes, tidy
 from tickloom.llm.graph import components
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"]
             )
 
-    return docs.select("doc_id", "text").transform(shipped).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text").transform(shipped).mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 def covering_masks() -> list[int]:

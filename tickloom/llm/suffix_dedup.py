@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import passes, read, shipped, staged, text_bytes
+from tickloom.llm.common import passes, read, shipped, staged, text_bytes, tidy
 from tickloom.llm.words import powers
 
 WINDOW = 400
@@ -289,7 +289,7 @@ def _core_keys(docs: DataFrame) -> DataFrame:
                     names=["key", "t1", "n"],
                 )
 
-    return docs.select("text", "t1").transform(shipped).mapInArrow(run, "key bigint, t1 bigint, n bigint")
+    return docs.select("text", "t1").transform(shipped).mapInArrow(tidy(run), "key bigint, t1 bigint, n bigint")
 
 
 def _signed(x: int) -> tuple[int, int]:
@@ -336,7 +336,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 10, _KINDS)], names=_NAMES
                 )
 
-    return docs.select("text", "t1", "t2", "keys").transform(shipped).mapInArrow(run, _CONTEXT)
+    return docs.select("text", "t1", "t2", "keys").transform(shipped).mapInArrow(tidy(run), _CONTEXT)
 
 
 _NAMES = [c.split(" ")[0] for c in _CONTEXT.split(", ")]
@@ -403,7 +403,7 @@ def _marked(contexts: DataFrame) -> DataFrame:
         counted.repartition("k1", "k2")
         .sortWithinPartitions("k1", "k2", "band")
         .transform(shipped).mapInArrow(
-            run,
+            tidy(run),
             "c1 bigint, c2 bigint, begin int, stop int, band int, left binary, right binary, n bigint",
         )
     )
@@ -440,7 +440,7 @@ def _single_windows(crowded: DataFrame, cores: DataFrame) -> DataFrame:
                 )
 
     windows = crowded.join(cores, ["c1", "c2"]).transform(shipped).mapInArrow(
-        run, "c1 bigint, c2 bigint, begin int, stop int, w1 bigint, w2 bigint, n bigint"
+        tidy(run), "c1 bigint, c2 bigint, begin int, stop int, w1 bigint, w2 bigint, n bigint"
     )
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1")
     return windows.join(twice, ["w1", "w2"]).select("c1", "c2", "begin", "stop")
@@ -474,7 +474,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             )
 
     return covered.transform(shipped).mapInArrow(
-        run, "t1 bigint, t2 bigint, spans array<struct<begin:bigint,stop:bigint>>"
+        tidy(run), "t1 bigint, t2 bigint, spans array<struct<begin:bigint,stop:bigint>>"
     )
 
 
@@ -514,7 +514,7 @@ def removed(docs: DataFrame) -> DataFrame:
     if (spans.agg(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
     both = docs.select("doc_id", "text", *_digests()).join(spans, ["t1", "t2"], "left")
-    return both.select("doc_id", "text", "spans").transform(shipped).mapInArrow(run, schema)
+    return both.select("doc_id", "text", "spans").transform(shipped).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
