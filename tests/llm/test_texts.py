@@ -400,3 +400,55 @@ def test_toxicity_of_held_out_texts(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+
+
+# --- near copies ----------------------------------------------------------------------------
+
+
+def plain_near_copies(rows):
+    """Rows that stay: one of each group of texts that share 0.8 of their five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    least = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    return sorted((r[0] for r in least), key=repr)
+
+
+@pytest.mark.parametrize("pairs", [10, 0])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, pairs):
+    from tickloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)  # 0: hubs first
+    monkeypatch.setattr(near_copies, "STARS", 2)
+    draw = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(["a b", "A  b", "b a", "", None, "one two three four five six"])]
+    for f in range(6):  # families with some words changed, in documents of any similarity
+        base = sentence(draw, 90, STOCK["en"]).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(draw.randint(0, 5)):
+                words[draw.randrange(len(words))] = f"odd{draw.randint(0, 99)}"
+            words = words[: len(words) - draw.randint(0, 9)]
+            rows.append((None if draw.random() < 0.2 else len(rows), " ".join(words)))
+    rows += [(None, "only without an id"), (None, "only without an id")]
+    want = plain_near_copies(rows)
+    assert len(want) < len(rows) - 20
+    df = docs_frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    found = sorted((r["doc_id"] for r in near_copies.one_of_each(with_clashes(df)).collect()), key=repr)
+    assert found == want
+    assert near_copies.one_of_each(docs_frame(spark, [])).count() == 0
