@@ -298,6 +298,20 @@ def test_lines_of_hard_cases(docs, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    texts = ["Les.\nseventeen letters\n\nabc", "Les.\nsevenTeen letters\n\nabd", "les.\nsevenTEen letters\nx", "x\nLes.\nnineteen bytes long", "nineteen bytes lonGEr"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: (r["kept"], r["n_dropped"], r["n_near"]) for r in line_dedup.deduplicated(docs_frame(spark, rows)).collect()}
+    assert found == {
+        0: ("Les.\nseventeen letters\n\nabc", 0, 0),
+        1: ("\nabd", 2, 1),  # one edit of a line of 17 bytes; none of one of 3
+        2: ("les.\nx", 1, 1),  # one edit from the line of document 1
+        3: ("nineteen bytes long", 2, 0),
+        4: ("nineteen bytes lonGEr", 0, 0),  # three edits
+    }
+    assert line_dedup.within([b"0123456789"] * 3, [b"012345678x", b"01234567xx", b"0123456789"], np.array([1, 1, 0])).tolist() == [True, False, True]
+
+
 # --- 8: repeated byte strings -------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
 """Line deduplication with a segment-partition edit join.
 
 A line that repeats an earlier line, exactly or within ``EDITS`` byte edits, is dropped;
-earlier means smaller (doc_id, line number). Lines shorter than ``LEAST`` bytes always stay.
+earlier means smaller (doc_id, line number). Every line that is not empty takes part. Where the
+shorter of two lines has less than ``LEAST`` bytes, one edit is allowed for each ``PART`` of them:
+one from 10 bytes on, none below, where lines are dropped as exact repeats.
 
 A line is cut into EDITS + 1 segments of even length. If two lines are within EDITS edits,
 one segment of the shorter occurs in the longer unchanged and nearly in place; so every line
@@ -39,8 +41,8 @@ from tickloom.llm.common import passes, read, shipped, staged, text_bytes, tidy
 from tickloom.llm.words import hash_spans
 
 EDITS = 2
-#: Bytes of the shortest line that takes part.
-LEAST = 20
+#: Bytes from which on EDITS edits are allowed, and bytes for each edit below.
+LEAST, PART = 20, 10
 #: Pairs of lines that are looked at within one key; beyond it the lines go on to finer keys.
 PAIRS = 200_000
 #: Rounds of keys; what is left of a line shrinks by a third or so in each.
@@ -121,8 +123,13 @@ def name(line: bytes) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
 
 
-def within(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Whether each pair is within EDITS edits; ``a`` is not longer than ``b``.
+def allowed(length: np.ndarray) -> np.ndarray:
+    """Edits allowed between lines of which the shorter has a length."""
+    return np.where(length >= LEAST, EDITS, np.minimum(length // PART, EDITS))
+
+
+def within(a: list[bytes], b: list[bytes], edits: np.ndarray | None = None) -> np.ndarray:
+    """Whether each pair is within EDITS edits, or within its own number of them.
 
     Bit-parallel over the band: of the diagonals from -EDITS to EDITS a word holds the cells
     reachable with k errors, for each k; every byte advances all pairs that are still alive.
@@ -138,6 +145,7 @@ def within(a: list[bytes], b: list[bytes]) -> np.ndarray:
     sb = np.cumsum(lb + EDITS + 1) - lb
     width = 2 * EDITS + 1
     full = (1 << width) - 1
+    edits = np.full(n, EDITS) if edits is None else edits
     alive = np.flatnonzero(np.abs(lb - la) <= EDITS)
     # bit j of state[k]: cell (i, i + j - EDITS) is reachable with at most k errors
     state = [np.full(len(alive), sum(1 << (EDITS + e) for e in range(k + 1)), dtype=np.int64) for k in range(EDITS + 1)]
@@ -146,7 +154,8 @@ def within(a: list[bytes], b: list[bytes]) -> np.ndarray:
         done = la[alive] == i
         if done.any():
             goal = lb[alive[done]] - i + EDITS
-            ok[alive[done]] = (state[EDITS][done] >> goal) & 1 == 1
+            reached = np.choose(edits[alive[done]], [s[done] for s in state])
+            ok[alive[done]] = (reached >> goal) & 1 == 1
             alive = alive[~done]
             state = [s[~done] for s in state]
             if not len(alive):
@@ -179,7 +188,7 @@ def _id():
 
 
 def _lines(text: bytes) -> list[tuple[int, bytes]]:
-    return [(k, x) for k, x in enumerate(text.split(b"\n")) if len(x) >= LEAST]
+    return [(k, x) for k, x in enumerate(text.split(b"\n")) if x]
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -236,6 +245,8 @@ def _first_keys(docs: DataFrame) -> DataFrame:
                 fresh: dict[int, bytes] = {}
                 for text in texts[lo:hi]:
                     for _, x in _lines(text):
+                        if len(x) < PART:  # exact repeats only
+                            continue
                         l1 = name(x)[0]
                         if l1 not in seen:
                             seen.add(l1)
@@ -375,7 +386,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                ok = within(part.column("xa").to_pylist(), part.column("xb").to_pylist())
+                a, b = part.column("xa").to_pylist(), part.column("xb").to_pylist()
+                shorter = np.array([min(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+                ok = within(a, b, allowed(shorter))
                 yield part.select(["a1", "a2", "b1", "b2"]).filter(pa.array(ok))
 
     side = lambda x: texts.select(*(F.col(c).alias(n) for c, n in (("l1", f"{x}1"), ("l2", f"{x}2"), ("bytes", f"x{x}"))))
