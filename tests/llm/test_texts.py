@@ -312,6 +312,19 @@ def test_short_lines_take_part(spark):
     assert line_dedup.within([b"0123456789"] * 3, [b"012345678x", b"01234567xx", b"0123456789"], np.array([1, 1, 0])).tolist() == [True, False, True]
 
 
+def test_lines_of_rows_without_an_id(spark):
+    common, other = "a line that all of these have", "one more line of them all"
+    rows = [(None, f"{common}\nown line number {k * 1111} of {'xyz'[k % 3] * (k + 3)}\n{other}", "en", "s", 1) for k in range(6)]
+    rows += [(7, f"{other}\nseven {'w' * 30}", "en", "s", 1), (7, f"{other}\nagain {'v' * 40}", "en", "s", 1)]
+    df = docs_frame(spark, rows)
+    kept = [r["kept"] for r in line_dedup.deduplicated(df).collect()]
+    # once in all, though at the same line number of rows with the same doc_id or none
+    assert sum(x.split("\n").count(common) for x in kept) == 1
+    assert sum(x.split("\n").count(other) for x in kept) == 1
+    assert sum(x.count("own line") for x in kept) == 6
+    assert line_dedup.decisions(df).agg(F.max(F.size("drops"))).first()[0] <= 3
+
+
 # --- 8: repeated byte strings -------------------------------------------------------------
 
 

@@ -21,10 +21,14 @@ one at most, so pairs whose counts are further apart are no candidates.
 Lines travel as 64-bit names in the search and as 128-bit names in decisions; only lines of
 candidates are fetched. Copies of a line within a task are keyed once.
 
+A document is known by its doc_id and a hash of its text, so that rows without a doc_id, or
+with the same one, are not gathered: no array is longer than the lines of one text.
+
 Defined cases: null and empty texts have no lines to drop and stay as they are; a null
-doc_id comes after all others; rows that share a doc_id are judged as one document, so exact
-repeated rows keep the same lines; of equal lines the first stays; very long lines are
-compared whole. Extra columns are kept.
+doc_id comes after all others; rows that share a doc_id (or have none) and the text are judged
+as one document, so exact repeated rows keep the same lines; with other texts they are
+documents of their own, by line number and then by hash; of equal lines the first stays; very
+long lines are compared whole. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -187,12 +191,17 @@ def _id():
     return F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id")
 
 
+#: Tells texts of one doc_id apart. Should two agree in it, drops still go by the lines' own names.
+def _digest():
+    return F.xxhash64("text").alias("digest")
+
+
 def _lines(text: bytes) -> list[tuple[int, bytes]]:
     return [(k, x) for k, x in enumerate(text.split(b"\n")) if x]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """l1, l2 (name), doc_id and line number of every line that takes part."""
+    """l1, l2 (name), doc_id, digest of the text and line number of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,12 +217,15 @@ def lines(docs: DataFrame) -> DataFrame:
                     pa.array(both[:, 0]),
                     pa.array(both[:, 1]),
                     batch.column("doc_id").take(pa.array(owner, pa.int64())),
+                    batch.column("digest").take(pa.array(owner, pa.int64())),
                     pa.array(number, pa.int32()),
                 ],
-                names=["l1", "l2", "doc_id", "line"],
+                names=["l1", "l2", "doc_id", "digest", "line"],
             )
 
-    return docs.select(_id(), "text").transform(shipped).mapInArrow(tidy(run), "l1 bigint, l2 bigint, doc_id bigint, line int")
+    return docs.select(_id(), _digest(), "text").transform(shipped).mapInArrow(
+        tidy(run), "l1 bigint, l2 bigint, doc_id bigint, digest bigint, line int"
+    )
 
 
 _ROW = "key bigint, l1 bigint, tag int, count bigint"
@@ -329,7 +341,7 @@ def _runs(keyed: DataFrame, last: bool) -> DataFrame:
 
 def _small(places: DataFrame) -> DataFrame:
     """``places`` (a written table) with a broadcast hint where it is small enough."""
-    size = places.agg(F.sum(48 + 24 * F.size("at"))).first()[0] or 0
+    size = places.agg(F.sum(56 + 24 * F.size("at"))).first()[0] or 0
     return F.broadcast(places) if size <= BROADCAST_BYTES else places
 
 
@@ -343,7 +355,7 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
                 parts = text.split(b"\n")
                 for p in at:
                     x = parts[p["line"]] if p["line"] < len(parts) else b""
-                    if name(x) == (p["l1"], p["l2"]):  # rows that share a doc_id may differ
+                    if name(x) == (p["l1"], p["l2"]):
                         found[p["l1"], p["l2"]] = x
             yield pa.RecordBatch.from_arrays(
                 [
@@ -355,10 +367,10 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     where = (
-        classes.join(wanted, "l1").groupBy("doc_id").agg(F.collect_list(F.struct("l1", "l2", "line")).alias("at"))
+        classes.join(wanted, "l1").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("l1", "l2", "line")).alias("at"))
     )
     where = staged(where, "places")
-    rows = docs.select(_id(), "text").join(_small(where), "doc_id").select("text", "at")
+    rows = docs.select(_id(), _digest(), "text").join(_small(where), ["doc_id", "digest"]).select("text", "at")
     found = rows.transform(shipped).mapInArrow(tidy(run), "l1 bigint, l2 bigint, bytes binary")
     return staged(found.dropDuplicates(["l1", "l2"]), "line-texts")
 
@@ -422,16 +434,16 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """For each doc_id its lines to drop: (doc_id, drops), an array of (line, l1, near)."""
+    """For each document its lines to drop: (doc_id, digest, drops), an array of (line, l1, near)."""
     all_lines = staged(lines(docs), "lines")
     classes = staged(
         all_lines.groupBy("l1", "l2")
-        .agg(F.min(F.struct("doc_id", "line")).alias("first"))
-        .select("l1", "l2", "first.doc_id", "first.line"),
+        .agg(F.min(F.struct("doc_id", "line", "digest")).alias("first"))
+        .select("l1", "l2", "first.*"),
         "line-classes",
     )
     pairs = links(docs, classes)
-    first = F.struct("doc_id", "line")
+    first = F.struct("doc_id", "line", "digest")
     a = classes.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), first.alias("fa"))
     b = classes.select(F.col("l1").alias("b1"), F.col("l2").alias("b2"), first.alias("fb"))
     placed = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
@@ -447,8 +459,8 @@ def decisions(docs: DataFrame) -> DataFrame:
     )
     out = (
         all_lines.join(judged, ["l1", "l2"])
-        .filter(F.col("near") | (F.struct("doc_id", "line") != F.col("first")))
-        .groupBy("doc_id")
+        .filter(F.col("near") | (first != F.col("first")))
+        .groupBy("doc_id", "digest")
         .agg(F.collect_list(F.struct("line", "l1", "near")).alias("drops"))
     )
     return staged(out, "line-drops")
@@ -486,8 +498,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 columns[c] = pa.array([f[k] for f in found], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
-    drops = decisions(docs).withColumnRenamed("doc_id", "drop_id")
-    both = docs.select(names).join(drops, _id() == F.col("drop_id"), "left").drop("drop_id")
+    drops = decisions(docs).select(F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_text"), "drops")
+    same = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_text"))
+    both = docs.select(names).join(drops, same, "left").drop(drops["drop_id"]).drop(drops["drop_text"])
     return both.transform(shipped).mapInArrow(tidy(run), f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
 
 
