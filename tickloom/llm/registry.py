@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickloom.llm import bpe, dataset_manifest, decontaminate, fixity, language_id, line_dedup, simhash, suffix_dedup, tool_calls, topk, toxicity
+from tickloom.llm import bpe, dataset_manifest, decontaminate, fixity, language_id, licenses, line_dedup, simhash, suffix_dedup, tool_calls, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": fixity.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
     "op12_manifest": dataset_manifest.query,
+    "op13_licenses": licenses.query,
     "pipeline": corpus_pipeline.run,
 }
 
