@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickloom.llm import bpe, dataset_manifest, decontaminate, fixity, language_id, licenses, line_dedup, simhash, suffix_dedup, tool_calls, topk, toxicity
+from tickloom.llm import (
+    bpe,
+    dataset_manifest,
+    decontaminate,
+    fixity,
+    language_id,
+    licenses,
+    line_dedup,
+    simhash,
+    suffix_dedup,
+    token_alignment,
+    tool_calls,
+    topk,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": fixity.query,
@@ -20,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language_id.query,
+    "op11_alignment": token_alignment.query,
     "op12_manifest": dataset_manifest.query,
     "op13_licenses": licenses.query,
     "pipeline": corpus_pipeline.run,
@@ -29,5 +44,6 @@ ORACLE: dict[str, str] = {
     "op1_fixity": fixity.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_topk": topk.SQL,
+    "op11_alignment": token_alignment.query,
     "op12_manifest": dataset_manifest.SQL,
 }
