@@ -180,21 +180,21 @@ def ways(nodes: DataFrame, label: str) -> DataFrame:
     return found
 
 
-def _height(n: int) -> int:
-    """Levels within a block of a tree of ``n`` leaves."""
+def _height(n: int, most: int) -> int:
+    """Levels within a block of ``most`` levels, in a tree of ``n`` leaves."""
     levels = 0
-    while n > 1 and levels < BLOCK_LEVELS:
+    while n > 1 and levels < most:
         n, levels = -(-n // FANOUT), levels + 1
     return levels
 
 
-def _block_tops(blocks: DataFrame) -> DataFrame:
+def _block_tops(blocks: DataFrame, most: int) -> DataFrame:
     """The top node of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves, sizes = batch.column("leaves").to_pylist(), batch.column("n").to_pylist()
-            trees = (PersistentTree([x["leaf"] for x in row], _height(n)) for row, n in zip(leaves, sizes))
+            trees = (PersistentTree([x["leaf"] for x in row], _height(n, most)) for row, n in zip(leaves, sizes))
             tops = [t.hashes[t.top] for t in trees]
             yield pa.RecordBatch.from_pydict(
                 {"g": batch.column("g"), "idx": batch.column("idx"), "hash": pa.array(tops, pa.string())}
@@ -213,9 +213,9 @@ def _fold(node: str, way: list[dict[str, str]]) -> list[str]:
     return out
 
 
-def _block_rows(row: dict, with_nodes: bool) -> Iterator[tuple]:
+def _block_rows(row: dict, most: int, with_nodes: bool) -> Iterator[tuple]:
     """The leaves of a block with proof and version."""
-    tree = PersistentTree([x["leaf"] for x in row["leaves"]], _height(row["n"]))
+    tree = PersistentTree([x["leaf"] for x in row["leaves"]], _height(row["n"], most))
     way = row["way"] + row["over"]
     above = [half for step in way for half in (step["lft"], step["rgt"])]
     untouched = _fold(tree.hashes[tree.top], way)
@@ -241,6 +241,7 @@ def manifest(
     ``with_nodes`` also ``siblings`` (the hashes of the proof; those of a run above the block as one string for
     each side) and ``copies``, the hashes that a version does not share: its leaf and copied ancestors up to the root.
     """
+    most, size = BLOCK_LEVELS, FANOUT**BLOCK_LEVELS
     now = {name: F.col(name) for name in fields}
     then = now | {fields[-1]: altered}
     g = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit(""))
@@ -252,15 +253,14 @@ def manifest(
         "leaves",
     )
     blocks = staged(
-        leaves.groupBy("g", F.expr(f"pos div {FANOUT**BLOCK_LEVELS}").alias("idx"))
+        leaves.groupBy("g", F.expr(f"pos div {size}").alias("idx"))
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", "doc_id", "leaf", "altered"))).alias("leaves"),  # a block
             F.any_value("n").alias("n"),
         ),
         "blocks",
     )
-    size = FANOUT**BLOCK_LEVELS
-    tops = staged(_block_tops(blocks), "tops").withColumn("n", F.expr(f"(n + {size - 1}) div {size}"))
+    tops = staged(_block_tops(blocks, most), "tops").withColumn("n", F.expr(f"(n + {size - 1}) div {size}"))
     up = ways(tops, "source")
     subroots = numbered(
         up.filter("idx = 0").select(F.lit("").alias("g"), F.col("g").alias("source"), F.col("top").alias("hash")),
@@ -283,7 +283,7 @@ def manifest(
             types = [batch.schema.field("leaves").type.value_type.field("doc_id").type, *[pa.string()] * 6]
             types += [pa.list_(pa.string())] * (len(names) - len(types))
             for lo in range(0, batch.num_rows, TOGETHER):
-                rows = [x for b in batch.slice(lo, TOGETHER).to_pylist() for x in _block_rows(b, with_nodes)]
+                rows = [x for b in batch.slice(lo, TOGETHER).to_pylist() for x in _block_rows(b, most, with_nodes)]
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
