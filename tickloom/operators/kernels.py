@@ -6,6 +6,7 @@ the group at hand only, so its memory does not depend on the size of a group.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -206,3 +207,50 @@ def queue_ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out, columns=["day", "sid", "chunk", "rpt", "ahead", "level_total"]
         )
 
+
+
+LEVELS_SCHEMA = (
+    "day int, sid bigint, chunk bigint, rpt bigint, sub int, side int, ticks array<bigint>, sizes array<bigint>"
+)
+
+
+def best_levels(count: int, reach: int) -> Callable:
+    """Kernel that gives the best ``count`` levels of a side whenever one of them changes.
+
+    A side is the sorted list of its occupied ticks and their sizes; levels more than ``reach`` ticks
+    from the best or without size are passed over.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("day", "sid", "chunk", "rpt", "sub", "e_side", "e_tick", "level_n", "level_q")
+        group = None
+        ticks: tuple[list, list] = ([], [])
+        sizes: tuple[dict, dict] = ({}, {})
+        shown: list = [None, None]
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c].tolist() for c in names)):
+                if row[:3] != group:
+                    group, ticks, sizes, shown = row[:3], ([], []), ({}, {}), [None, None]
+                side, tick, n, q = row[5:]
+                key = -tick if side == BID else tick
+                line, held = ticks[side], sizes[side]
+                if n > 0:
+                    if key not in held:
+                        bisect.insort(line, key)
+                    held[key] = q
+                elif key in held:
+                    del held[key]
+                    line.pop(bisect.bisect_left(line, key))
+                best: list[tuple[int, int]] = []
+                for k in line:
+                    if len(best) == count or k - line[0] >= reach:
+                        break
+                    if held[k] > 0:
+                        best.append((-k if side == BID else k, held[k]))
+                if best != shown[side]:
+                    shown[side] = best
+                    out.append((*row[:6], [t for t, _ in best], [s for _, s in best]))
+            yield pd.DataFrame(out, columns=["day", "sid", "chunk", "rpt", "sub", "side", "ticks", "sizes"])
+
+    return run
