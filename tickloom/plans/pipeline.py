@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.constants import CHUNK
-from tickloom.operators import best_quote, lifecycle, matching, moves, states
+from tickloom.functions.constants import CHUNK, KEY
+from tickloom.operators import best_quote, levels, lifecycle, matching, moves, states
 from tickloom.operators import tape as message_tape
+from tickloom.operators.ordered import carry_scan, previous
 from tickloom.session import StageStore
 from tickloom.sources import order_flow
 from tickloom.sources.calendar import session_calendar
@@ -152,6 +153,21 @@ class BookPipeline:
             "tape", lambda: message_tape.classified(message_tape.with_before(quotes))
         )
 
+    @cached_property
+    def priced_tape(self) -> DataFrame:
+        """The tape with plain, micro and three-level price (in ticks) before and after each message."""
+
+        def build() -> DataFrame:
+            snapshots, _ = self._best("replay", self.replay_log, self.messages)
+            top = levels.level_changes(self.replay_log, snapshots)
+            prices = {"mid": levels.plain_mid(), "micro": levels.micro_price(), "mid3": levels.level_mid()}
+            after = levels.levels_at(self.tape, self.store.table("replay_levels", lambda: top))
+            after = after.withColumns(prices).drop("bids", "asks")
+            before = carry_scan(after, KEY, ["rpt"], [previous("_before", *prices)])
+            return before.withColumns({f"{n}0": F.col(f"_before.{n}") for n in prices}).drop("_before")
+
+        return self.store.table("priced_tape", build)
+
     @cached_property
     def queue(self) -> DataFrame:
         """Queue position of every order removed at the touch."""

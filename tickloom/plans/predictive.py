@@ -350,28 +350,37 @@ def logit(rows: DataFrame, y: Column, xs: list[str], iterations: int = 60) -> li
 
 
 # ---------------------------------------------------------------- event study
-def event_responses(tape: DataFrame, open_ms: int, close_ms: int, horizons=EVENT_HORIZONS_MS) -> DataFrame:
-    """Signed mid moves around new orders inside (undercut) or at (join) the touch.
+def event_responses(
+    tape: DataFrame,
+    open_ms: int,
+    close_ms: int,
+    horizons=EVENT_HORIZONS_MS,
+    before: Column | None = None,
+    after: Column | None = None,
+) -> DataFrame:
+    """Signed price moves around new orders inside (undercut) or at (join) the touch.
 
     ``mechanical`` is the order's own effect; ``response`` the move from just after it to
-    the 100 ms grid slot h later.  A grid slot holds the mid before its first message and
-    quiet slots keep the last one.
+    the 100 ms grid slot h later.  A grid slot holds the price before its first message and
+    quiet slots keep the last one.  The price is the mid, or what ``before`` and ``after`` give
+    just before and just after a message.
     """
     c = F.col
+    if before is None or after is None:
+        before = F.when(c("b0") < c("a0"), (c("b0") + c("a0")) / 2.0)
+        after = F.when(c("b") < c("a"), (c("b") + c("a")) / 2.0)
     session = tape.filter((c("t_ms") >= open_ms) & (c("t_ms") <= close_ms)).withColumn(
         "slot", F.floor((c("t_ms") - open_ms) / GRID_MS)
     )
     grid = (
         session.groupBy(*KEY, "slot")
-        .agg(F.min_by(F.struct(F.when(c("b0") < c("a0"), (c("b0") + c("a0")) / 2.0).alias("m")), "rpt").alias("g"))
+        .agg(F.min_by(F.struct(before.alias("m")), "rpt").alias("g"))
         .select(*KEY, c("slot").alias("at"), c("g.m").alias("grid_mid"))
         .filter("grid_mid IS NOT NULL")
         .withColumn("chunk", F.floor(c("at") / 6_000))
     )
     kind = F.when(c("new_class") == "undercut", "undercut").when(c("new_class") == "join_best", "join")
     sign = F.when(c("side") == BID, 1).otherwise(-1)
-    before = F.when(c("b0") < c("a0"), (c("b0") + c("a0")) / 2.0)
-    after = F.when(c("b") < c("a"), (c("b") + c("a")) / 2.0)
     events = (
         session.withColumn("kind", kind)
         .filter("kind IS NOT NULL")
@@ -394,10 +403,10 @@ def event_responses(tape: DataFrame, open_ms: int, close_ms: int, horizons=EVENT
     )
 
 
-def event_table(responses: DataFrame) -> DataFrame:
+def event_table(responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean response per kind and horizon: iid t, HAC t of minute means, t across days."""
     known = responses.filter("response IS NOT NULL")
-    keys = ["kind", "h"]
+    keys = keys or ["kind", "h"]
     base = known.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg("mechanical").alias("mechanical"),
