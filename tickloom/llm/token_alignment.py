@@ -2,7 +2,7 @@
 
 Texts are taken in chunks of about ``CHUNK_BYTES``. In a chunk the ids of both tokenizers are two list columns: flattened with
 parent indices, their byte lengths become ends by cumulative sums taken back to each document's start. An Acero
-full outer join of the ends on (document, end) gives every piece of text between two neighbouring ends once; filled backwards it
+full outer join of the ends on keys of document and end gives every piece of text between two neighbouring ends once; filled backwards it
 names the A and the B token that cover it, which is one link, and an end that both sides have closes a group.
 ``Table.group_by`` counts the documents that hold an id pair linked within the chunk; Spark adds these partial
 counts up and finds each A id's highest. A chunk gets back the counts of just its own pairs, so nothing
@@ -36,16 +36,13 @@ SALTS = 4
 
 
 class ByteLevel:
-    """The tokenizer of a byte-level BPE file; ``lengths`` are the bytes of its tokens."""
+    """The tokenizer of a byte-level BPE file; ``tokens`` are the bytes of its ids.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+    The file's merges make ids in ascending order, so an id is the rank of its merge, and a rank encoder gives
+    the ids of the file; other files are encoded by their own library.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are plain text
-        self.library.no_truncation()
-        self.library.no_padding()
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in enumerate(byte_characters())}
@@ -54,9 +51,32 @@ class ByteLevel:
             bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
             for t in (tokens.get(i, "") for i in range(max(tokens) + 1))
         ]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        vocabulary = spec["model"]["vocab"]
+        if all(vocabulary[x + y] == 256 + i for i, (x, y) in enumerate(merges)):
+            import public_tokenizers
+            import tiktoken
+
+            special = {x["id"] for x in spec.get("added_tokens", [])}
+            ranks = {t: i for i, t in enumerate(self.tokens) if i not in special}
+            ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._ids = lambda texts: [ranked.encode_ordinary(t) for t in texts]
+        else:
+            self._ids = _by_library(path)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return self._ids([" " + t for t in texts])
+
+
+def _by_library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True  # their strings in a text are plain text
+    library.no_truncation()
+    library.no_padding()
+    return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -96,15 +116,20 @@ def _sized(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+#: A document's number in a chunk stands above this many bits of a place in its text.
+_PLACE_BITS = 40
+
+
 def _ends(ids: pa.ListArray, tokens: pa.Array, name: str) -> pa.Table:
-    """(doc, end, id) of every token: ends are cumulative lengths less those of earlier documents."""
+    """(at, id) of every token: its document and its end there, cumulative lengths less those of earlier documents."""
     flat, doc = pc.list_flatten(ids), pc.list_parent_indices(ids)
     size = pc.cast(pc.take(pc.binary_length(tokens), flat), pa.int64())
     running = pc.cumulative_sum(size)
     # bytes of all tokens before a document's first
     before = np.concatenate(([0], running.to_numpy()))[ids.offsets.to_numpy()[:-1]]
     end = pc.subtract(running, pc.take(pa.array(before), doc))
-    return pa.table({"doc": pc.cast(doc, pa.int64()), "end": end, name: flat})
+    at = pc.add(pc.shift_left(pc.cast(doc, pa.int64()), _PLACE_BITS), end)
+    return pa.table({"at": at, name: flat})
 
 
 def _sound(ids: pa.ListArray, tokens: pa.Array, want: pa.Array) -> pa.Array:
@@ -114,25 +139,25 @@ def _sound(ids: pa.ListArray, tokens: pa.Array, want: pa.Array) -> pa.Array:
 
 
 def links(a: pa.ListArray, b: pa.ListArray, tokens_a: pa.Array, tokens_b: pa.Array) -> pa.Table:
-    """(doc, end, a, b, closes), in order: a row for every pair of overlapping tokens.
+    """(doc, a, b, ends_a, ends_b), in order: a row for every pair of overlapping tokens, and which of them end it.
 
     Both sides end at the same byte of a document, so filling backwards never leaves it.
     """
     left, right = _ends(a, tokens_a, "a"), _ends(b, tokens_b, "b")
-    found = left.join(right, keys=["doc", "end"], join_type="full outer").sort_by([("doc", "ascending"), ("end", "ascending")])
-    closes = pc.and_(pc.is_valid(found["a"]), pc.is_valid(found["b"]))
-    filled = {n: pc.fill_null_backward(found[n].combine_chunks()) for n in "ab"}
-    return pa.table({"doc": found["doc"], "end": found["end"], **filled, "closes": closes})
+    found = left.join(right, keys="at", join_type="full outer", use_threads=False).sort_by("at")
+    ids = {n: found[n].combine_chunks() for n in "ab"}
+    return pa.table(
+        {"doc": pc.shift_right(found["at"].combine_chunks(), _PLACE_BITS)}
+        | {n: pc.fill_null_backward(c) for n, c in ids.items()}
+        | {f"ends_{n}": pc.is_valid(c) for n, c in ids.items()}
+    )
 
 
-def _joined_groups(ids: pa.ListArray, ends: pa.Table, closing: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """The ids of each group, comma-joined, and the document of each group."""
-    # tokens of one side up to each closing end, over the whole chunk
-    place = pa.table({"doc": ends["doc"], "end": ends["end"], "at": pa.array(np.arange(1, ends.num_rows + 1))})
-    cut = closing.join(place, keys=["doc", "end"], join_type="inner").sort_by([("doc", "ascending"), ("end", "ascending")])
-    offsets = np.concatenate(([0], cut["at"].to_numpy()))
-    words = pc.cast(pc.list_flatten(ids), pa.string())
-    return pc.binary_join(_sized(offsets, words), ","), cut["doc"].combine_chunks()
+def _joined_groups(ids: pa.ListArray, ended: pa.Array, closes: pa.Array) -> pa.Array:
+    """The ids of each group, comma-joined: a group ends after the tokens of a side that have ended so far."""
+    so_far = np.cumsum(ended.to_numpy(zero_copy_only=False))
+    offsets = np.concatenate(([0], so_far[closes.to_numpy(zero_copy_only=False)]))
+    return pc.binary_join(_sized(offsets, pc.cast(pc.list_flatten(ids), pa.string())), ",")
 
 
 def _per_document(doc: pa.Array, n: int) -> np.ndarray:
@@ -140,13 +165,13 @@ def _per_document(doc: pa.Array, n: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.bincount(doc.to_numpy(), minlength=n))))
 
 
-def group_texts(a: pa.ListArray, b: pa.ListArray, found: pa.Table, tokens_a: pa.Array, tokens_b: pa.Array) -> pa.Array:
+def group_texts(a: pa.ListArray, b: pa.ListArray, found: pa.Table) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` of every document."""
-    closing = found.filter(found["closes"]).select(["doc", "end"])
-    left, doc = _joined_groups(a, _ends(a, tokens_a, "a"), closing)
-    right, _ = _joined_groups(b, _ends(b, tokens_b, "b"), closing)
+    ended = [found[f"ends_{n}"].combine_chunks() for n in "ab"]
+    closes = pc.and_(*ended)
+    left, right = (_joined_groups(ids, e, closes) for ids, e in zip((a, b), ended))
     groups = pc.binary_join_element_wise(left, right, "|")
-    return pc.binary_join(_sized(_per_document(doc, len(a)), groups), ";")
+    return pc.binary_join(_sized(_per_document(found["doc"].filter(closes), len(a)), groups), ";")
 
 
 def _chunk(texts: list[bytes], tools: tuple[ByteLevel, Pieces], tokens: tuple[pa.Array, pa.Array], with_groups: bool):
@@ -159,12 +184,22 @@ def _chunk(texts: list[bytes], tools: tuple[ByteLevel, Pieces], tokens: tuple[pa
     none = pa.scalar([], pa.list_(pa.int32()))
     a, b = pc.if_else(sound, a, none), pc.if_else(sound, b, none)
     found = links(a, b, *tokens)
-    groups = group_texts(a, b, found, *tokens).to_pylist()
-    closing = found.filter(found["closes"])
-    held = found.group_by(["doc", "a", "b"]).aggregate([([], "count_all")])
-    pairs = held.group_by(["a", "b"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "docs"])
-    pairs = pairs.append_column("pair", pa.array(np.arange(pairs.num_rows, dtype=np.int32)))
-    held = held.join(pairs.select(["a", "b", "pair"]), keys=["a", "b"]).sort_by([("doc", "ascending"), ("pair", "ascending")])
+    groups = group_texts(a, b, found).to_pylist()
+    closing = found.filter(pc.and_(found["ends_a"], found["ends_b"]))
+    # a pair of ids as one number, and the distinct ones of the chunk
+    whole = pc.add(pc.shift_left(pc.cast(found["a"], pa.int64()), 32), pc.cast(found["b"], pa.int64()))
+    coded = pc.dictionary_encode(whole.combine_chunks())
+    linked = pa.table({"doc": found["doc"], "pair": coded.indices})
+    held = linked.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+    held = held.sort_by([("doc", "ascending"), ("pair", "ascending")])
+    counts = held.group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
+    pairs = pa.table(
+        {
+            "a": pc.cast(pc.shift_right(coded.dictionary, 32), pa.int32()),
+            "b": pc.cast(pc.bit_wise_and(coded.dictionary, (1 << 32) - 1), pa.int32()),
+            "docs": counts["count_all"],
+        }
+    )
     at = _per_document(held["doc"], len(texts))
     held_pairs = pc.cast(held["pair"].combine_chunks(), pa.int32())
     held_times = pc.cast(held["count_all"].combine_chunks(), pa.int32())
