@@ -15,7 +15,9 @@ from tickloom.queries_residual import BASE, blocks
 
 QUARTER_HOUR = 900_000
 HALF_HOUR = 1_800_000
-REPS = 999
+REPS = 999                           # plain session draws
+WILD_REPS = 9_999                    # wild replicates
+SHARE_REPS = 999                     # replicates of Shapley shares
 SEED = 20261002
 
 # ------------------------------------------------------------------ trades
@@ -133,7 +135,7 @@ SELECT {keys}, count(*) AS n, count(DISTINCT day) AS sessions, avg(x) AS mx, cor
        regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {source} GROUP BY {keys}""")
     oracle.block(f"{name}_w", source, f"""
 SELECT k.*, r.rep, [-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][CAST(floor({_hash(SEED, "r.rep", "k.day")} * 6) AS INTEGER) + 1] AS w
-FROM (SELECT DISTINCT {keys}, day FROM {source}) k, (SELECT unnest(range(1, {REPS + 1})) AS rep) r""")
+FROM (SELECT DISTINCT {keys}, day FROM {source}) k, (SELECT unnest(range(1, {WILD_REPS + 1})) AS rep) r""")
     oracle.block(f"{name}_r", f"{source} {name}_f {name}_w", f"""
 SELECT {", ".join("s." + k for k in keys.split(", "))}, w.rep, corr(s.x, f.a + f.b * s.x + w.w * (s.y - f.a - f.b * s.x)) AS r
 FROM {source} s JOIN {name}_f f ON {on("f", "s")} JOIN {name}_w w ON {on("w", "s")} AND w.day = s.day GROUP BY ALL""")
@@ -175,7 +177,7 @@ def split_half(p):
         .select("day", "hour", "h", F.col("as_odd").alias("x"), F.col("as_even").alias("y"))
     )
     both = inf.without_hour_mean(rows, ["h"], "x", "y")
-    return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", REPS, SEED)), 6)
+    return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", WILD_REPS, SEED)), 6)
 
 
 for _l in (QUARTER_HOUR, HALF_HOUR):
@@ -209,7 +211,7 @@ def split_half_gap(p):
         trades.impact_blocks(impact_of(p), p.calendar, HALF_HOUR), HALF_HOUR, 60_000
     )
     both = inf.without_hour_mean(rows.select("day", "hour", "h", "x", "y"), ["h"], "x", "y")
-    return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", REPS, SEED)), 6)
+    return rounded(_sb_of(inf.wild_correlation(both, ["h", "version"], "day", WILD_REPS, SEED)), 6)
 
 
 @register(
@@ -338,7 +340,7 @@ def predictive_regressions(p):
     table = inf.regression_table(
         rows, ["spec", "h"], "as_next",
         ["m", "volume", "qvol", "abs_r", "frac_1tick", "as0"],
-        ["day", "period_start"], REPS, SEED,
+        ["day", "period_start"], WILD_REPS, SEED,
     )
     return rounded(table, 6)
 
@@ -348,7 +350,7 @@ def contemporaneous_regressions(p):
     rows = p.store.table("predictive_rows", lambda: predictive_rows(p))
     table = inf.regression_table(
         rows, ["spec", "h"], "as0", ["m", "volume", "qvol", "abs_r", "frac_1tick"],
-        ["day", "period_start"], REPS, SEED,
+        ["day", "period_start"], WILD_REPS, SEED,
     )
     return rounded(table, 6)
 
@@ -370,7 +372,7 @@ FROM (SELECT *, lag(psi, 1) OVER w AS l1, lag(psi, 2) OVER w AS l2, lag(psi, 3)
 oracle.block("fxw", "fxp", f"""
 SELECT h, stddev_samp(s) AS se_wild, quantile_cont(s, 0.025) AS d_low, quantile_cont(s, 0.975) AS d_high FROM (
 SELECT c.h, r.rep, sum(c.s * [-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)][CAST(floor({_hash(SEED, "r.rep", "c.day")} * 6) AS INTEGER) + 1]) AS s
-FROM (SELECT h, day, sum(psi) AS s FROM fxp GROUP BY ALL) c, (SELECT unnest(range(1, {REPS + 1})) AS rep) r GROUP BY ALL) GROUP BY h""")
+FROM (SELECT h, day, sum(psi) AS s FROM fxp GROUP BY ALL) c, (SELECT unnest(range(1, {WILD_REPS + 1})) AS rep) r GROUP BY ALL) GROUP BY h""")
 
 
 @register(
@@ -389,7 +391,7 @@ def composition_regression(p):
         [*KEY, "period_start"],
     )
     table = inf.regression_table(
-        rows, ["h"], "y", ["x"], ["day", "period_start"], REPS, SEED
+        rows, ["h"], "y", ["x"], ["day", "period_start"], WILD_REPS, SEED
     )
     return rounded(
         table.select("h", "n", "beta", "ci_low", "ci_high", "se_wild", "se_hac", "partial_r2"), 6
@@ -485,7 +487,7 @@ def improvement_decomposition(p):
 def shapley_r2(p):
     rows = p.store.table("decomposition", lambda: decomposition_rows(p))
     parts = [
-        inf.shapley_table(rows, y, ["theta", "ln_kappa", "edge"], "day", 199, SEED).withColumn("y", F.lit(y))
+        inf.shapley_table(rows, y, ["theta", "ln_kappa", "edge"], "day", SHARE_REPS, SEED).withColumn("y", F.lit(y))
         for y in ("qcr_r", "qcr_a")
     ]
     return rounded(parts[0].unionByName(parts[1]), 6)

@@ -17,6 +17,8 @@ from tickloom.sources import feed as fd
 SEED = 7_411
 SIGNALS = ("ur_price", "fqcr", "queue_run", "agg_cancel")
 HORIZONS = (1, 5, 10, 30)
+PERMUTATIONS = 500
+BLOCK_MINUTES, BLOCK_REPS = 10, 10_000
 KEEP = ["day", "sid", "bucket", "hour"]
 OPEN_MS, CLOSE_MS = 32_400_000, 64_800_000
 
@@ -220,7 +222,7 @@ def in_sample_predictive(p):
 
 # ------------------------------------------------------------------ out of sample
 WARMUP = 200
-oracle.block("oo", "pb", "SELECT spec, x, y, row_number() OVER (PARTITION BY spec ORDER BY day, bucket) - 1 AS pos FROM pb WHERE x IS NOT NULL AND y IS NOT NULL AND spec = 'close_mid|1'")
+oracle.block("oo", "pb", "SELECT spec, x, y, row_number() OVER (PARTITION BY spec ORDER BY day, bucket) - 1 AS pos FROM pb WHERE x IS NOT NULL AND y IS NOT NULL")
 oracle.block("oq", "oo", f"""
 SELECT t.spec, t.pos, t.x, t.y, quantile_cont(s.x, 0.01) AS lo, quantile_cont(s.x, 0.99) AS hi, avg(s.y) AS bench
 FROM oo t JOIN oo s ON s.spec = t.spec AND s.pos < t.pos WHERE t.pos >= {WARMUP} GROUP BY ALL""")
@@ -242,8 +244,7 @@ SELECT o.spec, o.pos, (o.f - m.m) / m.n AS psi FROM of o JOIN ofm m ON m.spec =
     "SELECT m.spec, m.n, round(m.r2, 6) AS r2_oos, round(m.m / h.se, 5) AS clark_west FROM ofm m JOIN ofh h ON h.spec = m.spec",
 )
 def oos_clark_west(p):
-    rows = basis_rows(p).filter("spec = 'close_mid|1'")
-    table = pr.clark_west(pr.expanding_predictions(rows, WARMUP))
+    table = pr.clark_west(pr.expanding_predictions(basis_rows(p), WARMUP))
     return table.select("spec", "n", F.round("r2_oos", 6).alias("r2_oos"), F.round("clark_west", 5).alias("clark_west"))
 
 
@@ -262,12 +263,12 @@ def oos_clark_west_controls(p):
 
 
 # ------------------------------------------------------------------ shuffle, tails, logit, joint
-oracle.block("sp5", "ss", "SELECT spec, day, bucket, hour, y, x FROM ss WHERE spec IN ('agg_cancel|h1', 'fqcr|h1') AND x IS NOT NULL AND y IS NOT NULL")
+oracle.block("sp5", "ss", "SELECT spec, day, bucket, hour, y, x FROM ss WHERE x IS NOT NULL AND y IS NOT NULL")
 oracle.block("shu", "sp5", f"""
 SELECT a.spec, a.rep, a.hour, a.y, b.x FROM (
- SELECT s.*, r.rep, row_number() OVER (PARTITION BY s.spec, r.rep, s.day ORDER BY s.bucket) AS pos FROM sp5 s, (SELECT unnest(range(1, 100)) AS rep) r) a
+ SELECT s.*, r.rep, row_number() OVER (PARTITION BY s.spec, r.rep, s.day ORDER BY s.bucket) AS pos FROM sp5 s, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS rep) r) a
 JOIN (SELECT s.spec, s.day, s.x, r.rep, row_number() OVER (PARTITION BY s.spec, r.rep, s.day ORDER BY {_hash(SEED, "r.rep", "s.day", "s.bucket")}, s.bucket) AS pos
- FROM sp5 s, (SELECT unnest(range(1, 100)) AS rep) r) b ON b.spec = a.spec AND b.rep = a.rep AND b.day = a.day AND b.pos = a.pos
+ FROM sp5 s, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS rep) r) b ON b.spec = a.spec AND b.rep = a.rep AND b.day = a.day AND b.pos = a.pos
 UNION ALL SELECT spec, 0, hour, y, x FROM sp5""")
 oracle.block("shb", "shu", """
 SELECT spec, rep, abs(sum(zx * y) / sum(zx * zx)) AS b FROM (
@@ -278,11 +279,10 @@ SELECT spec, rep, y, x - avg(x) OVER (PARTITION BY spec, rep, hour) AS zx FROM s
     "placebo_shuffle",
     "shb",
     """SELECT n.spec, round(any_value(r.b), 6) AS abs_beta, round(quantile_cont(n.b, 0.99), 6) AS shuffled_p99,
-round(avg(CASE WHEN n.b >= r.b THEN 1.0 ELSE 0.0 END), 6) AS p_empirical FROM shb n JOIN shb r ON r.spec = n.spec AND r.rep = 0 WHERE n.rep > 0 GROUP BY n.spec""",
+round(avg(CASE WHEN n.b >= r.b * (1 - 1e-9) THEN 1.0 ELSE 0.0 END), 6) AS p_empirical FROM shb n JOIN shb r ON r.spec = n.spec AND r.rep = 0 WHERE n.rep > 0 GROUP BY n.spec""",
 )
 def placebo_shuffle(p):
-    rows = single_rows(p).filter(F.col("spec").isin("agg_cancel|h1", "fqcr|h1"))
-    return rounded(pr.shuffle_placebo(rows, 99, SEED), 6)
+    return rounded(pr.shuffle_placebo(single_rows(p), PERMUTATIONS, SEED), 6)
 
 
 @register(
@@ -290,10 +290,10 @@ def placebo_shuffle(p):
     "ss",
     """SELECT s.spec, count(*) AS n, count(*) FILTER (abs(s.x) > q.p90) AS n_tail, round(avg(s.y * sign(s.x)) FILTER (abs(s.x) > q.p90), 6) AS tail_drift,
 round(avg(abs(s.y)) FILTER (s.x = 0), 6) AS base_drift FROM ss s JOIN (SELECT spec, quantile_cont(abs(x), 0.9) AS p90 FROM ss WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY spec) q ON q.spec = s.spec
-WHERE s.x IS NOT NULL AND s.y IS NOT NULL AND s.spec LIKE 'queue_run%' GROUP BY s.spec""",
+WHERE s.x IS NOT NULL AND s.y IS NOT NULL GROUP BY s.spec""",
 )
 def tail_drift(p):
-    return rounded(pr.tail_drift(single_rows(p).filter(F.col("spec").startswith("queue_run"))), 6)
+    return rounded(pr.tail_drift(single_rows(p)), 6)
 
 
 @register("logit_move")
@@ -386,10 +386,31 @@ def event_excess_minutes(p):
     return rounded(pr.excess_minutes(responses_of(p)))
 
 
-@register("block_bootstrap")
+oracle.block("bbx", "em", """
+SELECT u.h, u.day, u.minute, u.v - j.v AS excess FROM em u JOIN em j ON j.h = u.h AND j.day = u.day AND j.minute = u.minute AND j.kind = 'join' WHERE u.kind = 'undercut'""")
+oracle.block("bbs", "bbx", f"""
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY h, day) AS len FROM bbx) WHERE len >= {BLOCK_MINUTES}""")
+oracle.block("bbp", "bbs", f"""
+SELECT h, m, row_number() OVER (PARTITION BY h ORDER BY day, minute) - 1 AS i, count(*) OVER (PARTITION BY h) AS pool FROM (
+SELECT h, day, minute, avg(excess) OVER w AS m, count(*) OVER w AS whole FROM bbs
+WINDOW w AS (PARTITION BY h, day ORDER BY minute ROWS BETWEEN CURRENT ROW AND {BLOCK_MINUTES - 1} FOLLOWING)) WHERE whole = {BLOCK_MINUTES}""")
+oracle.block("bbt", "bbs", f"SELECT h, avg(excess) AS mean, count(*) AS minutes, greatest(1, count(*) // {BLOCK_MINUTES}) AS draws FROM bbs GROUP BY h")
+oracle.block("bbu", "bbt", f"""
+SELECT r.rep, d.d, {_hash(SEED, "r.rep", "d.d")} AS u FROM (SELECT unnest(range(1, {BLOCK_REPS + 1})) AS rep) r, (SELECT unnest(range(1, (SELECT max(draws) FROM bbt) + 1)) AS d) d""")
+oracle.block("bbr", "bbt bbu bbp", """
+SELECT t.h, u.rep, avg(p.m) AS s FROM bbt t JOIN bbu u ON u.d <= t.draws JOIN (SELECT DISTINCT h, pool FROM bbp) z ON z.h = t.h
+JOIN bbp p ON p.h = t.h AND p.i = CAST(floor(u.u * z.pool) AS BIGINT) GROUP BY t.h, u.rep""")
+
+
+@register(
+    "block_bootstrap",
+    "bbt bbr",
+    """SELECT t.h, round(any_value(t.mean), 6) AS mean, any_value(t.minutes) AS minutes, round(quantile_cont(r.s, 0.025), 6) AS ci_low, round(quantile_cont(r.s, 0.975), 6) AS ci_high,
+round(2 * least(avg(CASE WHEN r.s <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN r.s >= 0 THEN 1.0 ELSE 0.0 END)), 6) AS p_value FROM bbt t JOIN bbr r ON r.h = t.h GROUP BY t.h""",
+)
 def block_bootstrap(p):
     rows = p.store.table("excess", lambda: pr.excess_minutes(responses_of(p)))
-    return rounded(pr.block_bootstrap(rows, 10, 999, SEED), 6)
+    return rounded(pr.block_bootstrap(rows, BLOCK_MINUTES, BLOCK_REPS, SEED), 6)
 
 
 # ------------------------------------------------------------------ three price bases
