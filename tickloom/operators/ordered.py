@@ -123,6 +123,24 @@ def asof_last(
     )
 
 
+def asof_next(
+    probe: DataFrame,
+    build: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: list[str],
+    chunk: str = "chunk",
+) -> DataFrame:
+    """Earliest ``build`` row at or after each ``probe`` row, as columns ``values``: the scan run backwards."""
+
+    def turned(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_back_{c}": -F.col(c) for c in [chunk, *order]})
+
+    backwards = [f"_back_{c}" for c in order]
+    hit = asof_last(turned(probe), turned(build), keys, backwards, values, f"_back_{chunk}")
+    return hit.drop(*backwards, f"_back_{chunk}")
+
+
 def lookback_buckets(df: DataFrame, time: str, reach_ms: int, bucket_ms: int) -> DataFrame:
     """Copy each row into its time bucket and, near the end of it, into the next one.
 

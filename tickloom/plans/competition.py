@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import BID, CHUNK, KEY
-from tickloom.operators.ordered import asof_last, carry_scan, previous, running_last, running_sum
+from tickloom.operators.ordered import asof_last, asof_next, carry_scan, previous, running_last, running_sum
 
 # --- fixed values ---------------------------------------------------------
 AGGRESSION_MS = 1_000                # an improvement answers an aggression this long
@@ -14,6 +14,7 @@ REPRICE_MS = 1_000                   # a reprice explains an aggression this lon
 REST_CAP_MS = 60_000                 # longer silences are not a quote state
 HORIZONS_MS = (1_000, 5_000, 30_000)
 REFILL_MS = 5_000
+CONTROL_STEP = 10                    # every tenth update of the touch is a control
 # --- end of fixed values --------------------------------------------------
 
 
@@ -42,7 +43,7 @@ def touch_actions(tape: DataFrame, messages_firm: str = "firm") -> DataFrame:
     )
     return rows.filter("typ <> 'T'").select(
         *CHUNK, "rpt", "seq", "t_ms", "typ", "side", "tick", "qty", "p_tick", "p_qty", "firm",
-        "incoming", "born_ms", "live", "b0", "a0", "qb0", "qa0", "nb0", "na0",
+        "incoming", "born_ms", "live", "order_msgs", "b0", "a0", "qb0", "qa0", "nb0", "na0",
         action.alias("action"),
         (F.col("typ").eqNullSafe("D") & F.coalesce(at_best, F.lit(False)) & (F.col("left_n") == 0)).alias("depletes"),
     )
@@ -311,6 +312,92 @@ def hesitation(actions: DataFrame, tape: DataFrame, horizons=HORIZONS_MS, refill
     )
 
 
+def level_additions(actions: DataFrame) -> DataFrame:
+    """Orders added to or changed at a level, with the volume added there so far."""
+    c = F.col
+    return carry_scan(
+        actions.filter("typ IN ('N', 'C')").select(
+            *CHUNK, "rpt", "t_ms", "order_msgs", "side", c("tick").alias("level"), "qty"
+        ),
+        [*KEY, "side", "level"],
+        ["rpt"],
+        [running_sum("added", c("qty"))],
+    )
+
+
+def refill_passage(actions: DataFrame, limit_ms: int = HORIZONS_MS[-1], span: int = 4_096) -> DataFrame:
+    """When a level that an execution took from is first added to, and when all taken volume is back.
+
+    The first addition is the next row of the level.  Full refill is a first passage: the running added volume of a
+    level only grows, so the row that reaches the volume before the event plus what was taken is the next one in order of that
+    running value, cut into chunks of ``span`` lots.  Both count within ``limit_ms``.
+    """
+    c = F.col
+    hits = actions.filter((c("action") == "execution") & (c("b0") < c("a0"))).select(
+        *CHUNK, "rpt", "t_ms", "order_msgs", "side", c("p_tick").alias("level"),
+        F.when(c("depletes"), "depletion").otherwise("partial").alias("kind"),
+        F.when(c("depletes"), F.when(c("side") == BID, c("qb0")).otherwise(c("qa0"))).otherwise(c("p_qty")).alias("volume"),
+    )
+    added = level_additions(actions)
+    keys = [*KEY, "side", "level"]
+    known = asof_last(hits, added.select(*CHUNK, "rpt", "side", "level", "added"), keys, ["rpt"], ["added"])
+    aimed = known.withColumn("added", F.coalesce("added", F.lit(0)) + c("volume"))
+    first = asof_next(
+        aimed,
+        added.select(*CHUNK, "rpt", "side", "level", c("t_ms").alias("first_t"), c("order_msgs").alias("first_n")),
+        keys,
+        ["rpt"],
+        ["first_t", "first_n"],
+    )
+    by_volume = lambda df: df.withColumn("_lots", F.expr(f"added div {span}"))
+    full = asof_next(
+        by_volume(first),
+        by_volume(added.select(*KEY, "side", "level", "added", c("t_ms").alias("full_t"), c("order_msgs").alias("full_n"))),
+        keys,
+        ["added"],
+        ["full_t", "full_n"],
+        "_lots",
+    )
+    within = lambda t, v: F.when(c(t) - c("t_ms") < limit_ms, v)
+    return full.select(
+        *KEY, "rpt", "t_ms", "side", "level", "kind", "volume",
+        within("first_t", c("first_t") - c("t_ms")).alias("first_ms"),
+        within("first_t", c("first_n") - c("order_msgs")).alias("first_messages"),
+        within("full_t", c("full_t") - c("t_ms")).alias("full_ms"),
+        within("full_t", c("full_n") - c("order_msgs")).alias("full_messages"),
+    )
+
+
+def control_impacts(actions: DataFrame, tape: DataFrame, horizons=HORIZONS_MS, step: int = CONTROL_STEP) -> DataFrame:
+    """Mid moves after every ``step``-th order message that removes nothing, with alternating sign."""
+    c = F.col
+    turn = F.expr(f"order_msgs div {step}") % 2
+    rows = actions.filter((c("typ") != "D") & (c("b0") < c("a0")) & (c("order_msgs") % step == 0)).select(
+        *KEY, "rpt", "t_ms", ((c("b0") + c("a0")) / 2.0).alias("mid0"), F.when(turn == 1, 1).otherwise(-1).alias("sign"),
+        F.explode(F.array(*[F.lit(h) for h in horizons])).alias("h"),
+    )
+    by_time = lambda df: df.withColumn("chunk", F.floor(c("at") / 600_000))
+    mids = tape.filter("b < a").select(
+        *KEY, c("t_ms").alias("at"), c("rpt").alias("rank"), ((c("b") + c("a")) / 2.0).alias("mid_h")
+    )
+    probe = rows.withColumns({"at": c("t_ms") + c("h") - 1, "rank": F.lit(2**62)})
+    reached = asof_last(by_time(probe), by_time(mids), KEY, ["at", "rank"], ["mid_h"])
+    return reached.select(*KEY, "rpt", "t_ms", "h", (c("sign") * (c("mid_h") - c("mid0")) + 0.0).alias("impact"))
+
+
+def excess_over_controls(events: DataFrame, controls: DataFrame) -> DataFrame:
+    """Mean impact of each kind and refill class less that of the controls of the same hour."""
+    hour = F.expr("t_ms div 3600000").alias("hour")
+    base = controls.filter("impact IS NOT NULL").groupBy(*KEY[1:], hour, "h").agg(F.avg("impact").alias("control"))
+    matched = events.filter("impact IS NOT NULL").select("*", hour).join(base, [*KEY[1:], "hour", "h"])
+    return matched.groupBy(*KEY[1:], "kind", "refill_class", "h").agg(
+        F.count("*").alias("n"),
+        F.avg("impact").alias("impact"),
+        F.avg("control").alias("control"),
+        F.avg(F.col("impact") - F.col("control")).alias("excess"),
+    )
+
+
 def impact_by_class(rows: DataFrame, *by: str) -> DataFrame:
     """Mean impact with a 1.96 standard-error band."""
     return rows.filter("impact IS NOT NULL").groupBy(*by, "h").agg(

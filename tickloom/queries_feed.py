@@ -320,7 +320,70 @@ def hesitation_of(p):
     return p.store.table("hesitation", lambda: cp.hesitation(actions_of(p), p.tape))
 
 
-@register("hesitation_impact")
+_HES_CUTS = ", ".join(f"quantile_cont(volume, {q}) AS q{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8), 1))
+oracle.block("hesi", "hes tape", """
+SELECT h.day, h.rpt, h.t_ms, h.kind, h.volume, z.h, CASE WHEN CAST(h.refilled AS DOUBLE) / h.volume >= 1 THEN 'full' WHEN h.refilled > 0 THEN 'partial' ELSE 'none' END AS refill_class,
+h.sgn * ((SELECT arg_max((x.b + x.a) / 2.0, x.rpt) FROM tape x WHERE x.day = h.day AND x.b < x.a AND x.t_ms < h.t_ms + z.h) - h.mid0) + 0.0 AS impact
+FROM hes h, (SELECT unnest([1000, 5000, 30000]) AS h) z""")
+
+
+@register(
+    "hesitation_impact",
+    "hesi",
+    f"""SELECT kind, refill_class, 1 + (volume > q1)::INT + (volume > q2)::INT + (volume > q3)::INT + (volume > q4)::INT AS quintile, h, count(*) AS n,
+round(avg(impact), 6) AS impact, round(1.96 * stddev_samp(impact) / sqrt(count(*)), 6) AS band
+FROM hesi, (SELECT {_HES_CUTS} FROM hesi) WHERE impact IS NOT NULL GROUP BY ALL""",
+)
 def hesitation_impact(p):
     rows = cp.volume_quintile(hesitation_of(p))
     return rounded(cp.impact_by_class(rows, "kind", "refill_class", "quintile"), 6)
+
+
+oracle.block("acn", "act", "SELECT *, row_number() OVER (PARTITION BY day ORDER BY rpt) AS om FROM act")
+oracle.block("rfp", "acn hes", """
+SELECT h.day, h.rpt, min(a.rpt) AS first_rpt, arg_min(a.t_ms, a.rpt) AS first_t, arg_min(a.om, a.rpt) AS first_n,
+       min(a.rpt) FILTER (a.back >= h.volume) AS full_rpt, arg_min(a.t_ms, a.rpt) FILTER (a.back >= h.volume) AS full_t, arg_min(a.om, a.rpt) FILTER (a.back >= h.volume) AS full_n
+FROM hes h JOIN (SELECT h.day, h.rpt AS event, a.rpt, a.t_ms, a.om, sum(a.qty) OVER (PARTITION BY h.day, h.rpt ORDER BY a.rpt) AS back
+ FROM hes h JOIN acn a ON a.day = h.day AND a.typ IN ('N', 'C') AND a.side = h.side AND a.tick = h.level AND a.rpt > h.rpt) a ON a.day = h.day AND a.event = h.rpt GROUP BY h.day, h.rpt""")
+
+
+@register(
+    "refill_passage",
+    "hes acn rfp",
+    """SELECT h.day, h.rpt, h.side, h.kind, CAST(h.volume AS BIGINT) AS volume,
+CASE WHEN r.first_t - h.t_ms < 30000 THEN r.first_t - h.t_ms END AS first_ms, CASE WHEN r.first_t - h.t_ms < 30000 THEN r.first_n - e.om END AS first_messages,
+CASE WHEN r.full_t - h.t_ms < 30000 THEN r.full_t - h.t_ms END AS full_ms, CASE WHEN r.full_t - h.t_ms < 30000 THEN r.full_n - e.om END AS full_messages
+FROM hes h JOIN acn e ON e.day = h.day AND e.rpt = h.rpt LEFT JOIN rfp r ON r.day = h.day AND r.rpt = h.rpt""",
+)
+def refill_passage(p):
+    """Time and messages until a level is first added to, and until all taken volume is back."""
+    rows = p.store.table("refill_passage", lambda: cp.refill_passage(actions_of(p)))
+    return rows.select("day", "rpt", "side", "kind", "volume", "first_ms", "first_messages", "full_ms", "full_messages")
+
+
+oracle.block("ctl", "acn tape", f"""
+SELECT c.day, c.rpt, c.t_ms, z.h, CASE WHEN c.om // {cp.CONTROL_STEP} % 2 = 1 THEN 1 ELSE -1 END
+ * ((SELECT arg_max((x.b + x.a) / 2.0, x.rpt) FROM tape x WHERE x.day = c.day AND x.b < x.a AND x.t_ms < c.t_ms + z.h) - (c.b0 + c.a0) / 2.0) + 0.0 AS impact
+FROM acn c, (SELECT unnest([1000, 5000, 30000]) AS h) z WHERE c.typ <> 'D' AND c.b0 < c.a0 AND c.om % {cp.CONTROL_STEP} = 0""")
+
+
+def controls_of(p):
+    return p.store.table("control_impacts", lambda: cp.control_impacts(actions_of(p), p.tape))
+
+
+@register("hesitation_controls", "ctl", "SELECT day, rpt, h, round(impact, 9) AS impact FROM ctl")
+def hesitation_controls(p):
+    """Mid moves after every tenth order message that removes nothing."""
+    return rounded(controls_of(p).select("day", "rpt", "h", "impact"))
+
+
+@register(
+    "hesitation_excess",
+    "hesi ctl",
+    """SELECT e.kind, e.refill_class, e.h, count(*) AS n, round(avg(e.impact), 6) AS impact, round(avg(c.control), 6) AS control, round(avg(e.impact - c.control), 6) AS excess
+FROM hesi e JOIN (SELECT t_ms // 3600000 AS hour, h, avg(impact) AS control FROM ctl WHERE impact IS NOT NULL GROUP BY ALL) c ON c.hour = e.t_ms // 3600000 AND c.h = e.h
+WHERE e.impact IS NOT NULL GROUP BY e.kind, e.refill_class, e.h""",
+)
+def hesitation_excess(p):
+    """Impact after executions less that of controls of the same hour."""
+    return rounded(cp.excess_over_controls(hesitation_of(p), controls_of(p)).drop("sid"), 6)
