@@ -25,13 +25,14 @@ def level_changes(depth: DataFrame, snapshots: DataFrame, count: int = BEST) ->
 
 
 def levels_at(probe: DataFrame, changes: DataFrame) -> DataFrame:
-    """``probe`` (``day, sid, chunk, rpt``, unique) with ``bids`` and ``asks`` just after its position."""
+    """``probe`` (``day, sid, chunk, rpt``, unique) with ``bids`` and ``asks`` just after its position; an empty side has no levels."""
     inside = (
         Window.partitionBy(*CHUNK)
         .orderBy("rpt", "_kind", "sub")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     levels = F.struct("ticks", "sizes")
+    none = F.struct(*[F.array().cast("array<bigint>").alias(c) for c in ("ticks", "sizes")])
     steps = changes.select(
         *CHUNK,
         "rpt",
@@ -43,8 +44,8 @@ def levels_at(probe: DataFrame, changes: DataFrame) -> DataFrame:
     return (
         probe.withColumns({"_kind": F.lit(1), "sub": F.lit(0)})
         .unionByName(steps, allowMissingColumns=True)
-        .withColumn("bids", F.last("_b", True).over(inside))
-        .withColumn("asks", F.last("_a", True).over(inside))
+        .withColumn("bids", F.coalesce(F.last("_b", True).over(inside), none))
+        .withColumn("asks", F.coalesce(F.last("_a", True).over(inside), none))
         .filter("_kind = 1")
         .select(*probe.columns, "bids", "asks")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import BID, CHUNK, KEY
+from tickloom.operators.quantiles import quantiles
 from tickloom.operators.ordered import asof_last, asof_next, carry_scan, previous, running_last, running_sum
 
 # --- fixed values ---------------------------------------------------------
@@ -409,7 +410,7 @@ def impact_by_class(rows: DataFrame, *by: str) -> DataFrame:
 
 def volume_quintile(rows: DataFrame) -> DataFrame:
     """Size-controlled groups: quintile of the executed volume by exact percentiles."""
-    cuts = rows.agg(F.percentile("volume", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("_q"))
+    cuts = quantiles(rows, [], F.col("volume"), (0.2, 0.4, 0.6, 0.8), "_q")
     quintile = F.lit(1)
     for i in range(4):
         quintile = quintile + F.when(F.col("volume") > F.col("_q")[i], 1).otherwise(0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.constants import BID, KEY
 from tickloom.functions.draws import uniform
 from tickloom.functions.linear import cross_sums
+from tickloom.operators.quantiles import quantiles
 from tickloom.operators.ordered import asof_last, carry_scan, running_sum
 from tickloom.plans.inference import effects_regression, hac_error
 
@@ -336,7 +337,7 @@ def hit_rate(predictions: DataFrame, shares=(1.0, 0.2, 0.1)) -> DataFrame:
 def tail_drift(rows: DataFrame) -> DataFrame:
     """Signed drift where the signal is in its top decile, absolute drift where it is zero."""
     known = rows.filter("y IS NOT NULL AND x0 IS NOT NULL")
-    cut = known.groupBy("spec").agg(F.percentile(F.abs("x0"), 0.9).alias("_p90"))
+    cut = quantiles(known, ["spec"], F.abs("x0"), (0.9,)).select("spec", F.col("q")[0].alias("_p90"))
     j = known.join(cut, "spec")
     tail = F.abs("x0") > F.col("_p90")
     return j.groupBy("spec").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.clock import quarter_label, week_label
 from tickloom.functions.constants import HOUR_MS
 from tickloom.functions.linear import cross_sums, dot, fit_from_sums, grouped_fit, merged_sums
+from tickloom.operators.quantiles import quantiles
 
 RATIOS = ["qcr_r", "qcr_a", "qcr_u", "bid_qcr_r", "ask_qcr_r"]
 EXTRA_RATIOS = ["qcr_r_nr", "qcr_r2"]
@@ -199,10 +200,8 @@ def intraday(rows: DataFrame, lag_sessions: int, own_day: bool, k: int = 1) -> D
 
 def winsorised(scored: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip the residual of each specification at its sample percentiles."""
-    bounds = scored.groupBy("spec").agg(
-        F.percentile("residual", F.array(F.lit(low), F.lit(high))).alias("_q")
-    )
-    return scored.join(bounds, "spec").withColumn(
+    bounds = quantiles(scored, ["spec"], F.col("residual"), (low, high), "_q")
+    return scored.join(bounds, "spec", "left").withColumn(
         "residual",
         F.when(
             F.col("residual").isNotNull(),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import BLOCK_MS, KEY
+from tickloom.operators.quantiles import quantiles
 from tickloom.operators.ordered import asof_last
 from tickloom.plans.panels import in_period, periods
 
@@ -179,11 +180,13 @@ def impact_distribution(impact: DataFrame) -> DataFrame:
     )
     q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
     rows = impact.select("h", "vol", measure.alias("m")).select("h", "vol", "m.*").filter("v IS NOT NULL")
-    return rows.groupBy("h", "measure").agg(
+    cuts = quantiles(rows, ["h", "measure"], F.col("v"), q, "_q")
+    table = rows.groupBy("h", "measure").agg(
         F.count("*").alias("n"),
         (F.sum(F.col("v") * F.col("vol")) / F.sum("vol")).alias("mean_weighted"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("sd"),
         F.avg((F.col("v") == 0).cast("double")).alias("share_zero"),
-        *[F.percentile("v", x).alias(f"p{int(x * 100)}") for x in q],
     )
+    names = [F.col("_q")[i].alias(f"p{int(x * 100)}") for i, x in enumerate(q)]
+    return table.join(cuts, ["h", "measure"]).select("*", *names).drop("_q")

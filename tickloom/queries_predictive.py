@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import oracle
+from tickloom.operators.quantiles import quantiles
 from tickloom.plans import clock_panel as ck
 from tickloom.plans import predictive as pr
 from tickloom.plans import residual as rs
@@ -155,7 +156,7 @@ def placebo_variants(p):
         .withColumn("y", pr.log_return(1))
         .withColumn("deep", deep)
     )
-    median = base.agg(F.percentile("spr", 0.5).alias("_median"))
+    median = quantiles(base, [], F.col("spr"), (0.5,)).select(F.col("q")[0].alias("_median"))
     rows = base.join(F.broadcast(median))  # one row by construction
     x = c("agg_cancel")
     variants = F.array(
