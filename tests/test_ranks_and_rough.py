@@ -189,3 +189,27 @@ def test_shuffle_placebo_equals_plain_permutations(spark):
     assert got.abs_beta == pytest.approx(real)
     assert got.shuffled_p99 == pytest.approx(float(np.quantile(null, 0.99)))
     assert got.p_empirical == pytest.approx(np.mean([b >= real for b in null]))
+
+
+def test_queue_positions_do_not_depend_on_chunks(spark):
+    from tickloom.plans.pipeline import BookPipeline
+
+    columns = ["day", "rpt", "side", "tick", "qty", "oid", "ahead", "level_total", "queue_zone"]
+    whole, cut = (BookPipeline(spark, SF, per_chunk=n).queue.select(columns) for n in (4096, 7))
+    assert whole.count() > 0
+    assert whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
+
+
+def test_dominance_sums_equal_all_pairs(spark):
+    from tickloom.operators.dominance import dominance_sums
+
+    draw = random.Random(9)
+    points = [(draw.choice("ab"), draw.randint(0, 30), draw.randint(0, 30), draw.randint(-5, 9)) for _ in range(300)]
+    queries = [(i, draw.choice("abc"), draw.randint(0, 30), draw.randint(0, 30)) for i in range(80)]
+    found = dominance_sums(
+        spark.createDataFrame(points, "g string, x bigint, y bigint, v bigint"),
+        spark.createDataFrame(queries, "i bigint, g string, x bigint, y bigint"),
+        ["g"], "x", ["y"], F.col("v"), ["i"], 40,
+    )
+    want = {i: sum(v for h, a, b, v in points if h == g and a < x and b < y) for i, g, x, y in queries}
+    assert {r.i: r.below for r in found.collect()} == want

@@ -139,74 +139,54 @@ def _event_frame(rows: list[tuple]) -> pd.DataFrame:
     )
 
 
-QUEUE_SCHEMA = (
-    "day int, sid bigint, chunk bigint, rpt bigint, ahead bigint, level_total bigint"
-)
-
-
-class _Queue:
-    """Arrival-ordered volumes of one level with prefix sums (binary indexed tree)."""
+class _Sums:
+    """Prefix sums over sparse places from 0 to 2 ** ``bits`` (a binary indexed tree of the touched nodes)."""
 
-    __slots__ = ("tree", "slot", "total")
+    __slots__ = ("tree", "limit")
 
-    def __init__(self):
-        self.tree = [0]
-        self.slot: dict[int, int] = {}
-        self.total = 0
+    def __init__(self, bits: int):
+        self.tree: dict[int, int] = {}
+        self.limit = 1 << bits
 
-    def join(self, oid: int, qty: int) -> None:
-        i = len(self.tree)
-        value, low, j = qty, i - (i & -i), i - 1
-        while j > low:
-            value += self.tree[j]
-            j -= j & -j
-        self.tree.append(value)
-        self.slot[oid] = i
-        self.total += qty
-
-    def change(self, oid: int, dq: int, leave: bool) -> None:
-        i = self.slot.pop(oid) if leave else self.slot[oid]
-        self.total += dq
-        while i < len(self.tree):
-            self.tree[i] += dq
+    def add(self, place: int, value: int) -> None:
+        i, tree = place + 1, self.tree
+        while i <= self.limit:
+            tree[i] = tree.get(i, 0) + value
             i += i & -i
 
-    def ahead(self, oid: int) -> int:
-        i, total = self.slot[oid] - 1, 0
+    def before(self, place: int) -> int:
+        """Sum of the values at places below ``place``."""
+        i, tree, total = place, self.tree, 0
         while i > 0:
-            total += self.tree[i]
+            total += tree.get(i, 0)
             i -= i & -i
         return total
 
 
-def queue_ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Volume ahead of each wanted order, and the level's volume, just before its removal."""
-    group = None
-    levels: dict[tuple[int, int], _Queue] = {}
-    for pdf in batches:
-        out = []
-        for row in zip(
-            *(
-                pdf[c].tolist()
-                for c in (
-                    "day", "sid", "chunk", "rpt", "e_side", "e_tick", "oid", "dn", "dq", "wanted",
-                )
-            )
-        ):
-            if row[:3] != group:
-                group, levels = row[:3], {}
-            rpt, side, tick, oid, dn, dq, wanted = row[3:]
-            queue = levels.setdefault((side, tick), _Queue())
-            if dn > 0:
-                queue.join(oid, dq)
-            elif oid in queue.slot:
-                if wanted:
-                    out.append((*group, rpt, queue.ahead(oid), queue.total))
-                queue.change(oid, dq, dn < 0)
-        yield pd.DataFrame(
-            out, columns=["day", "sid", "chunk", "rpt", "ahead", "level_total"]
-        )
+def dominated(group: list[str], ids: list[str], bits: int, schema_columns: list[str]) -> Callable:
+    """Kernel that answers each query with the sum of the group's points seen so far at lower places.
 
+    Rows come in order of their second coordinate, queries before points of the same one; ``w`` is NULL in
+    a query, whose ``ids`` are returned with ``below``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sums = None, _Sums(bits)
+        for pdf in batches:
+            out = []
+            keys = list(zip(*(pdf[c].tolist() for c in group)))
+            names = list(zip(*(pdf[c].tolist() for c in ids)))
+            query, weight = pdf["query"].tolist(), pdf["w"].tolist()
+            for key, name, place, is_query, w in zip(keys, names, pdf["x"].tolist(), query, weight):
+                if key != current:
+                    current, sums = key, _Sums(bits)
+                if is_query:
+                    out.append((*name, sums.before(place)))
+                else:
+                    sums.add(place, int(w))
+            yield pd.DataFrame(out, columns=schema_columns)
+
+    return run
 
 
 LEVELS_SCHEMA = (

@@ -17,7 +17,7 @@ from tickloom.functions.constants import (
     RUN_GAP_MS,
 )
 from tickloom.operators import best_quote, lifecycle
-from tickloom.operators.kernels import QUEUE_SCHEMA, queue_ahead, sorted_map
+from tickloom.operators.dominance import dominance_sums
 from tickloom.operators.ordered import (
     Run,
     carry_scan,
@@ -344,60 +344,53 @@ def cancel_runs(queue: DataFrame, tape: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- queue position
+#: Orders number their arrival within a chunk by so many bits, and chunks within a session.
+_PLACE_BITS = 40
+
+
 def queue_positions(depth: DataFrame, tape: DataFrame) -> DataFrame:
     """Share of the level's volume ahead of each order removed at the touch.
 
-    One group per chunk; orders resting at the start of a chunk enter it as opening
-    rows in their arrival order, so chunks are independent.
+    The volume ahead is the sum of all changes so far of orders that came to the level earlier: a dominance sum over
+    (arrival, message).  It is cut at the chunks: changes within the removal's chunk; earlier changes of orders that arrived
+    in the same chunk as the removed one; and earlier changes of orders of earlier chunks, which need only sums by
+    chunk of arrival and of change.  No order is copied into later chunks.
     """
+    level = [*KEY, "e_side", "e_tick"]
     effects = depth.filter("e_side IS NOT NULL").select(
         *CHUNK, "rpt", "sub", "oid", "e_side", "e_tick", "dn", "dq"
     )
-    # running size and arrival of each order, then its state at the end of each chunk
     per_order = carry_scan(
         effects,
-        [*KEY, "oid", "e_side", "e_tick"],
+        [*level, "oid"],
         ["rpt", "sub"],
         [
-            running_sum("o_n", F.col("dn")),
-            running_sum("o_q", F.col("dq")),
-            running_last("entry", F.when(F.col("dn") > 0, F.col("rpt"))),
+            running_sum("o_n", F.col("dn"), inclusive=False),
+            running_last("_entry", F.when(F.col("dn") > 0, F.struct("rpt", "chunk"))),
         ],
-    )
-    ends = per_order.groupBy(*KEY, "oid", "e_side", "e_tick", "chunk").agg(
-        F.max_by(F.struct("o_n", "o_q", "entry"), F.struct("rpt", "sub")).alias("end")
-    )
-    last_chunk = effects.groupBy(*KEY).agg(F.max("chunk").alias("last_chunk"))
-    ordered = Window.partitionBy(*KEY, "oid", "e_side", "e_tick").orderBy("chunk")
-    opening = (
-        ends.withColumn("next", F.lead("chunk").over(ordered))
-        .filter("end.o_n > 0")
-        .join(last_chunk, KEY)
-        .withColumn("until", F.coalesce("next", "last_chunk"))
-        .filter("until > chunk")
-        .select(
-            *KEY,
-            F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))).alias("chunk"),
-            F.lit(-1).cast("bigint").alias("rpt"),
-            F.lit(0).alias("sub"),
-            "oid",
-            "e_side",
-            "e_tick",
-            F.lit(1).cast("bigint").alias("dn"),
-            F.col("end.o_q").alias("dq"),
-            F.lit(False).alias("wanted"),
-            F.col("end.entry").alias("entry"),
-        )
-    )
+    ).filter("dn > 0 OR o_n > 0")
+    totals = carry_scan(per_order, level, ["rpt", "sub"], [running_sum("level_total", F.col("dq"), inclusive=False)])
     touched = tape.filter("withdrawal = 'touch'").select(*CHUNK, "rpt", F.lit(True).alias("wanted"))
-    rows = (
-        effects.join(touched, [*CHUNK, "rpt"], "left")
-        .withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        .withColumn("entry", F.col("rpt"))
-    )
-    found = sorted_map(
-        rows.unionByName(opening), CHUNK, ["rpt", "sub", "entry"], queue_ahead, QUEUE_SCHEMA
-    )
+    rows = totals.join(touched, [*CHUNK, "rpt"], "left").select(
+        *CHUNK, "rpt", "sub", "e_side", "e_tick", "dq", "level_total",
+        F.col("_entry.rpt").alias("entry"), F.col("_entry.chunk").alias("entry_chunk"),
+        (F.coalesce("wanted", F.lit(False)) & (F.col("dn") <= 0)).alias("wanted"),
+    )
+    wanted = rows.filter("wanted")
+    ids = [*CHUNK, "rpt", "sub"]
+    within = dominance_sums(
+        rows, wanted, [*level, "chunk"], "entry", ["rpt", "sub"], F.col("dq"), ids, _PLACE_BITS
+    )
+    # changes in earlier chunks, by order and chunk, then by chunk of arrival and chunk
+    crossing = wanted.filter("entry_chunk < chunk")
+    cells = rows.groupBy(*level, "entry_chunk", "entry", "chunk").agg(F.sum("dq").alias("dq"))
+    beside = dominance_sums(
+        cells, crossing, [*level, "entry_chunk"], "entry", ["chunk"], F.col("dq"), ids, _PLACE_BITS
+    )
+    coarse = cells.groupBy(*level, "entry_chunk", "chunk").agg(F.sum("dq").alias("dq"))
+    earlier = dominance_sums(coarse, wanted, level, "entry_chunk", ["chunk"], F.col("dq"), ids, _PLACE_BITS)
+    ahead = within.unionByName(beside).unionByName(earlier).groupBy(*CHUNK, "rpt", "sub").agg(F.sum("below").alias("ahead"))
+    found = ahead.join(wanted.select(*CHUNK, "rpt", "sub", "level_total"), [*CHUNK, "rpt", "sub"])
     removed = tape.filter("withdrawal = 'touch'").select(
         *CHUNK, "rpt", "t_ms", "side", F.col("p_tick").alias("tick"), F.col("p_qty").alias("qty"), "oid"
     )
