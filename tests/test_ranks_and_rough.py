@@ -213,3 +213,24 @@ def test_dominance_sums_equal_all_pairs(spark):
     )
     want = {i: sum(v for h, a, b, v in points if h == g and a < x and b < y) for i, g, x, y in queries}
     assert {r.i: r.below for r in found.collect()} == want
+
+
+def test_exclusions_are_merged_and_days_held_out(spark):
+    from tickloom.sources.calendar import excluding, parsed_window
+
+    assert parsed_window("20240102:140000-141530") == (20240102, 50_400_000, 51_330_000)
+    assert parsed_window("115000-122000") == (None, 42_600_000, 44_400_000)
+    with pytest.raises(ValueError):
+        parsed_window("120000-120000")
+    plain = spark.createDataFrame(
+        [(20240101, 1, 32_400_000, 64_800_000, []), (20240102, 1, 32_400_000, 64_800_000, [(43_200_000, 43_800_000)]), (20240103, 1, 32_400_000, 64_800_000, [])],
+        "day int, sid bigint, valid_from bigint, valid_to bigint, exclusions array<struct<start:bigint,end:bigint>>",
+    ).withColumns({"excluded_ms": F.lit(0).cast("bigint"), "valid_minutes": F.lit(540.0)})
+    windows = ["115000-122000", "20240102:122000-124000", "20240101:070000-093000", "20240101:130000-131000"]
+    found = {r.day: r for r in excluding(plain, windows, [20240103]).collect()}
+    assert set(found) == {20240101, 20240102}
+    spans = lambda day: [(x.start, x.end) for x in found[day].exclusions]
+    assert spans(20240102) == [(42_600_000, 45_600_000)]
+    assert spans(20240101) == [(25_200_000, 34_200_000), (42_600_000, 44_400_000), (46_800_000, 47_400_000)]
+    assert found[20240101].valid_minutes == 540 - 30 - 30 - 10
+    assert excluding(plain, []).count() == 3

@@ -11,8 +11,12 @@ def block(name: str, needs: str, sql: str) -> None:
     BLOCKS[name] = (tuple(needs.split()), sql.strip())
 
 
-def statement(needs: str, final: str) -> str:
-    """WITH clause of the needed blocks in dependency order, then ``final``."""
+def statement(needs: str, final: str, instead: dict[str, str] | None = None) -> str:
+    """WITH clause of the needed blocks in dependency order, then ``final``.
+
+    ``instead`` gives other SQL for blocks, which may read what the block itself needs.
+    """
+    instead = instead or {}
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -24,7 +28,7 @@ def statement(needs: str, final: str) -> str:
     for name in needs.split():
         visit(name)
     recursive = "RECURSIVE " if any("UNION ALL /*rec*/" in BLOCKS[n][1] for n in order) else ""
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({BLOCKS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({instead.get(n, BLOCKS[n][1])})" for n in order)
     return f"WITH {recursive}{ctes}\n{final.strip()}"
 
 

@@ -13,7 +13,7 @@ from tickloom.operators import tape as message_tape
 from tickloom.operators.ordered import carry_scan, previous
 from tickloom.session import StageStore
 from tickloom.sources import order_flow
-from tickloom.sources.calendar import session_calendar
+from tickloom.sources.calendar import excluding, session_calendar
 
 
 def raw_log(messages: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ class BookPipeline:
         return snapshots, best
 
     @cached_property
-    def events(self) -> DataFrame:
-        """Matching events with best quote, phase and segment."""
+    def quotes(self) -> DataFrame:
+        """Matching events with best quote."""
         snapshots, best = self._best("book", self.log, self.log)
-        quotes = self.store.table(
+        return self.store.table(
             "quotes",
             lambda: best_quote.quote_at(
                 matching.close_events(self.log),
@@ -111,8 +111,12 @@ class BookPipeline:
                 snapshots,
             ),
         )
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Matching events with best quote, phase and segment."""
         return self.store.table(
-            "events", lambda: states.with_segments(states.with_phase(quotes, self.calendar))
+            "events", lambda: states.with_segments(states.with_phase(self.quotes, self.calendar))
         )
 
     @cached_property
@@ -176,6 +180,27 @@ class BookPipeline:
         )
 
 
+class ExcludingPipeline(BookPipeline):
+    """States, moves and panels of another pipeline's book under a calendar with further exclusions."""
+
+    def __init__(self, base: BookPipeline, windows: list[str], hold_out: list[int] | None = None):
+        super().__init__(base.spark, base.sf_dir, base.per_chunk, base.delayed)
+        self.base, self.windows, self.hold_out = base, windows, hold_out
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return self.store.table("calendar", lambda: excluding(self.base.calendar, self.windows, self.hold_out))
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return self.base.log
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        """Events of the days that are left."""
+        return self.base.quotes.join(self.calendar.select(*KEY), KEY, "left_semi")
+
+
 _pipelines: dict[tuple, BookPipeline] = {}
 
 

@@ -12,7 +12,8 @@ from tickloom.plans import panels
 from tickloom.plans import replay_panel as rp
 from tickloom.plans import window_log as wl
 from tickloom.plans.reconcile import reconciled
-from tickloom.queries import QUERIES, panel_of, register, rounded
+from tickloom.plans.pipeline import ExcludingPipeline, pipeline
+from tickloom.queries import ORACLE, QUERIES, panel_of, register, rounded
 from tickloom.queries_inference import REPS, SEED, draw_blocks
 from tickloom.queries_tape import replay_panel_of
 
@@ -307,3 +308,33 @@ def inspection_books(p):
         .join(texts, ["day", "sid", "seq"])
         .select("label", "pos", "day", "seq", "side", "bids_before", "asks_before", "bids_after", "asks_after", "n_messages", "messages")
     )
+
+
+# ------------------------------------------------------------------ exclusion windows and hold-out days
+WINDOWS = ["115000-122000", "20240113:122000-124000"]
+HOLD_OUT = [20240105, 20240119]
+_EXCLUDED_CAL = f"""
+SELECT day, CAST(33300000 AS BIGINT) AS valid_from, CAST(63900000 AS BIGINT) AS valid_to, CAST(42600000 AS BIGINT) AS x0,
+ CAST(CASE WHEN day = 20240113 THEN 45600000 ELSE 44400000 END AS BIGINT) AS x1 FROM (SELECT DISTINCT day FROM num) WHERE day NOT IN ({", ".join(map(str, HOLD_OUT))})"""
+_EXCLUDED_KEYS = ("n_impr", "n_det_all", "n_det_exec", "n_undercut", "n_refill", "n_shift", "ticks_impr", "ticks_det", "volume")
+_EXCLUDED_MEANS = ("qcr_r", "qcr_a", "spread_tw_ticks", "frac_1tick", "qvol")
+_EXCLUDED_SQL = f"""SELECT day, sid, period_start, period_end, {", ".join(_EXCLUDED_KEYS)}, {", ".join(f"round({c}, 9) AS {c}" for c in _EXCLUDED_MEANS)} FROM panel_"""
+_excluding: dict[tuple, ExcludingPipeline] = {}
+
+
+def _register_excluded(grain: str, windows: list[str]) -> None:
+    name = f"ratio_panel_{grain}_excluding"
+
+    def query(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _excluding:
+            _excluding[key] = ExcludingPipeline(pipeline(spark, sf_dir), windows, HOLD_OUT)
+        panel = panel_of(_excluding[key], grain)
+        return rounded(panel.select("day", "sid", "period_start", "period_end", *_EXCLUDED_KEYS, *_EXCLUDED_MEANS))
+
+    QUERIES[name] = query
+    ORACLE[name] = oracle.statement(f"panel_{grain}", _EXCLUDED_SQL + grain, {"cal": _EXCLUDED_CAL})
+
+
+for _grain in ("day", "block"):
+    _register_excluded(_grain, WINDOWS)

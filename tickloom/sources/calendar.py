@@ -89,6 +89,62 @@ def session_calendar(status: DataFrame) -> DataFrame:
     )
 
 
+def parsed_window(text: str) -> tuple[int | None, int, int]:
+    """``[DAY:]HHMMSS-HHMMSS`` as (day or None for all days, from, to) in session milliseconds."""
+    day, _, span = text.rpartition(":")
+    start, end = span.split("-")
+    at = lambda hms: (int(hms[:2]) * 3_600 + int(hms[2:4]) * 60 + int(hms[4:6])) * 1_000
+    if at(end) <= at(start):
+        raise ValueError(f"a window must end after it begins: {text}")
+    return (int(day) if day else None, at(start), at(end))
+
+
+def merged(intervals: Column) -> Column:
+    """Sorted intervals (start, end) without overlaps: those that touch become one."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def take(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (last["end"] >= x["start"])
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(
+            F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        )
+
+    return F.aggregate(F.array_sort(intervals), empty, take)
+
+
+def excluding(calendar: DataFrame, windows: list[str], hold_out: list[int] | None = None) -> DataFrame:
+    """The calendar with further exclusion windows, and without held-out days.
+
+    ``windows`` are texts as ``parsed_window`` reads them; one with a day holds on that day alone.  What phases, segments
+    and periods read is the calendar, so everything after it follows.
+    """
+    spark = calendar.sparkSession
+    rows = [parsed_window(w) for w in windows]
+    table = spark.createDataFrame(rows or [(None, 0, 0)], "_day int, start bigint, end bigint").filter("end > start")
+    added = F.collect_list(F.struct(F.col("start"), F.col("end")))
+    days = calendar.select("day").distinct().join(table, F.col("_day").isNull() | (F.col("_day") == F.col("day")), "left")
+    by_day = days.filter("start IS NOT NULL").groupBy("day").agg(added.alias("_added"))  # the windows of a day
+    kind = calendar.schema["exclusions"].dataType.simpleString()
+    both = F.concat("exclusions", F.coalesce("_added", F.array().cast(kind)).cast(kind))
+    kept = calendar.filter(~F.col("day").isin(hold_out)) if hold_out else calendar
+    clipped = lambda x: F.greatest(
+        F.lit(0), F.least(x["end"], F.col("valid_to")) - F.greatest(x["start"], F.col("valid_from"))
+    )
+    return (
+        kept.join(by_day, "day", "left")
+        .withColumn("exclusions", merged(both).cast(kind))
+        .drop("_added")
+        .withColumn("excluded_ms", F.aggregate("exclusions", F.lit(0).cast("bigint"), lambda s, x: s + clipped(x)))
+        .withColumn(
+            "valid_minutes",
+            F.round((F.col("valid_to") - F.col("valid_from") - F.col("excluded_ms")) / 60000.0, 2),
+        )
+        .select(calendar.columns)
+    )
+
+
 def phase(t: str = "t_ms") -> Column:
     """'C' inside the valid window and outside every exclusion, else 'X'."""
     now = F.col(t)
