@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom import oracle
@@ -16,6 +18,7 @@ from tickloom.plans.pipeline import ExcludingPipeline, pipeline
 from tickloom.queries import ORACLE, QUERIES, panel_of, register, rounded
 from tickloom.queries_inference import REPS, SEED, draw_blocks
 from tickloom.queries_tape import replay_panel_of
+from tickloom.streaming import windows as sw
 
 # ------------------------------------------------------------------ overviews
 _NUMBERED = ", ".join(
@@ -338,3 +341,23 @@ def _register_excluded(grain: str, windows: list[str]) -> None:
 
 for _grain in ("day", "block"):
     _register_excluded(_grain, WINDOWS)
+
+
+# ------------------------------------------------------------------ the message log as a stream
+STREAM_WINDOW, STREAM_LATENESS_MS = "1 hour", 60 * 86_400_000
+
+
+@register(
+    "stream_window_counts",
+    "msg",
+    """SELECT CAST(1 AS BIGINT) AS sid, CAST((strptime(CAST(day AS VARCHAR), '%Y%m%d')::DATE - DATE '1970-01-01') * 86400000 + t_ms // 3600000 * 3600000 AS BIGINT) AS window_ms,
+count(*) AS messages, count(*) FILTER (typ = 'N') AS new_orders, count(*) FILTER (typ = 'T') AS prints, CAST(coalesce(sum(qty) FILTER (typ = 'T'), 0) AS BIGINT) AS volume
+FROM msg GROUP BY ALL""",
+)
+def stream_window_counts(p):
+    """Hourly counters of the message log, read as a stream of files; no row is late at this lateness."""
+    source = f"{p.store.path}/messages"
+    target = f"{p.store.path}/stream-{uuid.uuid4().hex[:12]}"
+    stream = sw.message_stream(p.spark, source, p.messages.schema)
+    sw.run_to_tables(stream, target, STREAM_WINDOW, STREAM_LATENESS_MS)
+    return sw.counts_of(p.spark, target).select("sid", F.unix_millis("window_start").alias("window_ms"), *sw.COUNTERS)
