@@ -18,6 +18,7 @@ from tickloom.plans.pipeline import ExcludingPipeline, pipeline
 from tickloom.queries import ORACLE, QUERIES, panel_of, register, rounded
 from tickloom.queries_inference import REPS, SEED, draw_blocks
 from tickloom.queries_tape import replay_panel_of
+from tickloom.sources import definitions as sd
 from tickloom.streaming import windows as sw
 
 # ------------------------------------------------------------------ overviews
@@ -361,3 +362,45 @@ def stream_window_counts(p):
     stream = sw.message_stream(p.spark, source, p.messages.schema)
     sw.run_to_tables(stream, target, STREAM_WINDOW, STREAM_LATENESS_MS)
     return sw.counts_of(p.spark, target).select("sid", F.unix_millis("window_start").alias("window_ms"), *sw.COUNTERS)
+
+
+# ------------------------------------------------------------------ side lists of the messages
+oracle.block("sdm", "num pk", f"""
+SELECT n.day, n.n AS msg_seq, p.t_ms, n.user_id, n.event_type, n.event_id, 'S' || CAST(n.user_id % {sd.SYMBOLS} AS VARCHAR) AS symbol, n.event_id % 3 + 17 AS status
+FROM num n JOIN pk p ON p.day = n.day AND p.n = n.n""")
+oracle.block("sdr", "sdm", f"""
+SELECT 'S' || CAST(k AS VARCHAR) AS symbol, k, unnest([0, 1]) AS part FROM (
+SELECT unnest([user_id % {sd.SYMBOLS}, (user_id + 1) % {sd.SYMBOLS}]) AS k FROM sdm WHERE event_id % {sd.DEFINITION_STEP} = 0)""")
+
+
+def side_messages_of(p):
+    return p.store.table("side_messages", lambda: sd.side_messages(p.numbered))
+
+
+@register(
+    "tick_rules",
+    "sdr",
+    """SELECT DISTINCT symbol, CAST(CASE part WHEN 0 THEN 0.0 ELSE round((k * 1000 + 500) * 0.1, 6) END AS DOUBLE) AS start_price, CAST(CASE part WHEN 0 THEN round((k * 1000 + 500) * 0.1, 6) END AS DOUBLE) AS end_price,
+round((k + 1) * CASE part WHEN 0 THEN 0.01 ELSE 0.1 END, 6)::DOUBLE AS increment, round((k + 1) * 0.01, 6)::DOUBLE AS min_price_increment FROM sdr""",
+)
+def tick_rules(p):
+    """Tick rules of every symbol from two levels of nested lists."""
+    return rounded(sd.tick_rules(side_messages_of(p)), 6).distinct()
+
+
+@register("news_items", "sdm", f"SELECT DISTINCT day, t_ms, event_type AS headline FROM sdm WHERE event_id % {sd.NEWS_STEP} = 0")
+def news_items(p):
+    """Headlines, each time and text once."""
+    return sd.news(side_messages_of(p))
+
+
+@register(
+    "status_changes",
+    "sdm",
+    """SELECT day, symbol, msg_seq, t_ms, status, lag(status) OVER w AS from_status, t_ms - lag(t_ms) OVER w AS held_ms FROM (
+SELECT * FROM (SELECT *, lag(status) OVER (PARTITION BY day, symbol ORDER BY msg_seq) AS before FROM sdm) WHERE before IS DISTINCT FROM status)
+WINDOW w AS (PARTITION BY day, symbol ORDER BY msg_seq)""",
+)
+def status_changes(p):
+    """Changes of trading status by symbol, repeats left out."""
+    return sd.status_changes(side_messages_of(p))
