@@ -67,7 +67,8 @@ def docs_frame(spark, rows: list[tuple] | None = None):
 #: Names that operators use for columns of their own.
 CLASHES = (
     "score lang_pred predicted ids n_words n_hit items spans kept n_lines n_dropped n_near drops fp "
-    "component_id t1 t2 keys begin stop key l1 l2 line at q c v"
+    "component_id t1 t2 keys begin stop key l1 l2 line at q c v drop_id drop_text digest rest nd_words nd_more "
+    "nd_text nd_root nd_node nd_group nd_id nd_t nd_least nd_shared"
 ).split()
 
 

@@ -295,6 +295,8 @@ def test_lines_of_hard_cases(docs, empty):
     rows = documents()[110:]
     found = line_dedup.deduplicated(with_clashes(docs_frame(docs.sparkSession, rows))).select(RESULT)
     assert rows_of(found) == plain_lines([r[:2] for r in rows])
+    kept = line_dedup.deduplicated(with_clashes(docs_frame(docs.sparkSession, rows)))
+    assert [tuple(r) for r in kept.select("drop_id", "drop_text", "drops").distinct().collect()] == [("own",) * 3]
     assert line_dedup.deduplicated(empty).count() == 0
 
 
@@ -476,6 +478,24 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, pairs):
     want = plain_near_copies(rows)
     assert len(want) < len(rows) - 20
     df = docs_frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
-    found = sorted((r["doc_id"] for r in near_copies.one_of_each(with_clashes(df)).collect()), key=repr)
+    kept = near_copies.one_of_each(with_clashes(df).withColumn("odd name", F.struct("doc_id")))
+    assert kept.columns == [*with_clashes(df).columns, "odd name"]
+    assert {r["nd_root"] for r in kept.select("nd_root").distinct().collect()} == {"own"}
+    found = sorted((r["doc_id"] for r in kept.collect()), key=repr)
     assert found == want
     assert near_copies.one_of_each(docs_frame(spark, [])).count() == 0
+
+
+def test_sequences_of_words_with_one_hash_are_told_apart(spark):
+    from tickloom.llm import near_copies
+
+    rows = [(1, 7, 1, 10), (2, 7, 2, 20), (3, 7, 2, 30), (4, 8, 5, 40)]
+    marked = spark.createDataFrame(rows, "doc_id bigint, nd_words bigint, nd_more bigint, nd_text bigint")
+    name = {r["doc_id"]: r["nd_words"] for r in near_copies._told_apart(marked).collect()}
+    assert name[1] != name[2] == name[3] and name[4] == 8 and len(name) == 4
+
+
+def test_every_sql_is_text():
+    from tickloom.llm.registry import ORACLE, QUERIES
+
+    assert all(isinstance(sql, str) for sql in ORACLE.values()) and set(ORACLE) <= set(QUERIES)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.session import ship_package, stage_root
@@ -68,6 +68,21 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The one name that ``packed`` gives to all columns that an operator does not read.
+REST = "rest"
+
+
+def packed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id and text, and the other columns of ``names`` as one struct, so that none of them clashes with an operator's own."""
+    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias(REST)] if others else []))
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns ``names`` of what was ``packed``, in their order."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col(REST)[c].alias(c) for c in names]
+
+
 def key_remainder(column: str, modulus: int):
     """crc32 of the key as text, modulo ``modulus``; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0))

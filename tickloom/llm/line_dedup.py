@@ -40,8 +40,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.llm.common import passes, read, shipped, staged, text_bytes, tidy
+from tickloom.llm.common import packed, passes, read, shipped, staged, text_bytes, tidy, unpacked
 from tickloom.llm.words import hash_spans
 
 EDITS = 2
@@ -481,16 +482,22 @@ def _kept(text: bytes, drops: list[dict] | None) -> tuple[bytes, int, int, int]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (the text left; null if it was null), n_lines, n_dropped, n_near."""
-    fresh = ("kept", "n_lines", "n_dropped", "n_near", "drops")
+    """``docs`` with ``kept`` (the text left; null if it was null), n_lines, n_dropped, n_near.
+
+    Columns of these names are replaced; all others, whatever their names, are kept.
+    """
+    fresh = ("kept", "n_lines", "n_dropped", "n_near")
     names = [c for c in docs.columns if c not in fresh]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema)
+    rows = packed(docs, names)
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.StringType())])
+    schema = T.StructType([*schema.fields, *(T.StructField(c, T.LongType()) for c in fresh[1:])])
+    own = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [_kept((t or "").encode(), d) for t, d in zip(texts, batch.column("drops").to_pylist())]
-            columns = {c: batch.column(c) for c in names}
+            columns = {c: batch.column(c) for c in own}
             columns["kept"] = pa.array(
                 [None if t is None else f[0].decode() for t, f in zip(texts, found)], pa.string()
             )
@@ -500,8 +507,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     drops = decisions(docs).select(F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_text"), "drops")
     same = (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_text"))
-    both = docs.select(names).join(drops, same, "left").drop(drops["drop_id"]).drop(drops["drop_text"])
-    return both.transform(shipped).mapInArrow(tidy(run), f"{schema}, kept string, n_lines bigint, n_dropped bigint, n_near bigint")
+    both = rows.join(drops, same, "left").select(*own, "drops")
+    return both.transform(shipped).mapInArrow(tidy(run), schema).select(*unpacked(names), *fresh)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,5 @@ ORACLE: dict[str, str] = {
     "op1_fixity": fixity.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_topk": topk.SQL,
-    "op11_alignment": token_alignment.query,
     "op12_manifest": dataset_manifest.SQL,
 }
