@@ -499,3 +499,26 @@ def test_every_sql_is_text():
     from tickloom.llm.registry import ORACLE, QUERIES
 
     assert all(isinstance(sql, str) for sql in ORACLE.values()) and set(ORACLE) <= set(QUERIES)
+
+
+def test_every_labelled_text_is_learned(spark):
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(8_000):  # every toxic word is in sixteen texts of 4,000, too few to survive a sample of classes
+        words = sentence(draw, 6, STOCK["en"]).split()
+        if i % 2:
+            words.insert(draw.randrange(6), f"{'bcdfg'[i // 2 % 5]}{i // 2 % 250}vile")
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, i % 2))
+    docs = docs_frame(spark, [*rows, rows[1], rows[2], (8_000, "unlabelled", "en", "s", 1)])
+    marks = spark.createDataFrame([*labels, (3, 0), (9_000, 1)], "doc_id bigint, toxic int")
+    languages = language_id.fit(docs)
+    learned = toxicity.labelled(docs, marks, languages, 1_000)
+    assert learned.count() == 8_000 and learned.filter("toxic = 1").count() == 4_000
+    assert learned.select("shard").distinct().count() == 8
+    model = toxicity.fit(docs, marks, languages, 1_000)
+    found = toxicity.score(docs, model).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in found if r["doc_id"] < 8_000]) > 0.95
+    again = toxicity.fit(docs.repartition(5), marks, languages, 1_000)
+    assert all((x == y).all() for x, y in zip(model.network.parts, again.network.parts))
+    assert model.thresholds == again.thresholds and model.pooled == again.pooled
