@@ -486,6 +486,33 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, pairs):
     assert near_copies.one_of_each(docs_frame(spark, [])).count() == 0
 
 
+def test_near_copies_go_through_fingerprints_and_parities(spark, monkeypatch):
+    from tickloom.llm import near_copies
+
+    draw = random.Random(13)
+    base = sentence(draw, 400, STOCK["en"])
+    near = f"{base} end"
+    other = sentence(draw, 400, STOCK["en"])
+    marked = near_copies._marked(docs_frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate([base, near, other])]))
+    assert {r["nd_print"] for r in marked.collect()} == {simhash.fingerprint(t.encode()) for t in (base, near, other)}
+    name = {r["doc_id"]: r["nd_words"] for r in marked.collect()}
+    pairs = near_copies._print_pairs(marked).collect()
+    assert [{*r} for r in pairs] == [{name[0], name[1]}]
+    every = spark.createDataFrame([(name[0], name[1]), (name[0], name[2])], "a bigint, b bigint")
+    assert [(r["a"], r["b"]) for r in near_copies._likely(every, marked).collect()] == [(name[0], name[1])]
+    # what the fingerprints link is settled before the join begins
+    monkeypatch.setattr(near_copies, "STARS", -1)
+    assert len({r["root"] for r in near_copies._links(marked).collect()}) == 1
+    # no pair of sets that agrees is ruled out
+    for n in (1, 5, 60, 3_000):
+        for _ in range(40):
+            a = np.unique(np.random.default_rng(draw.random().__hash__() % 2**32).integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.append(a[draw.randint(0, n // 4) :], np.arange(draw.randint(0, n // 4), dtype=np.uint64)))
+            bits = [np.frombuffer(near_copies.parities(x), np.uint8)[None] for x in (a, b)]
+            ok = near_copies.may_agree(*bits, np.array([len(a)]), np.array([len(b)]))[0]
+            assert ok or not near_copies.agree(a, b)
+
+
 def test_sequences_of_words_with_one_hash_are_told_apart(spark):
     from tickloom.llm import near_copies
 

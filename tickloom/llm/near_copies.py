@@ -1,4 +1,4 @@
-"""Groups of documents whose word shingles agree, by an exact set-similarity join.
+"""Groups of documents whose word shingles agree, by SimHash first and an exact set-similarity join for the rest.
 
 Two documents are near copies if their sets of WORDS-word shingles (lower case) share at
 least SIMILAR[0] / SIMILAR[1] of their union; near copies of near copies are one group. No
@@ -7,8 +7,13 @@ share one of the first n - ceil(s n) + 1 shingles of each of n. Which order it i
 only the work; shingles that a sample of documents repeats come last, so that passages that
 many documents share are seldom among the first.
 
+Near copies whose fingerprints lie within ``simhash.RADIUS`` bits are found by ``simhash``: covering tables on distinct
+fingerprints, star links, star contraction; a link counts if the whole sets agree. The groups that they make are where the
+join begins, which finds what lies beyond the radius.
+
 Documents that share a shingle there, and may agree by their sizes and its places, are
-candidates; their texts are compared by their whole sets. Large families are not paired up:
+candidates. Two sets differ in at least as many shingles as the parities of their shingles by place of a
+short bitmap do, which rules out most candidates; the texts of the others are compared by their whole sets. Large families are not paired up:
 in a few rounds each document is compared with one hub, a document that stands for a shingle of both. In the end
 only documents of different groups are paired.
 
@@ -33,7 +38,8 @@ from pyspark.sql import types as T
 
 from tickloom.llm.common import dropped, packed, shipped, staged, text_bytes, tidy, unpacked
 from tickloom.llm.graph import components
-from tickloom.llm.simhash import shingle_hashes
+from tickloom.llm.simhash import fingerprint, shingle_hashes
+from tickloom.llm.simhash import links as fingerprint_links
 
 WORDS = 5
 #: Shared part of the union, as a fraction.
@@ -47,8 +53,11 @@ BROADCAST_IDS = 2_000_000
 #: Shingles whose sets a worker remembers.
 REMEMBERED = 1_000_000
 
-#: Names that ``_marked`` adds: two halves of the words' hash, and the text's.
-_OWN = ("nd_words", "nd_more", "nd_text")
+#: Bits of the parities of a document's shingles.
+PARITIES = 1024
+
+#: Names that ``_marked`` adds: two halves of the words' hash, the text's, and the fingerprint.
+_OWN = ("nd_words", "nd_more", "nd_text", "nd_print")
 LOW = (1 << 64) - 1
 
 
@@ -66,6 +75,20 @@ def agree(a: np.ndarray, b: np.ndarray) -> bool:
     return (s + t) * both >= need
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` places, whether an odd number of the shingles fall on it."""
+    counts = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(counts & 1).tobytes()
+
+
+def may_agree(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which pairs of sets can agree, by rows of their parities and by their sizes; none that agrees is ruled out."""
+    s, t = SIMILAR
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    # the sets share at most (size_a + size_b - apart) / 2
+    return (s + t) * (size_a + size_b - apart) >= 2 * s * (size_a + size_b)
+
+
 def first_shingles(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first of a set in the order of all sets, as many as agreeing sets cannot avoid."""
     n = len(shingles)
@@ -80,7 +103,7 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, often: np.ndarray)
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """``rows`` with two hashes of the sequence of words and one of the text."""
+    """``rows`` with two hashes of the sequence of words, one of the text, and the fingerprint of the words."""
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in _OWN)])
 
@@ -93,6 +116,7 @@ def _marked(rows: DataFrame) -> DataFrame:
             for c, hashes in zip(_OWN, own):
                 found = np.fromiter(hashes, dtype=np.uint64, count=len(texts))
                 columns[c] = pa.array(found.view(np.int64))
+            columns[_OWN[-1]] = pa.array(map(fingerprint, texts), pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     return _told_apart(staged(rows.transform(shipped).mapInArrow(tidy(run), schema), "marked"))
@@ -244,14 +268,46 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.transform(shipped).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _texts(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and text of the documents of ``pairs`` alone."""
+def _of_pairs(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and text of a row of each document of ``pairs`` alone."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    return marked.select(F.col("nd_words").alias("id"), "text").join(ids, "id", "left_semi")
+
+
+def _likely(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the parities of their sets do not rule out."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([parities(x) for x in sets], pa.binary()),
+                ],
+                names=["id", "n", "odd"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARITIES // 8)
+        for batch in batches:
+            a, b = bits(batch.column("a_odd")), bits(batch.column("b_odd"))
+            ok = may_agree(a, b, batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    some = _of_pairs(marked, pairs).transform(shipped)
+    sketches = staged(some.mapInArrow(tidy(sketch), "id bigint, n bigint, odd binary").dropDuplicates(["id"]), "sketches")
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.transform(shipped).mapInArrow(tidy(run), "a bigint, b bigint")
+
+
+def _texts(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and text of the documents of ``pairs`` alone."""
     # copies of a sequence of words have the same set, so any of their texts will do
-    found = marked.select(F.col("nd_words").alias("id"), "text").join(ids, "id", "left_semi")
-    return staged(found.dropDuplicates(["id"]), "pair-texts")
+    return staged(_of_pairs(marked, pairs).dropDuplicates(["id"]), "pair-texts")
 
 
 def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -261,18 +317,45 @@ def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
     return table
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the group of each document, its own name if it is linked to none."""
+    found = rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    return found.withColumn("root", F.coalesce("root", "id"))
+
+
+def _print_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs of documents whose fingerprints are equal or linked: stars, linear in the number of documents."""
+    prints = staged(marked.select("nd_words", F.col("nd_print").alias("fp")).distinct(), "prints")
+    # of documents with one fingerprint each is paired with the least
+    least = prints.groupBy("fp").agg(F.min("nd_words").alias("least"))
+    equal = prints.join(least, "fp").filter("nd_words <> least").select(F.col("nd_words").alias("a"), F.col("least").alias("b"))
+    near = fingerprint_links(least.select("fp"))
+    side = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least"))
+    linked = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))
+    pairs = staged(_ordered_pairs(equal.unionByName(linked)), "pairs")
+    dropped(prints)
+    return pairs
+
+
+def _agreeing(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` whose whole sets agree."""
+    likely = staged(_likely(pairs, marked), "likely")
+    texts = _texts(marked, likely)
+    linked = staged(_verified(likely, texts), "near")
+    dropped(texts)
+    dropped(likely)
+    return linked
+
+
 def _links(marked: DataFrame) -> DataFrame:
     """(node, root) of the documents, by hashes of their words, that are linked to another."""
+    tried = _print_pairs(marked)
+    found = _agreeing(marked, tried)
+    roots = staged(components(found), "groups")
     keyed = staged(_keyed(marked), "first-shingles")
     met = keyed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    rows = staged(keyed.join(met.select("shingle"), "shingle").distinct(), "met")
-    dropped(keyed)
-    found, roots, tried = None, None, None
-    rows = rows.withColumn("root", F.col("id"))
+    rows = _instead(keyed, _rooted(keyed.join(met.select("shingle"), "shingle").distinct(), roots))
     for turn in range(STARS + 1):
-        if roots is not None:
-            fresh = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left")
-            rows = _instead(rows, fresh.withColumn("root", F.coalesce("root", "id")))
         # what shares a shingle within one group alone is settled
         open_ = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         rows = _instead(rows, rows.join(open_.select("shingle"), "shingle"))
@@ -282,17 +365,13 @@ def _links(marked: DataFrame) -> DataFrame:
             break
         last = turn == STARS or squares <= PAIRS * total
         pairs = _group_pairs(rows) if last else _hub_pairs(rows, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        texts = _texts(marked, pairs)
-        linked = staged(_verified(pairs, texts), "near")
-        dropped(texts)
-        found = linked if found is None else found.unionByName(linked)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(_agreeing(marked, pairs))
         roots = staged(components(found), "groups")
         if last:
             break
+        rows = _instead(rows, _rooted(rows.drop("root"), roots))
     dropped(rows)
     return roots
 
@@ -302,13 +381,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names = docs.columns
     marked = _marked(packed(docs, names))
     roots = _links(marked)
-    grouped = marked
-    if roots is None:
-        grouped = marked.withColumn("nd_root", F.col("nd_words"))
-    else:
-        roots = roots.select(F.col("node").alias("nd_node"), F.col("root").alias("nd_root"))
-        grouped = marked.join(roots, F.col("nd_words") == F.col("nd_node"), "left").drop("nd_node")
-        grouped = grouped.withColumn("nd_root", F.coalesce("nd_root", "nd_words"))
+    roots = roots.select(F.col("node").alias("nd_node"), F.col("root").alias("nd_root"))
+    grouped = marked.join(roots, F.col("nd_words") == F.col("nd_node"), "left").drop("nd_node")
+    grouped = grouped.withColumn("nd_root", F.coalesce("nd_root", "nd_words"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("nd_text").alias("t"))
     least = grouped.groupBy("nd_root").agg(F.min(place).alias("nd_least"))
     least = least.select(F.col("nd_root").alias("nd_group"), "nd_least.*").select(
