@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.book import SCHEMA, message_rows, opening
-from tickloom.operators import best_quote, lifecycle
+from tickloom.operators import best_quote, lifecycle, matching
 from tickloom.plans.pipeline import raw_log
 from tickloom.session import StageStore
 from tickloom.sources import order_flow
@@ -59,3 +59,45 @@ def test_messages_take_the_time_of_their_packet_without_a_join(spark, tmp_path):
         times = {(r["day"], r["n"]): r["t_ms"] for r in numbered.collect()}
         found = messages.collect()
         assert len(found) > 90 and all(r["t_ms"] == times[r["day"], r["seq"]] for r in found)
+
+
+def moved_rows(df):
+    """Shuffles of rows by a key that has ``chunk`` in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in x and "chunk" in x for x in plan.split("\n"))
+
+
+def rough_orders(spark, tmp_path):
+    events = [(i, f"2024-01-0{1 + i % 2} 0{i % 7}:00:0{i % 9}", i % 5, ("purchase", "view", "signup")[i % 3]) for i in range(400)]
+    rows = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string")
+    rows.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    store = StageStore(spark, "test")
+    return order_flow.numbered_events(spark, str(tmp_path), store)
+
+
+def test_positions_of_events_are_added_without_a_shuffle(spark, tmp_path):
+    numbered = rough_orders(spark, tmp_path)
+    assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r["day"], r["n"], r["cnt"]) for r in numbered.collect())
+    assert found == [(d, n, 200) for d in (20240101, 20240102) for n in range(200)]
+
+
+def test_depth_from_openings_equals_the_scan_of_levels(spark):
+    effects = spark.createDataFrame(
+        [(1, 1, i // 3, i, 0, "T" if i % 5 == 4 else "N", None if i % 5 == 4 else i % 2, None if i % 5 == 4 else 100 + i % 3,
+          None if i % 5 == 4 else (1, 1, -1)[i % 3], None if i % 5 == 4 else (2, 3, -2)[i % 3]) for i in range(40)],
+        "day int, sid bigint, chunk bigint, rpt bigint, sub int, typ string, e_side int, e_tick bigint, dn bigint, dq bigint",
+    )
+    table = StageStore(spark, "test").table("effects", lambda: effects)
+    deep = lifecycle.depth_from_openings(lifecycle.with_openings(table).repartition("day", "sid", "chunk"))
+    columns = [*effects.columns, "level_n", "level_q"]
+    expected = lifecycle.with_level_depth(table).select(columns)
+    assert sorted(map(str, deep.select(columns).collect())) == sorted(map(str, expected.collect()))
+    assert deep.count() == 40 and "Join" not in deep._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packets_are_shuffled_once(spark):
+    rows = spark.createDataFrame(message_rows(opening() * 9, 2, 1), SCHEMA).withColumn("chunk", F.col("chunk").cast("bigint"))
+    log = StageStore(spark, "test").table("log", lambda: lifecycle.with_level_depth(raw_log(rows)))
+    # rows, partials of the chunks, and what the window over the partials gives to the join
+    assert moved_rows(matching.packet_cuts(log)) <= 3
