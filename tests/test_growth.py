@@ -6,7 +6,7 @@ from tests.book import SCHEMA, message_rows, opening
 from tickloom.operators import best_quote, lifecycle, matching
 from tickloom.plans.pipeline import raw_log
 from tickloom.session import StageStore
-from tickloom.sources import order_flow
+from tickloom.sources import order_flow, rough_flow
 
 
 def shuffles(df):
@@ -76,8 +76,14 @@ def rough_orders(spark, tmp_path):
 
 
 def test_positions_of_events_are_added_without_a_shuffle(spark, tmp_path):
-    numbered = rough_orders(spark, tmp_path)
-    assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    given = spark.conf.get(name)
+    spark.conf.set(name, -1)  # as on tables beyond it
+    try:
+        numbered = rough_orders(spark, tmp_path)
+        assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, given)
     found = sorted((r["day"], r["n"], r["cnt"]) for r in numbered.collect())
     assert found == [(d, n, 200) for d in (20240101, 20240102) for n in range(200)]
 
@@ -101,3 +107,20 @@ def test_packets_are_shuffled_once(spark):
     log = StageStore(spark, "test").table("log", lambda: lifecycle.with_level_depth(raw_log(rows)))
     # rows, partials of the chunks, and what the window over the partials gives to the join
     assert moved_rows(matching.packet_cuts(log)) <= 3
+
+
+def test_rough_messages_are_not_joined_with_packets(spark, tmp_path):
+    orders = StageStore(spark, "test").table("orders", lambda: order_flow.orders(rough_orders(spark, tmp_path)))
+    dealt = rough_flow.dealt_messages(orders, 16)
+    joins = [x for x in dealt._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "chunk" in joins[0] and "seq" not in joins[0]
+    found = rough_flow.rough_messages(dealt, rough_flow.chunk_starts(dealt)).collect()
+    own = {(r["day"], r["n"]): r for r in orders.collect()}
+    for day in (20240101, 20240102):
+        arrived = [n for n in range(200) if own[day, n]["oid"] % 23 != 1]
+        epochs = {n: sum(b - a > 1 for a, b in zip(arrived, arrived[1:]) if b <= n) for n in arrived}
+        rows = [r for r in found if r["day"] == day]
+        assert {r["seq"] for r in rows} == set(arrived) and max(epochs.values()) > 3
+        assert all(r["epoch"] == epochs[r["seq"]] and r["t_ms"] == own[day, r["seq"]]["t_ms"] for r in rows)
+        assert sorted(r["rpt"] for r in rows) == list(range(1, len(rows) + 1))
+        assert [r["seq"] for r in sorted(rows, key=lambda r: r["rpt"])] == sorted(r["seq"] for r in rows)

@@ -31,12 +31,11 @@ class RoughPipeline:
     @cached_property
     def messages(self) -> DataFrame:
         """Messages that arrived, with their epoch."""
-
-        def build() -> DataFrame:
-            arrived = rough_flow.arrived_packets(self.numbered, self.per_chunk)
-            return rough_flow.rough_messages(order_flow.orders(self.numbered), arrived)
-
-        return self.store.table("messages", build)
+        dealt = self.store.table(
+            "dealt", lambda: rough_flow.dealt_messages(order_flow.orders(self.numbered), self.per_chunk)
+        )
+        starts = self.store.table("chunk_starts", lambda: rough_flow.chunk_starts(dealt))
+        return rough_flow.rough_messages(dealt, starts)
 
     def effects(self, restart: bool = True) -> DataFrame:
         """Level effects with running depth; ``sid`` names instrument and epoch."""
