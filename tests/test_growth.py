@@ -1,10 +1,13 @@
 """Steps shared by many queries: how often rows are shuffled, and over how many partitions."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tests.book import SCHEMA, message_rows, opening
 from tickloom.operators import best_quote, lifecycle, matching
-from tickloom.plans.pipeline import raw_log
+from tickloom.operators.kernels import _Sums
+from tickloom.plans.pipeline import BookPipeline, raw_log
 from tickloom.session import StageStore
 from tickloom.sources import order_flow, rough_flow
 
@@ -124,3 +127,20 @@ def test_rough_messages_are_not_joined_with_packets(spark, tmp_path):
         assert all(r["epoch"] == epochs[r["seq"]] and r["t_ms"] == own[day, r["seq"]]["t_ms"] for r in rows)
         assert sorted(r["rpt"] for r in rows) == list(range(1, len(rows) + 1))
         assert [r["seq"] for r in sorted(rows, key=lambda r: r["rpt"])] == sorted(r["seq"] for r in rows)
+
+
+def test_queue_changes_are_read_back_not_computed_again(spark):
+    pipe = BookPipeline(spark, "/root/testdata/sf0.001")
+    assert pipe.queue.count() > 0
+    assert "queue_changes" in pipe.store._ready
+
+
+def test_prefix_sums_touch_few_nodes_and_equal_plain_sums():
+    draw, sums, plain = random.Random(3), _Sums(40), {}
+    for _ in range(2000):
+        at, value = draw.choice((draw.randrange(20), draw.randrange(5000))), draw.randrange(-9, 10)
+        sums.add(at, value)
+        plain[at] = plain.get(at, 0) + value
+        for asked in (at, at + 1, draw.randrange(20000), 2 * sums.limit + 3, 0):
+            assert sums.before(asked) == sum(v for p, v in plain.items() if p < asked)
+    assert sums.limit <= 8192 and max(sums.tree) <= sums.limit
