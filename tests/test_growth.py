@@ -8,6 +8,7 @@ from tests.book import SCHEMA, message_rows, opening
 from tickloom.operators import best_quote, lifecycle, matching
 from tickloom.operators.kernels import _Sums
 from tickloom.plans.pipeline import BookPipeline, raw_log
+from tickloom.plans.rough_pipeline import RoughPipeline
 from tickloom.session import StageStore
 from tickloom.sources import order_flow, rough_flow
 
@@ -49,6 +50,27 @@ def test_stages_are_dealt_in_proportion_to_the_input(spark):
     assert seen == [given, "40"] and spark.conf.get(name) == given
 
 
+def test_a_late_stage_asked_for_first_follows_the_input_too(spark, monkeypatch):
+    monkeypatch.setattr(StageStore, "ROWS", 50)
+    name = "spark.sql.shuffle.partitions"
+    for pipe in (BookPipeline(spark, "/root/testdata/sf0.001"), RoughPipeline(spark, "/root/testdata/sf0.001")):
+        seen = []
+        pipe.store.table("late", lambda: seen.append(spark.conf.get(name)) or pipe.numbered)  # noqa: B023
+        assert seen == [str(-(-pipe.store.rows // 50))] and pipe.store.rows > 100
+
+
+def test_stages_are_merged_alike_in_a_session_of_many_partitions(spark):
+    store, seen = StageStore(spark, "test"), []
+    name, merged = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    given, store.rows = spark.conf.get(name), 3 * StageStore.ROWS
+    spark.conf.set(name, "200")
+    try:
+        store.table("large", lambda: seen.append((spark.conf.get(name), spark.conf.get(merged))) or spark.range(3))
+        assert seen == [("200", "16m")]
+    finally:
+        spark.conf.set(name, given)
+
+
 def test_messages_take_the_time_of_their_packet_without_a_join(spark, tmp_path):
     events = [(i, f"2024-01-0{1 + i % 2} 0{i % 7}:00:0{i % 9}", i % 5, ("purchase", "view", "signup")[i % 3]) for i in range(90)]
     rows = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string")

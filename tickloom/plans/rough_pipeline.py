@@ -19,6 +19,7 @@ class RoughPipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, per_chunk: int = order_flow.PACKETS_PER_CHUNK):
         self.spark, self.sf_dir, self.per_chunk = spark, sf_dir, per_chunk
         self.store = StageStore(spark, "rough")
+        self.store.rows = order_flow.size(spark, sf_dir)
 
     @cached_property
     def numbered(self) -> DataFrame:
