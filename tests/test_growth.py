@@ -71,6 +71,13 @@ def test_stages_are_merged_alike_in_a_session_of_many_partitions(spark):
         spark.conf.set(name, given)
 
 
+def test_stages_read_in_small_splits(spark):
+    store, seen, name = StageStore(spark, "test"), [], "spark.sql.files.maxPartitionBytes"
+    given, store.rows = spark.conf.get(name), StageStore.ROWS
+    store.table("any", lambda: seen.append(spark.conf.get(name)) or spark.range(3))
+    assert seen == ["16m"] and spark.conf.get(name) == given
+
+
 def test_messages_take_the_time_of_their_packet_without_a_join(spark, tmp_path):
     events = [(i, f"2024-01-0{1 + i % 2} 0{i % 7}:00:0{i % 9}", i % 5, ("purchase", "view", "signup")[i % 3]) for i in range(90)]
     rows = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string")
