@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -513,6 +514,92 @@ def test_near_copies_go_through_fingerprints_and_parities(spark, monkeypatch):
             assert ok or not near_copies.agree(a, b)
 
 
+def test_pairs_of_long_documents_are_ruled_out_by_their_parities(spark):
+    from tickloom.llm import near_copies
+
+    draw = np.random.default_rng(14)
+    bits = lambda x: np.frombuffer(near_copies.parities(x), np.uint8)[None]
+    for n, m in ((2_500, 2_500), (4_000, 4_100), (9_000, 8_000)):  # of 1,024 places half are odd whatever the sets are
+        a, b = (np.unique(draw.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+        some = np.unique(np.concatenate((a[: n // 2], b[: m - n // 2])))
+        for x in (b, some):
+            assert not near_copies.agree(a, x)
+            assert not near_copies.may_agree(bits(a), bits(x), np.array([len(a)]), np.array([len(x)]))[0]
+        near = np.unique(np.append(a[n // 20 :], b[: n // 20]))
+        assert near_copies.agree(a, near)
+        assert near_copies.may_agree(bits(a), bits(near), np.array([len(a)]), np.array([len(near)]))[0]
+    texts = [sentence(random.Random(k), 5_000, STOCK["en"]) for k in (1, 2)]
+    texts += [f"{texts[0]} end", "a b c", ""]
+    marked = near_copies._marked(docs_frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]))
+    name = {r["doc_id"]: r["nd_words"] for r in marked.collect()}
+    every = spark.createDataFrame([(name[i], name[j]) for i in range(5) for j in range(i)], "a bigint, b bigint")
+    assert {(r["a"], r["b"]) for r in near_copies._likely(every, marked).collect()} == {(name[2], name[0])}
+
+
+def test_few_links_are_one_task(spark):
+    from tickloom.llm import graph
+
+    draw = random.Random(16)
+    for n, m in ((2, 1), (200, 150), (60, 300), (40, 0)):  # chains and crowds, links to themselves, given twice, without an end
+        links = [(draw.randrange(-n, n), draw.randrange(-n, n)) for _ in range(m)]
+        links += [(k, k + 1) for k in range(1_000, 1_000 + n)] + [(5, 5), (None, 1), (2, None)] + links[:3]
+        table = spark.createDataFrame(links, "a bigint, b bigint")
+        assert rows_of(graph.components(table, few=5_000)) == rows_of(graph.components(table))
+    tasks = graph.components(table.repartition(7), few=5_000)
+    assert len(tasks.inputFiles()) == 1
+    assert graph.components(table.filter("a = 5"), few=5).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_documents_that_meet_by_chance_are_no_pairs(spark, slices):
+    from tickloom.llm import near_copies
+
+    draw = np.random.default_rng(15)
+    sets = {}
+    for k in range(60):  # texts of any length that share a few rare shingles, and copies of some
+        own = draw.integers(1_000, 2**62, int(draw.integers(5, 300))).astype(np.uint64)
+        sets[3 * k] = np.unique(np.append(own, draw.integers(0, 30, 2).astype(np.uint64)))
+        if k % 3 == 0:
+            for c in (1, 2):
+                cut = own[int(draw.integers(0, len(own) // 6 + 1)) :]
+                more = draw.integers(1_000, 2**62, int(draw.integers(0, len(own) // 8 + 1))).astype(np.uint64)
+                sets[3 * k + c] = np.unique(np.concatenate((cut, more)))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows, group = [], {k: k if k % 3 < 2 else k - 1 for k in sets}  # some copies are one group already
+    for k, x in sets.items():
+        rows += [(int(h), k, len(x), at, group[k]) for at, h in enumerate(near_copies.first_shingles(x, *none).view(np.int64))]
+    rows = spark.createDataFrame(rows, "shingle bigint, id bigint, n int, at int, root bigint")
+    pairs = [(a, b) for a in sets for b in sets if a < b and group[a] != group[b]]
+    want = {(a, b) for a, b in pairs if near_copies.agree(sets[a], sets[b])}
+    first = {k: set(near_copies.first_shingles(x, *none).tolist()) for k, x in sets.items()}
+    parts = [{(r["a"], r["b"]) for r in near_copies._group_pairs(rows, *([slices, k] if slices > 1 else [])).collect()} for k in range(slices)]
+    found = set().union(*parts)
+    assert sum(map(len, parts)) == len(found) and want <= found
+    assert len(want) > 15 and len(found) < len(want) + 20
+    assert sum(bool(first[a] & first[b]) for a, b in pairs) > len(found) + 30  # as many met
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    from tickloom.llm import common
+
+    files = lambda: sum(
+        f.getName().startswith("shuffle_")
+        for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        )
+    )
+    held = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting = spark.conf.get(common.CLEANUP, None)
+    before = files()
+    table = common.staged(held, "left")
+    for _ in range(50):  # files go a moment later
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 7
+    assert spark.conf.get(common.CLEANUP, None) == setting
+
+
 def test_sequences_of_words_with_one_hash_are_told_apart(spark):
     from tickloom.llm import near_copies
 

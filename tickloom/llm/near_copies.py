@@ -13,9 +13,11 @@ join begins, which finds what lies beyond the radius.
 
 Documents that share a shingle there, and may agree by their sizes and its places, are
 candidates. Two sets differ in at least as many shingles as the parities of their shingles by place of a
-short bitmap do, which rules out most candidates; the texts of the others are compared by their whole sets. Large families are not paired up:
+bitmap do, which rules out most candidates; the texts of the others are compared by their whole sets. A bitmap has as many places as
+its document has shingles, as a shorter one is half full whatever the sets are. Large families are not paired up:
 in a few rounds each document is compared with one hub, a document that stands for a shingle of both. In the end
-only documents of different groups are paired.
+only documents of different groups are paired, and of them those that share more than one of the first shingles, as
+agreeing sets of like sizes must: chance meetings, which grow with the square of the corpus, share one or two.
 
 Sequences of words and shingles travel as 64-bit hashes. Sequences that share a hash but differ in a
 second one get names made of both, so that a document is known by 128 bits.
@@ -27,12 +29,14 @@ their whole sets. All columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,16 +52,23 @@ SIMILAR = (4, 5)
 SAMPLE, COMMON = 4_000, 100_000
 #: Rounds of hubs at most, and bound on pairs for each row beyond which there is a round.
 STARS, PAIRS = 5, 10
+#: Pairs of rows that are always counted at once; beyond it, ``PAIRS`` for each row.
+SLICE = 20_000_000
+#: Links up to which groups are made within one task.
+FEW = 50_000
 #: Documents of candidates that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Shingles whose sets a worker remembers.
 REMEMBERED = 1_000_000
 
-#: Bits of the parities of a document's shingles.
+#: Bits of the parities of a document's shingles, at least; a power of two.
 PARITIES = 1024
+#: Shared first shingles, at most, that a pair is asked for; more would need more of each document's rows.
+ENOUGH = 8
 
-#: Names that ``_marked`` adds: two halves of the words' hash, the text's, and the fingerprint.
+#: Names that ``_marked`` adds: two halves of the words' hash, the text's, and the fingerprint; number and parities of the shingles.
 _OWN = ("nd_words", "nd_more", "nd_text", "nd_print")
+_SKETCH = ("nd_size", "nd_odd")
 LOW = (1 << 64) - 1
 
 
@@ -76,17 +87,28 @@ def agree(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """For each of ``PARITIES`` places, whether an odd number of the shingles fall on it."""
-    counts = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    """For each of as many places as shingles or more, whether an odd number of the shingles fall on it."""
+    places = max(PARITIES, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else PARITIES
+    counts = np.bincount((shingles % np.uint64(places)).astype(np.int64), minlength=places)
     return np.packbits(counts & 1).tobytes()
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities by fewer places: those that fall together are added up."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
 def may_agree(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Which pairs of sets can agree, by rows of their parities and by their sizes; none that agrees is ruled out."""
     s, t = SIMILAR
-    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    width = min(a.shape[1], b.shape[1])
+    apart = np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum(axis=1, dtype=np.int64)
     # the sets share at most (size_a + size_b - apart) / 2
-    return (s + t) * (size_a + size_b - apart) >= 2 * s * (size_a + size_b)
+    both = size_a + size_b
+    return ((s + t) * (both - apart) >= 2 * s * both) & ((s + t) * np.minimum(size_a, size_b) >= s * both)
 
 
 def first_shingles(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -103,9 +125,11 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, often: np.ndarray)
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """``rows`` with two hashes of the sequence of words, one of the text, and the fingerprint of the words."""
+    """``rows`` with two hashes of the sequence of words, one of the text, the fingerprint of the words, and
+    the number of shingles with their parities."""
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in _OWN)])
+    sketch = (T.StructField(c, kind) for c, kind in zip(_SKETCH, (T.LongType(), T.BinaryType())))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in _OWN), *sketch])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,6 +141,8 @@ def _marked(rows: DataFrame) -> DataFrame:
                 found = np.fromiter(hashes, dtype=np.uint64, count=len(texts))
                 columns[c] = pa.array(found.view(np.int64))
             columns[_OWN[-1]] = pa.array(map(fingerprint, texts), pa.int64())
+            sizes, odd = zip(*((len(x), parities(x)) for x in map(shingle_set, texts))) if texts else ((), ())
+            columns["nd_size"], columns["nd_odd"] = pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     return _told_apart(staged(rows.transform(shipped).mapInArrow(tidy(run), schema), "marked"))
@@ -189,13 +215,25 @@ def _keyed(marked: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "shingle bigint, id bigint, n int, at int")
 
 
-def _may_agree(a: str, b: str):
-    """Whether sets with sizes up to ``hi``, from ``lo``, that first share a shingle at ``at`` can agree."""
+def _may_agree(a: str, b: str, nth: str = "1"):
+    """Whether sets with sizes up to ``hi``, from ``lo``, that share their ``nth`` shingle, or an earlier one, at ``at`` can agree."""
     s, t = SIMILAR
-    both = f"least({a}_hi - {a}_at, {b}_hi - {b}_at)"
+    both = f"least(least({a}_hi - {a}_at, {b}_hi - {b}_at) + {nth} - 1, {a}_hi, {b}_hi)"
     return F.expr(f"{s + t} * {both} >= {s} * ({a}_lo + {b}_lo)")
 
 
+def _must_share(a: str, b: str) -> str:
+    """How many of their first shingles agreeing sets of sizes ``lo`` share at least, up to ``ENOUGH``.
+
+    Sets of n and m that agree share c = ceil(s (n + m) / (s + t)) or more, so n - c of n are missing in the other at most.
+    Whichever set's first shingles end first in the order: but for so many, all of them are among the other's.
+    """
+    s, t = SIMILAR
+    both = f"({s} * ({a}_lo + {b}_lo) + {s + t - 1}) div {s + t}"
+    first = f"({s} * greatest({a}_lo, {b}_lo) + {t - 1}) div {t}"
+    return f"least({ENOUGH}, greatest(1, 1 + {both} - {first}))"
+
+
 def _as(rows: DataFrame, side: str, group: str = "root") -> DataFrame:
     """Rows of single documents under the names that ``_may_agree`` reads."""
     return rows.select(
@@ -227,16 +265,27 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return _ordered_pairs(nearest)
 
 
-def _group_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of documents of different groups that share a shingle and may agree."""
+def _group_pairs(rows: DataFrame, slices: int = 1, turn: int = 0) -> DataFrame:
+    """All pairs of documents of different groups that may agree by the first shingles that they share.
+
+    Of ``slices`` of them, by the lesser group, those of one.
+    """
+    alone = F.when(F.min("id") == F.max("id"), F.min("id"))
     groups = rows.groupBy("shingle", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at")
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at"), alone.alias("id")
     )
-    side = lambda x: groups.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "lo", "hi", "at")))
-    met = side("a").join(side("b"), "shingle").filter("a_root < b_root").filter(_may_agree("a", "b"))
-    met = met.select("shingle", "a_root", "b_root")
-    pairs = met.join(_as(rows, "a"), ["shingle", "a_root"]).join(_as(rows, "b"), ["shingle", "b_root"])
-    return _ordered_pairs(pairs.filter(_may_agree("a", "b")))
+    own = groups if slices == 1 else groups.filter(F.pmod(F.xxhash64("root"), F.lit(slices)) == turn)
+    named = lambda x, some: some.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "lo", "hi", "at", "id")))
+    met = lambda a, b: named("a", own.filter(a)).join(named("b", groups.filter(b)), "shingle").filter("a_root < b_root")
+    need = _must_share("a", "b")
+    # documents that stand alone for their group need not be looked up again
+    single = met("id IS NOT NULL", "id IS NOT NULL").withColumnsRenamed({"a_id": "a", "b_id": "b"})
+    several = met("id IS NULL", "true").unionByName(met("id IS NOT NULL", "id IS NULL"))
+    several = several.filter(_may_agree("a", "b", str(ENOUGH))).select("shingle", "a_root", "b_root")
+    several = several.join(_as(rows, "a"), ["shingle", "a_root"]).join(_as(rows, "b"), ["shingle", "b_root"])
+    shared = lambda some: some.filter(_may_agree("a", "b", need)).select("a", "b", F.expr(need).cast("int").alias("need"))
+    counted = shared(single).unionByName(shared(several)).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    return counted.filter("n >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -268,46 +317,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.transform(shipped).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _of_pairs(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and text of a row of each document of ``pairs`` alone."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return marked.select(F.col("nd_words").alias("id"), "text").join(ids, "id", "left_semi")
-
-
 def _likely(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """The pairs (a, b) that the parities of their sets do not rule out."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([parities(x) for x in sets], pa.binary()),
-                ],
-                names=["id", "n", "odd"],
-            )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARITIES // 8)
+        bits = lambda rows, at: np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), -1)
         for batch in batches:
-            a, b = bits(batch.column("a_odd")), bits(batch.column("b_odd"))
-            ok = may_agree(a, b, batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
+            a, b = batch.column("a_odd").to_pylist(), batch.column("b_odd").to_pylist()
+            sizes = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            widths = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
+            ok = np.zeros(len(a), dtype=bool)
+            for pair in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == pair).all(axis=1))
+                ok[at] = may_agree(bits(a, at), bits(b, at), *(x[at] for x in sizes))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    some = _of_pairs(marked, pairs).transform(shipped)
-    sketches = staged(some.mapInArrow(tidy(sketch), "id bigint, n bigint, odd binary").dropDuplicates(["id"]), "sketches")
-    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+    # copies of a sequence of words have the same set, so any of their rows will do
+    sketches = marked.select("nd_words", *_SKETCH).dropDuplicates(["nd_words"])
+    side = lambda x: sketches.select(*(F.col(c).alias(n) for c, n in zip(("nd_words", *_SKETCH), (x, f"{x}_n", f"{x}_odd"))))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.transform(shipped).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _texts(marked: DataFrame, pairs: DataFrame) -> DataFrame:
     """id and text of the documents of ``pairs`` alone."""
-    # copies of a sequence of words have the same set, so any of their texts will do
-    return staged(_of_pairs(marked, pairs).dropDuplicates(["id"]), "pair-texts")
+    own = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    some = marked.select(F.col("nd_words").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = staged(some.dropDuplicates(["id"]), "pair-texts")
+    dropped(own)
+    return texts
 
 
 def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -347,28 +386,45 @@ def _agreeing(marked: DataFrame, pairs: DataFrame) -> DataFrame:
     return linked
 
 
+def _squares(count: str):
+    return F.sum(F.col(count).cast("double") * F.col(count))
+
+
 def _links(marked: DataFrame) -> DataFrame:
     """(node, root) of the documents, by hashes of their words, that are linked to another."""
     tried = _print_pairs(marked)
     found = _agreeing(marked, tried)
-    roots = staged(components(found), "groups")
-    keyed = staged(_keyed(marked), "first-shingles")
-    met = keyed.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    rows = _instead(keyed, _rooted(keyed.join(met.select("shingle"), "shingle").distinct(), roots))
+    roots = staged(components(found, few=FEW), "groups")
+    # rows of a shingle meet in one shuffle; most are alone, and are written nowhere
+    keyed = _keyed(marked).repartition("shingle").distinct()
+    here = Window.partitionBy("shingle")
+    met = keyed.withColumns({"lo": F.min("id").over(here), "hi": F.max("id").over(here)}).filter("lo < hi")
+    rows = staged(_rooted(met.drop("lo", "hi"), roots), "met")
     for turn in range(STARS + 1):
         # what shares a shingle within one group alone is settled
         open_ = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         rows = _instead(rows, rows.join(open_.select("shingle"), "shingle"))
         each = rows.groupBy("shingle").agg(F.count("*").alias("n"))
-        total, squares = each.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+        total, squares = each.agg(F.sum("n"), _squares("n")).first()
         if not total:
             break
         last = turn == STARS or squares <= PAIRS * total
-        pairs = _group_pairs(rows) if last else _hub_pairs(rows, turn)
+        parts = []
+        if last:
+            # what meets by chance grows with the square of the corpus, so it is counted in slices of a bounded size
+            within = rows.groupBy("shingle", "root").agg(F.count("*").alias("n")).agg(_squares("n")).first()[0]
+            slices = max(1, math.ceil((squares - within) / 2 / max(PAIRS * total, SLICE)))
+            if slices > 1:
+                parts = [staged(_group_pairs(rows, slices, k), "slice") for k in range(slices)]
+            pairs = functools.reduce(DataFrame.unionByName, parts) if parts else _group_pairs(rows)
+        else:
+            pairs = _hub_pairs(rows, turn)
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        for part in parts:
+            dropped(part)
         tried = tried.unionByName(pairs)
         found = found.unionByName(_agreeing(marked, pairs))
-        roots = staged(components(found), "groups")
+        roots = staged(components(found, few=FEW), "groups")
         if last:
             break
         rows = _instead(rows, _rooted(rows.drop("root"), roots))
@@ -382,17 +438,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = _marked(packed(docs, names))
     roots = _links(marked)
     roots = roots.select(F.col("node").alias("nd_node"), F.col("root").alias("nd_root"))
-    grouped = marked.join(roots, F.col("nd_words") == F.col("nd_node"), "left").drop("nd_node")
-    grouped = grouped.withColumn("nd_root", F.coalesce("nd_root", "nd_words"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("nd_text").alias("t"))
-    least = grouped.groupBy("nd_root").agg(F.min(place).alias("nd_least"))
-    least = least.select(F.col("nd_root").alias("nd_group"), "nd_least.*").select(
-        "nd_group", F.col("id").alias("nd_id"), F.col("t").alias("nd_t")
+    keys = marked.select("doc_id", "nd_words", "nd_text").join(roots, F.col("nd_words") == F.col("nd_node"), "left")
+    keys = keys.withColumn("nd_root", F.coalesce("nd_root", "nd_words"))
+    # a row given twice is one place
+    places = keys.groupBy("nd_root", "doc_id", "nd_text").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("nd_text").alias("t"), "n")
+    least = places.groupBy("nd_root").agg(F.min(place).alias("nd_least"), F.sum("n").alias("nd_rows"))
+    # texts of rows that are alone in their group are not shuffled
+    crowded = least.filter("nd_rows > 1").select(
+        "nd_root", F.col("nd_least.id").alias("nd_id"), F.col("nd_least.t").alias("nd_t"), F.col("nd_least.n").alias("nd_times")
     )
-    same = (
-        (F.col("nd_root") == F.col("nd_group"))
-        & F.col("doc_id").eqNullSafe(F.col("nd_id"))
-        & (F.col("nd_text") == F.col("nd_t"))
+    crowded = keys.select(F.col("nd_words").alias("nd_node"), "nd_root").distinct().join(crowded, "nd_root")
+    crowded = staged(crowded, "crowded")
+    found = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    grouped = marked.join(found, F.col("nd_words") == F.col("nd_node"), "left")
+    least = grouped.filter(
+        F.col("nd_node").isNull() | F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_text") == F.col("nd_t"))
     )
-    # a row given twice is one group too
-    return grouped.join(least, same).dropDuplicates(["nd_root"]).select(unpacked(names))
+    once = least.filter("nd_node IS NULL OR nd_times = 1")
+    again = least.filter("nd_times > 1").dropDuplicates(["nd_root"])
+    return once.unionByName(again).select(unpacked(names))
