@@ -16,8 +16,7 @@ candidates. Two sets differ in at least as many shingles as the parities of thei
 bitmap do, which rules out most candidates; the texts of the others are compared by their whole sets. A bitmap has as many places as
 its document has shingles, as a shorter one is half full whatever the sets are. Large families are not paired up:
 in a few rounds each document is compared with one hub, a document that stands for a shingle of both. In the end
-only documents of different groups are paired, and of them those that share more than one of the first shingles, as
-agreeing sets of like sizes must: chance meetings, which grow with the square of the corpus, share one or two.
+only documents of different groups are paired, in slices of a bounded size: chance meetings grow with the square of the corpus.
 
 Sequences of words and shingles travel as 64-bit hashes. Sequences that share a hash but differ in a
 second one get names made of both, so that a document is known by 128 bits.
@@ -29,7 +28,6 @@ their whole sets. All columns are kept, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -52,7 +50,7 @@ SIMILAR = (4, 5)
 SAMPLE, COMMON = 4_000, 100_000
 #: Rounds of hubs at most, and bound on pairs for each row beyond which there is a round.
 STARS, PAIRS = 5, 10
-#: Pairs of rows that are always counted at once; beyond it, ``PAIRS`` for each row.
+#: Pairs of rows of different groups that are always met at once; beyond it, as many as there are rows.
 SLICE = 20_000_000
 #: Links up to which groups are made within one task.
 FEW = 50_000
@@ -63,8 +61,6 @@ REMEMBERED = 1_000_000
 
 #: Bits of the parities of a document's shingles, at least; a power of two.
 PARITIES = 1024
-#: Shared first shingles, at most, that a pair is asked for; more would need more of each document's rows.
-ENOUGH = 8
 
 #: Names that ``_marked`` adds: two halves of the words' hash, the text's, and the fingerprint; number and parities of the shingles.
 _OWN = ("nd_words", "nd_more", "nd_text", "nd_print")
@@ -215,25 +211,13 @@ def _keyed(marked: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "shingle bigint, id bigint, n int, at int")
 
 
-def _may_agree(a: str, b: str, nth: str = "1"):
-    """Whether sets with sizes up to ``hi``, from ``lo``, that share their ``nth`` shingle, or an earlier one, at ``at`` can agree."""
+def _may_agree(a: str, b: str):
+    """Whether sets with sizes up to ``hi``, from ``lo``, that first share a shingle at ``at`` can agree."""
     s, t = SIMILAR
-    both = f"least(least({a}_hi - {a}_at, {b}_hi - {b}_at) + {nth} - 1, {a}_hi, {b}_hi)"
+    both = f"least({a}_hi - {a}_at, {b}_hi - {b}_at)"
     return F.expr(f"{s + t} * {both} >= {s} * ({a}_lo + {b}_lo)")
 
 
-def _must_share(a: str, b: str) -> str:
-    """How many of their first shingles agreeing sets of sizes ``lo`` share at least, up to ``ENOUGH``.
-
-    Sets of n and m that agree share c = ceil(s (n + m) / (s + t)) or more, so n - c of n are missing in the other at most.
-    Whichever set's first shingles end first in the order: but for so many, all of them are among the other's.
-    """
-    s, t = SIMILAR
-    both = f"({s} * ({a}_lo + {b}_lo) + {s + t - 1}) div {s + t}"
-    first = f"({s} * greatest({a}_lo, {b}_lo) + {t - 1}) div {t}"
-    return f"least({ENOUGH}, greatest(1, 1 + {both} - {first}))"
-
-
 def _as(rows: DataFrame, side: str, group: str = "root") -> DataFrame:
     """Rows of single documents under the names that ``_may_agree`` reads."""
     return rows.select(
@@ -266,26 +250,19 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _group_pairs(rows: DataFrame, slices: int = 1, turn: int = 0) -> DataFrame:
-    """All pairs of documents of different groups that may agree by the first shingles that they share.
+    """All pairs of documents of different groups that share a shingle and may agree.
 
     Of ``slices`` of them, by the lesser group, those of one.
     """
-    alone = F.when(F.min("id") == F.max("id"), F.min("id"))
     groups = rows.groupBy("shingle", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at"), alone.alias("id")
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at")
     )
     own = groups if slices == 1 else groups.filter(F.pmod(F.xxhash64("root"), F.lit(slices)) == turn)
-    named = lambda x, some: some.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "lo", "hi", "at", "id")))
-    met = lambda a, b: named("a", own.filter(a)).join(named("b", groups.filter(b)), "shingle").filter("a_root < b_root")
-    need = _must_share("a", "b")
-    # documents that stand alone for their group need not be looked up again
-    single = met("id IS NOT NULL", "id IS NOT NULL").withColumnsRenamed({"a_id": "a", "b_id": "b"})
-    several = met("id IS NULL", "true").unionByName(met("id IS NOT NULL", "id IS NULL"))
-    several = several.filter(_may_agree("a", "b", str(ENOUGH))).select("shingle", "a_root", "b_root")
-    several = several.join(_as(rows, "a"), ["shingle", "a_root"]).join(_as(rows, "b"), ["shingle", "b_root"])
-    shared = lambda some: some.filter(_may_agree("a", "b", need)).select("a", "b", F.expr(need).cast("int").alias("need"))
-    counted = shared(single).unionByName(shared(several)).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    return counted.filter("n >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda x, some: some.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("root", "lo", "hi", "at")))
+    met = side("a", own).join(side("b", groups), "shingle").filter("a_root < b_root").filter(_may_agree("a", "b"))
+    met = met.select("shingle", "a_root", "b_root")
+    pairs = met.join(_as(rows, "a"), ["shingle", "a_root"]).join(_as(rows, "b"), ["shingle", "b_root"])
+    return _ordered_pairs(pairs.filter(_may_agree("a", "b")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -376,9 +353,8 @@ def _print_pairs(marked: DataFrame) -> DataFrame:
     return pairs
 
 
-def _agreeing(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` whose whole sets agree."""
-    likely = staged(_likely(pairs, marked), "likely")
+def _agreeing(marked: DataFrame, likely: DataFrame) -> DataFrame:
+    """The pairs of ``likely`` whose whole sets agree."""
     texts = _texts(marked, likely)
     linked = staged(_verified(likely, texts), "near")
     dropped(texts)
@@ -393,7 +369,7 @@ def _squares(count: str):
 def _links(marked: DataFrame) -> DataFrame:
     """(node, root) of the documents, by hashes of their words, that are linked to another."""
     tried = _print_pairs(marked)
-    found = _agreeing(marked, tried)
+    found = _agreeing(marked, staged(_likely(tried, marked), "likely"))
     roots = staged(components(found, few=FEW), "groups")
     # rows of a shingle meet in one shuffle; most are alone, and are written nowhere
     keyed = _keyed(marked).repartition("shingle").distinct()
@@ -409,21 +385,21 @@ def _links(marked: DataFrame) -> DataFrame:
         if not total:
             break
         last = turn == STARS or squares <= PAIRS * total
-        parts = []
+        slices = 1
         if last:
-            # what meets by chance grows with the square of the corpus, so it is counted in slices of a bounded size
             within = rows.groupBy("shingle", "root").agg(F.count("*").alias("n")).agg(_squares("n")).first()[0]
-            slices = max(1, math.ceil((squares - within) / 2 / max(PAIRS * total, SLICE)))
-            if slices > 1:
-                parts = [staged(_group_pairs(rows, slices, k), "slice") for k in range(slices)]
-            pairs = functools.reduce(DataFrame.unionByName, parts) if parts else _group_pairs(rows)
-        else:
-            pairs = _hub_pairs(rows, turn)
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        for part in parts:
-            dropped(part)
-        tried = tried.unionByName(pairs)
-        found = found.unionByName(_agreeing(marked, pairs))
+            slices = max(1, math.ceil((squares - within) / 2 / max(total, SLICE)))
+        likely = None
+        for k in range(slices):
+            pairs = _group_pairs(rows, slices, k) if last else _hub_pairs(rows, turn)
+            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            some = staged(_likely(pairs, marked), "likely")
+            likely = some if likely is None else likely.unionByName(some)
+            if last:
+                dropped(pairs)
+            else:
+                tried = tried.unionByName(pairs)
+        found = found.unionByName(_agreeing(marked, likely))
         roots = staged(components(found, few=FEW), "groups")
         if last:
             break
